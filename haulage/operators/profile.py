@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from haulage.functions.scale import ceil_div, micros
 from haulage.plans.methods import benefit_label, supports_cursors
 from haulage.policy import Policy
+from haulage.session import written
 
 # Spark types that can carry a range, under their database names.
 RANGEABLE = {
@@ -64,7 +65,8 @@ def profile_columns(df: DataFrame, table: str, columns: list[str] | None = None)
         elif kind in TIME_TYPES:
             keys = [micros(F.col(low), dtype), micros(F.col(high), dtype), none_real, none_real]
         else:
-            keys = [none_key, none_key, F.col(low).cast("double"), F.col(high).cast("double")]
+            # Adding zero turns -0.0 into 0.0.
+            keys = [none_key, none_key] + [F.col(c).cast("double") + F.lit(0.0) for c in (low, high)]
         entries.append(
             F.struct(
                 F.lit(ordinal).alias("ordinal"),
@@ -182,6 +184,7 @@ def table_profile(
 
     ``profile`` is the column profile; the two key tables carry a ``table_name`` column.
     """
+    profile = written(profile, "profile")  # a row per column, so the tables are read once
     rows = profile.groupBy("table_name").agg(F.max("total_count").alias("row_count"))
     best = best_range_column(profile, policy).select(
         "table_name",

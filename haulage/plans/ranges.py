@@ -59,11 +59,6 @@ def _finish(chunks: DataFrame, keep: list[str], lo: Column, hi: Column, hi_inclu
     )
 
 
-def _only_nulls(profile: DataFrame, low: str) -> DataFrame:
-    """A column without values still needs one chunk, for its NULLs."""
-    return profile.where(F.col(low).isNull() & (F.col("total_count") > 0))
-
-
 _KEEP = ["table_name", "column_name", "data_type"]
 
 
@@ -80,35 +75,28 @@ def numeric_ranges(
             F.col("total_count"), policy.target_chunk_rows, policy.numeric_tiers, True
         )
     low, high = F.col("min_key").cast(_WIDE), F.col("max_key").cast(_WIDE)
+    width = F.greatest(F.lit(1), F.floor(F.col("_span") / F.greatest("_n", F.lit(1))))
+    count = F.least(F.col("_n"), F.floor(F.col("_span") / (F.col("_width") + 1)) + 1)
     planned = (
-        profile.where(F.col("data_type").isin(*WHOLE_TYPES) & F.col("min_key").isNotNull())
+        profile.where(F.col("data_type").isin(*WHOLE_TYPES))
         .withColumn("_n", chunks)
         .withColumn("_span", high - low)
-        .withColumn(
-            "_width",
-            F.greatest(F.lit(1), F.floor(F.col("_span") / F.greatest("_n", F.lit(1)))).cast(_WIDE),
-        )
-        .withColumn(
-            "_m",
-            F.least(F.col("_n"), (F.floor(F.col("_span") / (F.col("_width") + 1)) + 1)).cast("int"),
-        )
+        .withColumn("_width", width.cast(_WIDE))
+        .withColumn("_m", _at_least_nulls(count))
     )
     spread = _explode_chunks(planned, "_m")
     lo = low + F.col("chunk_id") * (F.col("_width") + 1)
     hi = F.when(F.col("chunk_id") == F.col("_n") - 1, high).otherwise(
         F.least(lo + F.col("_width"), high)
     )
-    ranges = _finish(spread, _KEEP, lo.cast("bigint"), hi.cast("bigint"), True)
-    return ranges.unionByName(_null_chunk(profile, WHOLE_TYPES, True))
+    hi = F.when(low.isNotNull(), hi)
+    return _finish(spread, _KEEP, lo.cast("bigint"), hi.cast("bigint"), True)
 
 
-def _null_chunk(profile: DataFrame, types, inclusive: bool) -> DataFrame:
-    alone = _only_nulls(profile, "min_key").where(F.col("data_type").isin(*types))
-    none = F.lit(None).cast("bigint")
-    return _finish(
-        alone.withColumn("chunk_id", F.lit(0)).withColumn("_m", F.lit(1)),
-        _KEEP, none, none, inclusive,
-    )
+def _at_least_nulls(count: Column) -> Column:
+    """A column without values still needs one chunk, for its NULLs."""
+    only_nulls = F.col("min_key").isNull() & (F.col("total_count") > 0)
+    return F.when(only_nulls, 1).otherwise(count).cast("int")
 
 
 def time_ranges(
@@ -119,20 +107,21 @@ def time_ranges(
         chunks = chunk_count(
             F.col("total_count"), policy.target_chunk_rows, policy.time_tiers, False
         )
+    step = F.greatest(F.lit(1), div(F.col("_span"), F.greatest("_n", F.lit(1))))
     planned = (
-        profile.where(F.col("data_type").isin(*TIME_TYPES) & F.col("min_key").isNotNull())
+        profile.where(F.col("data_type").isin(*TIME_TYPES))
         .withColumn("_n", chunks)
         .withColumn("_span", F.col("max_key") - F.col("min_key"))
+        .withColumn("_step", step)
         .withColumn(
-            "_step", F.greatest(F.lit(1), div(F.col("_span"), F.greatest("_n", F.lit(1))))
+            "_m", _at_least_nulls(F.least(F.col("_n"), div(F.col("_span"), F.col("_step")) + 1))
         )
-        .withColumn("_m", F.least(F.col("_n"), div(F.col("_span"), F.col("_step")) + 1).cast("int"))
     )
     spread = _explode_chunks(planned, "_m")
     last = F.col("chunk_id") == F.col("_m") - 1
     lo = F.col("min_key") + F.col("chunk_id") * F.col("_step")
     hi = F.when(last, F.col("max_key")).otherwise(lo + F.col("_step"))
-    return _finish(spread, _KEEP, lo, hi, last).unionByName(_null_chunk(profile, TIME_TYPES, True))
+    return _finish(spread, _KEEP, lo, hi, last)
 
 
 def real_ranges(

@@ -90,3 +90,19 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(hpath):
         return []
     return [status.getPath().getName() for status in fs.listStatus(hpath)]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file, complete once it is visible under its name."""
+    folder, _, name = path.rpartition("/")
+    fs, draft = filesystem(spark, f"{folder}/.{name}.writing")  # hidden from readers
+    _, target = filesystem(spark, path)
+    stream = fs.create(draft, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(draft, target):
+        raise OSError(f"could not write {path}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -14,6 +15,7 @@ from haulage.operators.profile import best_range_column, profile_columns, rangea
 from haulage.plans.methods import CURSOR, DIRECT, RANGES, plan_methods
 from haulage.plans.ranges import range_plan
 from haulage.policy import ExportOptions, Policy
+from haulage.session import write_text
 from haulage.sinks.export import export_paged, export_ranges, export_single, export_sized
 
 
@@ -29,10 +31,13 @@ class Ledger:
         if unknown:
             raise ValueError(f"unknown ledger fields: {sorted(unknown)}")
         self._seq += 1
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        row = (self._seq, now, op, job_id, table, tuple(fields.get(n) for n in known))
-        event = self.spark.createDataFrame([row], EVENT_SCHEMA)
-        event.coalesce(1).write.mode("append").json(self.path)
+        now = _now()
+        event = {
+            "seq": self._seq, "ts": now, "op": op, "job_id": job_id, "table_name": table,
+            "fields": fields,
+        }
+        name = f"{job_id}-{self._seq:08d}-{uuid.uuid4().hex[:8]}.json"
+        write_text(self.spark, f"{self.path}/{name}", json.dumps(event, default=str))
 
     def events(self) -> DataFrame:
         return self.spark.read.schema(EVENT_SCHEMA).json(self.path)
@@ -120,8 +125,8 @@ def export_job(
     return job_id
 
 
-def _now() -> datetime:
-    return datetime.now(timezone.utc).replace(tzinfo=None)
+def _now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")
 
 
 def export_outcome(tables: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulage.session import path_exists
+from haulage.session import path_exists, write_text
 
 METADATA, FILES = "_export_metadata", "_export_files"
 CHUNK = "chunk_id"
@@ -102,9 +102,8 @@ def write_manifest(
     return metadata
 
 
-def save_metadata(spark: SparkSession, path: str, metadata: dict, mode: str = "error") -> None:
-    row = spark.createDataFrame([metadata], METADATA_SCHEMA)
-    row.coalesce(1).write.mode(mode).json(f"{path}/{METADATA}")
+def save_metadata(spark: SparkSession, path: str, metadata: dict) -> None:
+    write_text(spark, f"{path}/{METADATA}/metadata.json", json.dumps(metadata))
 
 
 def read_metadata(spark: SparkSession, *paths: str) -> DataFrame:
@@ -120,7 +119,7 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
 
 def load_metadata(spark: SparkSession, path: str) -> dict | None:
     """The single metadata row of one export, or None when it was never sealed."""
-    if not path_exists(spark, f"{path}/{METADATA}/_SUCCESS"):
+    if not path_exists(spark, f"{path}/{METADATA}/metadata.json"):
         return None
     return read_metadata(spark, path).first().asDict()
 

@@ -46,9 +46,7 @@ def publish(spark: SparkSession, staged: str, final: str, conflict: str = "versi
     rename(spark, staged, target)
     now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     metadata.pop("path", None)
-    save_metadata(
-        spark, target, {**metadata, "final_path": target, "organized_timestamp": now}, "overwrite"
-    )
+    save_metadata(spark, target, {**metadata, "final_path": target, "organized_timestamp": now})
     if aside:
         fs, old = filesystem(spark, aside)
         fs.delete(old, True)
