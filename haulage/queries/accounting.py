@@ -37,8 +37,8 @@ job_state AS (
     coalesce(arg_max(CASE event_type WHEN 'purchase' THEN 'completed' ELSE 'failed' END, ord)
       FILTER (WHERE event_type IN ('purchase', 'error')), 'running') AS overall_status,
     arg_max('user_' || k, ord) FILTER (WHERE event_type = 'signup') AS db_username,
-    max(at) FILTER (WHERE event_type = 'signup') AS started_at,
-    max(at) FILTER (WHERE event_type IN ('purchase', 'error')) AS ended_at,
+    max(at_us) FILTER (WHERE event_type = 'signup') AS started_at,
+    max(at_us) FILTER (WHERE event_type IN ('purchase', 'error')) AS ended_at,
     arg_max('failed at ' || k, ord) FILTER (WHERE event_type = 'error') AS error_message,
     coalesce(arg_max(k, ord) FILTER (WHERE event_type = 'view'), 0) AS progress_percent,
     coalesce(arg_max(k, ord) FILTER (WHERE event_type = 'signup'), 0) AS tables_total,
@@ -133,7 +133,7 @@ def job_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("job_errors", with_ctes(FEED_SQL) + """
-SELECT seq, job_id, at AS logged_at, 'failed at ' || k AS error_message FROM feed
+SELECT seq, job_id, at_us AS logged_at, 'failed at ' || k AS error_message FROM feed
 WHERE event_type = 'error' AND job_id IN (SELECT 'job_' || s_suppkey FROM supplier)""")
 def job_errors(spark: SparkSession, sf: str) -> DataFrame:
     events = as_job_events(feed(spark, sf)).withColumn(

@@ -170,7 +170,7 @@ def key_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 FEED_SQL = """
 feed AS (
-  SELECT event_id AS seq, ts, epoch_us(ts) AS at, user_id, event_type,
+  SELECT event_id AS seq, ts, epoch_us(ts) AS at_us, user_id, event_type,
     'job_' || user_id AS job_id, CAST(regexp_extract(props, '\\d+') AS INTEGER) AS k,
     'public.t_' || (CAST(regexp_extract(props, '\\d+') AS INTEGER) // 25) AS table_name,
     CAST(round(value * 100) AS BIGINT) AS amount,
@@ -266,8 +266,8 @@ table_state AS (
       AS rows_processed,
     coalesce(arg_max(k + 1, ord) FILTER (WHERE event_type = 'click'), 1) AS chunk_count,
     coalesce(arg_max(k / 4, ord) FILTER (WHERE event_type = 'purchase'), 0.0) AS file_size_mb,
-    max(at) FILTER (WHERE event_type = 'signup') AS started_at,
-    max(at) FILTER (WHERE event_type IN ('purchase', 'error')) AS ended_at,
+    max(at_us) FILTER (WHERE event_type = 'signup') AS started_at,
+    max(at_us) FILTER (WHERE event_type IN ('purchase', 'error')) AS ended_at,
     arg_max('connection lost at ' || k, ord) FILTER (WHERE event_type = 'error')
       AS error_message
   FROM live GROUP BY ALL)"""

@@ -55,7 +55,7 @@ def stream_job_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("stream_throughput", with_ctes(FEED_SQL) + """
-SELECT at // 60000000 * 60000000 AS window_start, event_type, CAST(sum(amount) AS BIGINT) AS rows,
+SELECT at_us // 60000000 * 60000000 AS window_start, event_type, CAST(sum(amount) AS BIGINT) AS rows,
   count(*) AS events, CAST(sum(amount) AS BIGINT) / 60 AS rows_per_sec
 FROM feed GROUP BY ALL""")
 def stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +67,7 @@ def stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     latest = feeds.latest_rows(spark, f"{base}/out", ["window_start", "event_type"])
-    return latest.withColumn("window_start", micros(F.col("window_start"), "timestamp_ntz"))
+    return latest.withColumn("window_start", F.unix_micros("window_start"))
 
 
 @query("stream_dedupe", with_ctes(FEED_SQL) + "SELECT DISTINCT job_id, table_name FROM feed")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulage.functions.scale import micros
 from haulage.operators.accounting import throughput_eta
 from haulage.operators.ledger import table_aggregates, table_state
 from haulage.policy import ExportOptions, Policy
@@ -33,6 +34,13 @@ def table_glob(folder: str, name: str) -> str:
     return f"{folder}/{name}.parque[t]"
 
 
+def _with_instant(df: DataFrame) -> DataFrame:
+    """Watermarks need an instant; a time without zone is taken as UTC."""
+    if dict(df.dtypes)["ts"] != "timestamp_ntz":
+        return df
+    return df.withColumn("ts", F.timestamp_micros(micros(F.col("ts"), "timestamp_ntz")))
+
+
 def _start(writer, interval: str | None):
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
@@ -97,7 +105,7 @@ def stream_throughput(
     seconds = policy.throughput_window_seconds
     window = F.window("ts", f"{seconds} seconds")
     summed = (
-        progress.withWatermark("ts", delay)
+        _with_instant(progress).withWatermark("ts", delay)
         .groupBy(window.alias("w"), *keys)
         .agg(F.sum(rows).alias("rows"), F.count(F.lit(1)).alias("events"))
     )
@@ -116,7 +124,7 @@ def stream_dedupe(
     """Let each table through once. Without ``delay`` a claim is remembered for good (one
     state row per table); with it, for that time after the claim."""
     if delay:
-        once = claims.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+        once = _with_instant(claims).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
     else:
         once = claims.dropDuplicates(keys)
     writer = once.writeStream.format("parquet").option("path", path)
