@@ -53,15 +53,20 @@ def human_seconds(seconds: Column) -> Column:
     )
 
 
-def micros(column: Column, spark_type: str) -> Column:
-    """Microseconds since 1970 of a date or timestamp, whatever the session zone is."""
+def micros_sql(column: str, spark_type: str) -> str:
+    """SQL text for :func:`micros`; ``column`` is itself SQL text."""
     if spark_type == "date":
-        return F.unix_date(column).cast("bigint") * F.lit(86_400_000_000)
+        return f"unix_date({column}) * 86400000000L"
     if spark_type == "timestamp":
-        return F.unix_micros(column)
-    since = column - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    days = F.extract(F.lit("DAY"), since).cast("bigint")
-    hours = F.extract(F.lit("HOUR"), since).cast("bigint")
-    minutes = F.extract(F.lit("MINUTE"), since).cast("bigint")
-    seconds = (F.extract(F.lit("SECOND"), since) * F.lit(1_000_000)).cast("bigint")
-    return ((days * 24 + hours) * 60 + minutes) * F.lit(60_000_000) + seconds
+        return f"unix_micros({column})"
+    since = f"({column} - TIMESTAMP_NTZ'1970-01-01')"
+    return (
+        f"((extract(DAY FROM {since}) * 24L + extract(HOUR FROM {since})) * 60L"
+        f" + extract(MINUTE FROM {since})) * 60000000L"
+        f" + cast(extract(SECOND FROM {since}) * 1000000 AS bigint)"
+    )
+
+
+def micros(column: str, spark_type: str) -> Column:
+    """Microseconds since 1970 of a date or timestamp, whatever the session zone is."""
+    return F.expr(micros_sql(column, spark_type))

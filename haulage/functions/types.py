@@ -76,7 +76,8 @@ def spark_type(data_type: Column, dialect: str = "postgresql") -> Column:
     An exact name wins, then the longest prefix that ends at a word boundary; an array
     or unknown type is text. A pure projection: no join, no shuffle.
     """
-    lookup = F.create_map(*[F.lit(v) for kv in type_names(dialect).items() for v in kv])
+    pairs = ", ".join(f"'{name}', '{spark}'" for name, spark in type_names(dialect).items())
+    lookup = F.expr(f"map({pairs})")
     base = normalized_type(data_type)
     prefixes = [F.substring_index(base, " ", n) for n in range(MAX_TYPE_WORDS, 0, -1)]
     known = F.coalesce(*[F.try_element_at(lookup, p) for p in prefixes], F.lit("string"))

@@ -42,21 +42,18 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_logs(lines: DataFrame, value: str = "value") -> DataFrame:
     """Time, level, tags and message of each line; absent parts are NULL."""
-    line = F.col(value)
-
-    def part(pattern: str, group: int = 1) -> Column:
-        return F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))
+    def part(pattern: str) -> str:
+        return f"nullif(regexp_extract({value}, r'{pattern}', 1), '')"
 
     tags = {name: part(rf"\[{tag}:([^\]]*)\]") for name, tag in TAGS.items()}
-    message = F.regexp_replace(line, LINE_HEAD + r"(?:\[[A-Z-]+:[^\]]*\] ?)*", "")
-    return lines.withColumns(
-        {
-            "logged_at": F.try_to_timestamp(part(LINE_HEAD, 1)).cast("timestamp_ntz"),
-            "level": part(LINE_HEAD, 2),
-            **tags,
-            "progress_percent": F.regexp_replace(tags["progress"], "%$", "").try_cast("double"),
-            "message": message,
-        }
+    rest = LINE_HEAD + r"(?:\[[A-Z-]+:[^\]]*\] ?)*"
+    return lines.selectExpr(
+        "*",
+        f"cast(try_to_timestamp({part(LINE_HEAD)}) AS timestamp_ntz) AS logged_at",
+        f"nullif(regexp_extract({value}, r'{LINE_HEAD}', 2), '') AS level",
+        *[f"{text} AS {name}" for name, text in tags.items()],
+        f"try_cast(rtrim('%', {tags['progress']}) AS double) AS progress_percent",
+        f"regexp_replace({value}, r'{rest}', '') AS message",
     )
 
 

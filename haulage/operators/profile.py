@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulage.functions.scale import ceil_div, micros
+from haulage.functions.scale import ceil_div, micros_sql
 from haulage.plans.methods import benefit_label, supports_cursors
 from haulage.policy import Policy
 from haulage.session import written
@@ -29,6 +29,10 @@ TIME_TYPES = ("date", "timestamp", "timestamptz")
 # End of fixed values.
 
 
+def _among(column: str, names) -> str:
+    return f"{column} IN ({', '.join(repr(n) for n in names)})"
+
+
 def database_type(spark_type: str) -> str | None:
     if spark_type.startswith("decimal"):
         return "numeric"
@@ -52,36 +56,27 @@ def profile_columns(df: DataFrame, table: str, columns: list[str] | None = None)
     if not found:
         raise ValueError(f"{table} has no column of a rangeable type")
 
-    aggregates = [F.count(F.lit(1)).alias("_rows")]
-    entries = []
+    aggregates, entries = ["count(*) AS _rows"], []
     for ordinal, name, dtype in found:
-        column, kind = F.col(f"`{name}`"), database_type(dtype)
-        low, high, filled = f"_lo{ordinal}", f"_hi{ordinal}", f"_n{ordinal}"
-        aggregates += [F.min(column).alias(low), F.max(column).alias(high),
-                       F.count(column).alias(filled)]
-        none_key, none_real = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+        column, kind = f"`{name}`", database_type(dtype)
+        low, high = f"_lo{ordinal}", f"_hi{ordinal}"
+        aggregates += [
+            f"min({column}) AS {low}", f"max({column}) AS {high}", f"count({column}) AS _n{ordinal}"
+        ]
+        keys, reals = ["NULL", "NULL"], ["NULL", "NULL"]
         if kind in WHOLE_TYPES:
-            keys = [F.col(low).cast("bigint"), F.col(high).cast("bigint"), none_real, none_real]
+            keys = [low, high]
         elif kind in TIME_TYPES:
-            keys = [micros(F.col(low), dtype), micros(F.col(high), dtype), none_real, none_real]
+            keys = [micros_sql(low, dtype), micros_sql(high, dtype)]
         else:
-            # Adding zero turns -0.0 into 0.0.
-            keys = [none_key, none_key] + [F.col(c).cast("double") + F.lit(0.0) for c in (low, high)]
-        entries.append(
-            F.struct(
-                F.lit(ordinal).alias("ordinal"),
-                F.lit(name).alias("column_name"),
-                F.lit(kind).alias("data_type"),
-                *[k.alias(n) for k, n in zip(keys, ("min_key", "max_key", "min_real", "max_real"))],
-                (F.col("_rows") - F.col(filled)).alias("null_count"),
-                F.col("_rows").alias("total_count"),
-            )
-        )
-    one_row = df.agg(*aggregates)
+            reals = [f"{low} + 0.0D", f"{high} + 0.0D"]  # adding zero turns -0.0 into 0.0
+        values = [str(ordinal), f"'{name}'", f"'{kind}'"]
+        values += [f"cast({k} AS bigint)" for k in keys] + [f"cast({r} AS double)" for r in reals]
+        entries.append(", ".join([*values, f"_rows - _n{ordinal}", "_rows"]))
+    names = "ordinal, column_name, data_type, min_key, max_key, min_real, max_real, null_count, total_count"
     # A wide but single row becomes one row per column.
-    return one_row.select(F.explode(F.array(*entries)).alias("p")).select(
-        F.lit(table).alias("table_name"), "p.*"
-    )
+    stacked = f"stack({len(entries)}, {', '.join(entries)}) AS ({names})"
+    return df.selectExpr(*aggregates).selectExpr(stacked).selectExpr(f"'{table}' AS table_name", "*")
 
 
 def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
@@ -93,27 +88,26 @@ def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
 def with_density(profile: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Rows per possible key; above one half a whole-number column counts as a sequence."""
     # Decimal, because a span of two 64-bit keys may need 65 bits.
-    span = F.col("max_key").cast("decimal(20,0)") - F.col("min_key").cast("decimal(20,0)") + 1
-    density = F.col("total_count").cast("double") / span.cast("double")
-    whole = F.col("data_type").isin(*WHOLE_TYPES)
-    return profile.withColumn("density", F.when(whole, density)).withColumn(
-        "is_sequential", F.coalesce(F.col("density") > policy.dense_above, F.lit(False))
+    span = "cast(cast(max_key AS decimal(20,0)) - cast(min_key AS decimal(20,0)) + 1 AS double)"
+    density = f"CASE WHEN {_among('data_type', WHOLE_TYPES)} THEN cast(total_count AS double) / {span} END"
+    return profile.selectExpr("*", f"{density} AS density").selectExpr(
+        "*", f"coalesce(density > {policy.dense_above}, false) AS is_sequential"
     )
 
 
 def suitable_columns(profile: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Columns with values and not too many NULLs, measured against the table itself."""
-    has_values = F.coalesce("min_key", "min_real").isNotNull()
-    few_nulls = F.col("null_count") <= F.col("total_count") * policy.max_null_share
-    return profile.where(has_values & few_nulls)
+    return profile.where(
+        "coalesce(min_key, min_real) IS NOT NULL "
+        f"AND null_count <= total_count * {policy.max_null_share}D"
+    )
 
 
-def range_priority(data_type: Column, is_sequential: Column) -> Column:
+def range_priority() -> Column:
     """1 for sequences, 2 for dates and times, 3 for anything else."""
-    return (
-        F.when(is_sequential & data_type.isin(*SEQUENCE_TYPES), 1)
-        .when(data_type.isin(*TIME_TYPES), 2)
-        .otherwise(3)
+    return F.expr(
+        f"CASE WHEN is_sequential AND {_among('data_type', SEQUENCE_TYPES)} THEN 1 "
+        f"WHEN {_among('data_type', TIME_TYPES)} THEN 2 ELSE 3 END"
     )
 
 
@@ -121,15 +115,10 @@ def best_range_column(profile: DataFrame, policy: Policy = Policy()) -> DataFram
     """The best suitable column of each table (map-side combinable, no window)."""
     if "density" not in profile.columns:
         profile = with_density(profile, policy)
-    ranked = suitable_columns(profile, policy).withColumn(
-        "priority", range_priority(F.col("data_type"), F.col("is_sequential"))
-    )
-    whole_row = F.struct(*[c for c in ranked.columns if c != "table_name"])
-    return (
-        ranked.groupBy("table_name")
-        .agg(F.min_by(whole_row, F.struct("priority", "ordinal")).alias("best"))
-        .select("table_name", "best.*")
-    )
+    ranked = suitable_columns(profile, policy).withColumn("priority", range_priority())
+    whole_row = ", ".join(c for c in ranked.columns if c != "table_name")
+    best = F.expr(f"min_by(struct({whole_row}), struct(priority, ordinal)) AS best")
+    return ranked.groupBy("table_name").agg(best).select("table_name", "best.*")
 
 
 def partition_column(columns: DataFrame, keys: DataFrame) -> DataFrame:

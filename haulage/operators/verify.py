@@ -170,12 +170,10 @@ def combined_checksum(checksums: DataFrame, group: str = "table_name") -> DataFr
 def row_hash(columns: list[str]) -> Column:
     """128 bits over a row. The NULL pattern is hashed too, because the hash functions
     skip NULLs and would not see a value that moved to the neighbouring column."""
-    values = [F.col(f"`{name}`") for name in columns]
-    nulls = F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values])
-    return F.struct(
-        F.xxhash64(nulls, *values).alias("a"),
-        F.xxhash64(*reversed(values), nulls, F.lit(1)).alias("b"),
-    )
+    values = [f"`{name}`" for name in columns]
+    nulls = "concat(" + ", ".join(f"if({v} IS NULL, '1', '0')" for v in values) + ")"
+    forward, backward = ", ".join([nulls, *values]), ", ".join([*reversed(values), nulls, "1"])
+    return F.expr(f"struct(xxhash64({forward}) AS a, xxhash64({backward}) AS b)")
 
 
 def verify_sample(

@@ -12,7 +12,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulage.functions.scale import ceil_div, div, micros, tiered
+from haulage.functions.scale import micros_sql
 from haulage.operators.profile import TIME_TYPES, WHOLE_TYPES
 from haulage.policy import Policy
 
@@ -20,46 +20,54 @@ DAY_MICROS = 86_400_000_000
 _WIDE = "decimal(21,0)"  # a span of 64-bit keys does not fit into 64 bits
 
 
-def chunk_count(rows: Column, target_rows: int, tiers, strict_floor: bool) -> Column:
+def _by_tier(rows: str, tiers, value) -> str:
+    """SQL: ``value`` of the first tier whose bound lies below ``rows``."""
+    *upper, lowest = tiers
+    cases = " ".join(f"WHEN {rows} > {t.above} THEN {value(t)}" for t in upper)
+    return f"CASE {cases} ELSE {value(lowest)} END"
+
+
+def chunk_count(rows: str, target_rows: int, tiers, strict_floor: bool) -> Column:
     """Number of chunks for a row count under a tier table; 0 for an empty table.
 
     ``strict_floor`` also lowers the count until every chunk has its minimum of rows.
     """
-    *upper, lowest = tiers
-
-    def by_tier(value):
-        return tiered(rows, [(t.above, value(t)) for t in upper], value(lowest))
-
-    floor_rows = by_tier(lambda t: t.floor_rows)
-    most = F.least(by_tier(lambda t: t.max_chunks), div(rows, floor_rows))
-    count = F.greatest(F.lit(1), F.least(ceil_div(rows, target_rows), most))
+    floor_rows = _by_tier(rows, tiers, lambda t: t.floor_rows)
+    most = _by_tier(rows, tiers, lambda t: f"least({t.max_chunks}, {rows} div {t.floor_rows})")
+    wanted = f"({rows} + {target_rows - 1}) div {target_rows}"
+    count = f"greatest(1, least({wanted}, {most}))"
     if strict_floor:
-        too_small = div(rows, count) < floor_rows
-        count = F.when(too_small, F.greatest(F.lit(1), div(rows, floor_rows))).otherwise(count)
-    return F.when(rows <= 0, F.lit(0)).otherwise(count).cast("int")
+        count = (
+            f"CASE WHEN {rows} div {count} < {floor_rows} "
+            f"THEN greatest(1, {rows} div {floor_rows}) ELSE {count} END"
+        )
+    return F.expr(f"cast(CASE WHEN {rows} <= 0 THEN 0 ELSE {count} END AS int)")
 
 
 def _explode_chunks(planned: DataFrame, count: str) -> DataFrame:
     """One row per chunk; tables without chunks yield none."""
-    return planned.where(F.col(count) > 0).withColumn(
-        "chunk_id", F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    return planned.where(f"{count} > 0").selectExpr(
+        "*", f"explode(sequence(0, {count} - 1)) AS chunk_id"
     )
 
 
-def _finish(chunks: DataFrame, keep: list[str], lo: Column, hi: Column, hi_inclusive) -> DataFrame:
-    last = F.col("chunk_id") == F.col("_m") - 1
-    return chunks.select(
-        *keep,
-        F.col("chunk_id").cast("int").alias("chunk_id"),
-        lo.alias("lo"),
-        hi.alias("hi"),
-        (hi_inclusive if isinstance(hi_inclusive, Column) else F.lit(hi_inclusive)).alias("hi_inclusive"),
-        last.alias("is_last"),
-        ((F.col("chunk_id") == 0) & (F.col("null_count") > 0)).alias("has_nulls"),
+_LAST = "(chunk_id = _m - 1)"
+
+
+def _finish(chunks: DataFrame, lo: str, hi: str, hi_inclusive: str) -> DataFrame:
+    return chunks.selectExpr(
+        "table_name", "column_name", "data_type", "chunk_id",
+        f"{lo} AS lo", f"{hi} AS hi", f"{hi_inclusive} AS hi_inclusive", f"{_LAST} AS is_last",
+        "(chunk_id = 0 AND null_count > 0) AS has_nulls",
     )
 
 
-_KEEP = ["table_name", "column_name", "data_type"]
+def _of_types(profile: DataFrame, types) -> DataFrame:
+    return profile.where(f"data_type IN ({', '.join(repr(t) for t in types)})")
+
+
+# A column without values still needs one chunk, for its NULLs.
+_ONLY_NULLS = "(min_key IS NULL AND total_count > 0)"
 
 
 def numeric_ranges(
@@ -71,32 +79,26 @@ def numeric_ranges(
     ``chunks`` gives it.
     """
     if chunks is None:
-        chunks = chunk_count(
-            F.col("total_count"), policy.target_chunk_rows, policy.numeric_tiers, True
-        )
-    low, high = F.col("min_key").cast(_WIDE), F.col("max_key").cast(_WIDE)
-    width = F.greatest(F.lit(1), F.floor(F.col("_span") / F.greatest("_n", F.lit(1))))
-    count = F.least(F.col("_n"), F.floor(F.col("_span") / (F.col("_width") + 1)) + 1)
+        chunks = chunk_count("total_count", policy.target_chunk_rows, policy.numeric_tiers, True)
     planned = (
-        profile.where(F.col("data_type").isin(*WHOLE_TYPES))
+        _of_types(profile, WHOLE_TYPES)
         .withColumn("_n", chunks)
-        .withColumn("_span", high - low)
-        .withColumn("_width", width.cast(_WIDE))
-        .withColumn("_m", _at_least_nulls(count))
+        .selectExpr("*", f"cast(max_key AS {_WIDE}) - cast(min_key AS {_WIDE}) AS _span")
+        .selectExpr(
+            "*", f"cast(greatest(1, floor(_span / greatest(_n, 1))) AS {_WIDE}) AS _width"
+        )
+        .selectExpr(
+            "*",
+            f"cast(CASE WHEN {_ONLY_NULLS} THEN 1 "
+            "ELSE least(_n, floor(_span / (_width + 1)) + 1) END AS int) AS _m",
+        )
     )
-    spread = _explode_chunks(planned, "_m")
-    lo = low + F.col("chunk_id") * (F.col("_width") + 1)
-    hi = F.when(F.col("chunk_id") == F.col("_n") - 1, high).otherwise(
-        F.least(lo + F.col("_width"), high)
+    start = f"(cast(min_key AS {_WIDE}) + chunk_id * (_width + 1))"
+    hi = (
+        f"CASE WHEN min_key IS NULL OR chunk_id = _n - 1 THEN max_key "
+        f"ELSE cast(least({start} + _width, cast(max_key AS {_WIDE})) AS bigint) END"
     )
-    hi = F.when(low.isNotNull(), hi)
-    return _finish(spread, _KEEP, lo.cast("bigint"), hi.cast("bigint"), True)
-
-
-def _at_least_nulls(count: Column) -> Column:
-    """A column without values still needs one chunk, for its NULLs."""
-    only_nulls = F.col("min_key").isNull() & (F.col("total_count") > 0)
-    return F.when(only_nulls, 1).otherwise(count).cast("int")
+    return _finish(_explode_chunks(planned, "_m"), f"cast({start} AS bigint)", hi, "true")
 
 
 def time_ranges(
@@ -104,24 +106,20 @@ def time_ranges(
 ) -> DataFrame:
     """Half-open ranges ``[lo, hi)`` in microseconds; the last one is closed."""
     if chunks is None:
-        chunks = chunk_count(
-            F.col("total_count"), policy.target_chunk_rows, policy.time_tiers, False
-        )
-    step = F.greatest(F.lit(1), div(F.col("_span"), F.greatest("_n", F.lit(1))))
+        chunks = chunk_count("total_count", policy.target_chunk_rows, policy.time_tiers, False)
     planned = (
-        profile.where(F.col("data_type").isin(*TIME_TYPES))
+        _of_types(profile, TIME_TYPES)
         .withColumn("_n", chunks)
-        .withColumn("_span", F.col("max_key") - F.col("min_key"))
-        .withColumn("_step", step)
-        .withColumn(
-            "_m", _at_least_nulls(F.least(F.col("_n"), div(F.col("_span"), F.col("_step")) + 1))
+        .selectExpr("*", "max_key - min_key AS _span")
+        .selectExpr("*", "greatest(1L, _span div greatest(_n, 1)) AS _step")
+        .selectExpr(
+            "*",
+            f"cast(CASE WHEN {_ONLY_NULLS} THEN 1 "
+            "ELSE least(_n, _span div _step + 1) END AS int) AS _m",
         )
     )
-    spread = _explode_chunks(planned, "_m")
-    last = F.col("chunk_id") == F.col("_m") - 1
-    lo = F.col("min_key") + F.col("chunk_id") * F.col("_step")
-    hi = F.when(last, F.col("max_key")).otherwise(lo + F.col("_step"))
-    return _finish(spread, _KEEP, lo, hi, last)
+    hi = f"CASE WHEN {_LAST} THEN max_key ELSE min_key + (chunk_id + 1) * _step END"
+    return _finish(_explode_chunks(planned, "_m"), "min_key + chunk_id * _step", hi, _LAST)
 
 
 def real_ranges(
@@ -129,85 +127,78 @@ def real_ranges(
 ) -> DataFrame:
     """Half-open ranges for fractional columns; the last one is closed."""
     if chunks is None:
-        chunks = chunk_count(
-            F.col("total_count"), policy.target_chunk_rows, policy.numeric_tiers, True
-        )
-    fractional = ~F.col("data_type").isin(*WHOLE_TYPES, *TIME_TYPES)
-    step = (F.col("max_real") - F.col("min_real")) / F.greatest("_n", F.lit(1))
-    usable = (F.col("_step") > 0) & (F.col("_step") < F.lit(float("inf")))
+        chunks = chunk_count("total_count", policy.target_chunk_rows, policy.numeric_tiers, True)
+    not_real = ", ".join(repr(t) for t in (*WHOLE_TYPES, *TIME_TYPES))
     planned = (
-        profile.where(fractional & (F.col("total_count") > 0))
+        profile.where(f"data_type NOT IN ({not_real}) AND total_count > 0")
         .withColumn("_n", chunks)
-        .withColumn("_step", step)
+        .selectExpr("*", "(max_real - min_real) / greatest(_n, 1) AS _step")
         # One chunk when all values are equal, or the bounds are infinite or not numbers.
-        .withColumn("_m", F.when(usable, F.col("_n")).otherwise(F.least(F.col("_n"), F.lit(1))))
+        .selectExpr(
+            "*",
+            "CASE WHEN _step > 0 AND _step < double('Infinity') THEN _n ELSE least(_n, 1) END AS _m",
+        )
     )
-    spread = _explode_chunks(planned, "_m")
-    last = F.col("chunk_id") == F.col("_m") - 1
-
-    def edge(i: Column) -> Column:
-        return F.when(i == 0, F.col("min_real")).otherwise(F.col("min_real") + i * F.col("_step"))
-
-    hi = F.when(last, F.col("max_real")).otherwise(edge(F.col("chunk_id") + 1))
-    return _finish(spread, _KEEP, edge(F.col("chunk_id")), hi, last)
+    lo = "CASE WHEN chunk_id = 0 THEN min_real ELSE min_real + chunk_id * _step END"
+    hi = f"CASE WHEN {_LAST} THEN max_real ELSE min_real + (chunk_id + 1) * _step END"
+    return _finish(_explode_chunks(planned, "_m"), lo, hi, _LAST)
 
 
 def simple_ranges(profile: DataFrame, count: Column) -> DataFrame:
     """Plain division into ``count`` closed ranges, first one a key wider than the rest."""
-    low, high = F.col("min_key").cast(_WIDE), F.col("max_key").cast(_WIDE)
     planned = (
-        profile.where(F.col("data_type").isin(*WHOLE_TYPES) & F.col("min_key").isNotNull())
+        _of_types(profile, WHOLE_TYPES)
+        .where("min_key IS NOT NULL")
         .withColumn("_m", count.cast("int"))
-        .withColumn("_width", F.floor((high - low) / F.col("_m")).cast(_WIDE))
+        .selectExpr(
+            "*",
+            f"cast(floor((cast(max_key AS {_WIDE}) - cast(min_key AS {_WIDE})) / _m) AS {_WIDE}) AS _width",
+        )
     )
-    spread = _explode_chunks(planned, "_m")
-    i = F.col("chunk_id")
-    lo = F.when(i == 0, low).otherwise(low + i * F.col("_width") + 1)
-    hi = F.when(i == F.col("_m") - 1, high).otherwise(low + (i + 1) * F.col("_width"))
-    ranges = _finish(spread, _KEEP, lo.cast("bigint"), hi.cast("bigint"), True)
-    return ranges.where(F.col("lo") <= F.col("hi"))
+    first, end = "cast(min_key AS {w}) + chunk_id * _width", "cast(min_key AS {w}) + (chunk_id + 1) * _width"
+    lo = f"CASE WHEN chunk_id = 0 THEN min_key ELSE cast({first.format(w=_WIDE)} + 1 AS bigint) END"
+    hi = f"CASE WHEN {_LAST} THEN max_key ELSE cast({end.format(w=_WIDE)} AS bigint) END"
+    return _finish(_explode_chunks(planned, "_m"), lo, hi, "true").where("lo <= hi")
 
 
 def fallback_chunk_count(target_rows: int, least_keys: int = 1_000_000) -> Column:
     """Chunk count from the key span alone, when the row count is unknown."""
-    span = F.col("max_key").cast(_WIDE) - F.col("min_key").cast(_WIDE)
-    wanted = F.floor(span / F.lit(max(least_keys, target_rows)))
-    return F.greatest(F.lit(1), F.least(F.lit(50), wanted)).cast("int")
+    span = f"(cast(max_key AS {_WIDE}) - cast(min_key AS {_WIDE}))"
+    return F.expr(
+        f"cast(greatest(1, least(50, floor({span} / {max(least_keys, target_rows)}))) AS int)"
+    )
 
 
 def key_between_ranges(profile: DataFrame, chunk_rows: int) -> DataFrame:
     """Equal key steps for BETWEEN clauses. The last chunk reaches the largest key."""
+    span = f"(cast(max_key AS {_WIDE}) - cast(min_key AS {_WIDE}))"
     planned = (
-        profile.where(F.col("data_type").isin(*WHOLE_TYPES) & F.col("min_key").isNotNull())
-        .withColumn("_n", ceil_div(F.col("total_count"), chunk_rows))
-        .withColumn(
-            "_step",
-            F.greatest(
-                F.lit(1),
-                div(F.col("max_key") - F.col("min_key") + 1, div(F.col("total_count"), chunk_rows) + 1),
-            ),
+        _of_types(profile, WHOLE_TYPES)
+        .where("min_key IS NOT NULL")
+        .selectExpr(
+            "*",
+            f"cast(greatest(1, floor(({span} + 1) / (total_count div {chunk_rows} + 1))) AS {_WIDE}) AS _step",
         )
-        .withColumn(
-            "_m",
-            F.least(F.col("_n"), div(F.col("max_key") - F.col("min_key"), F.col("_step")) + 1).cast("int"),
+        .selectExpr(
+            "*",
+            f"cast(least((total_count + {chunk_rows - 1}) div {chunk_rows}, "
+            f"floor({span} / _step) + 1) AS int) AS _m",
         )
     )
-    spread = _explode_chunks(planned, "_m")
-    last = F.col("chunk_id") == F.col("_m") - 1
-    lo = F.col("min_key") + F.col("chunk_id") * F.col("_step")
-    hi = F.when(last, F.col("max_key")).otherwise(lo + F.col("_step") - 1)
-    return _finish(spread, _KEEP, lo, hi, True)
+    start = f"cast(min_key AS {_WIDE}) + chunk_id * _step"
+    hi = f"CASE WHEN {_LAST} THEN max_key ELSE cast({start} + _step - 1 AS bigint) END"
+    return _finish(_explode_chunks(planned, "_m"), f"cast({start} AS bigint)", hi, "true")
 
 
 def offset_chunks(tables: DataFrame, page_rows: int) -> DataFrame:
     """Pages of ``page_rows`` rows; the last one is short. Input: table_name, row_count."""
-    planned = tables.withColumn("_m", ceil_div(F.col("row_count"), page_rows).cast("int"))
-    first = F.col("chunk_id").cast("bigint") * F.lit(page_rows)
-    return _explode_chunks(planned, "_m").select(
-        "table_name",
-        F.col("chunk_id").cast("int").alias("chunk_id"),
-        first.alias("row_offset"),
-        F.least(F.lit(page_rows).cast("bigint"), F.col("row_count") - first).alias("row_limit"),
+    planned = tables.selectExpr(
+        "*", f"cast((row_count + {page_rows - 1}) div {page_rows} AS int) AS _m"
+    )
+    first = f"chunk_id * {page_rows}L"
+    return _explode_chunks(planned, "_m").selectExpr(
+        "table_name", "chunk_id", f"{first} AS row_offset",
+        f"least({page_rows}L, row_count - {first}) AS row_limit",
     )
 
 
@@ -242,47 +233,63 @@ class RangePlan:
     def is_time(self) -> bool:
         return self.spark_type in ("date", "timestamp", "timestamp_ntz")
 
+    @property
+    def _name(self) -> str:
+        return f"`{self.column}`"
+
     def key(self) -> Column:
         """The column as the number the plan was made with."""
-        column = F.col(f"`{self.column}`")
-        return micros(column, self.spark_type) if self.is_time else column
+        return F.expr(self._key_sql())
+
+    def _key_sql(self) -> str:
+        return f"({micros_sql(self._name, self.spark_type)})" if self.is_time else self._name
 
     def chunk_id(self) -> Column:
         """Chunk of a row: closed form for equal steps, binary search otherwise."""
-        if not self.starts:
-            return F.lit(0)
-        column = F.col(f"`{self.column}`")
-        if self.step is not None:
-            # Rows beyond the profiled bounds stay in the outer chunks, so the
-            # difference below never overflows.
-            inner = ((self.key() - F.lit(self.low)) if self._narrow else
-                     self.key().cast(_WIDE) - F.lit(str(self.low)).cast(_WIDE))
-            place = (F.call_function("div", inner, F.lit(self.step)) if self._narrow else
-                     F.floor(inner / F.lit(str(self.step)).cast(_WIDE))).cast("int")
-            return (
-                F.when(column.isNull() | (column < self.literal(self.starts[0])), 0)
-                .when(column >= self.literal(self.starts[-1]), len(self.starts))
-                .otherwise(place)
-            )
-        return F.when(column.isNull(), 0).otherwise(self._search(column, 0, len(self.starts)))
+        return F.expr(self.chunk_sql())
 
-    @property
-    def _narrow(self) -> bool:
-        return self.starts[-1] - self.low < 2**63
+    def chunk_sql(self) -> str:
+        if not self.starts:
+            return "0"
+        if self.step is None:
+            return f"CASE WHEN {self._name} IS NULL THEN 0 ELSE {self._search(0, len(self.starts))} END"
+        # Rows beyond the profiled bounds stay in the outer chunks, so the difference
+        # below never overflows.
+        if self.starts[-1] - self.low < 2**63:
+            place = f"({self._key_sql()} - {self._number(self.low)}) div {self._number(self.step)}"
+        else:
+            wide = f"cast({self._key_sql()} AS {_WIDE}) - {self.low}BD"
+            place = f"floor(({wide}) / {self.step}BD)"
+        return (
+            f"CASE WHEN {self._name} IS NULL OR {self._name} < {self._literal_sql(self.starts[0])} THEN 0 "
+            f"WHEN {self._name} >= {self._literal_sql(self.starts[-1])} THEN {len(self.starts)} "
+            f"ELSE cast({place} AS int) END"
+        )
 
-    def _search(self, column: Column, first: int, last: int) -> Column:
+    def _search(self, first: int, last: int) -> str:
         if first == last:
-            return F.lit(first)
+            return str(first)
         middle = (first + last) // 2
-        return F.when(
-            column < self.literal(self.starts[middle]), self._search(column, first, middle)
-        ).otherwise(self._search(column, middle + 1, last))
+        return (
+            f"CASE WHEN {self._name} < {self._literal_sql(self.starts[middle])} "
+            f"THEN {self._search(first, middle)} ELSE {self._search(middle + 1, last)} END"
+        )
+
+    @staticmethod
+    def _number(key: int) -> str:
+        # The smallest 64-bit number has no literal of its own.
+        return f"{key}L" if key > -(2**63) else f"({key + 1}L - 1L)"
+
+    def _literal_sql(self, key) -> str:
+        if self.is_time:
+            return f"cast('{self.text(key)}' AS {self.spark_type})"
+        if isinstance(key, int):
+            return f"cast({self._number(key)} AS {self.spark_type})"
+        return f"cast('{key!r}' AS {self.spark_type})"
 
     def literal(self, key) -> Column:
         """A key as a literal of the column's own type, so that filters reach the scan."""
-        if not self.is_time:
-            return F.lit(key).cast(self.spark_type)
-        return F.lit(self.text(key)).cast(self.spark_type)
+        return F.expr(self._literal_sql(key))
 
     def text(self, key) -> str:
         """ISO text of a key (dates: the first day that is not below the key)."""

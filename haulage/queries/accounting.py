@@ -56,7 +56,7 @@ JOB_COLUMNS = [
 
 
 def at(column: str):
-    return micros(F.col(column), "timestamp_ntz")
+    return micros(column, "timestamp_ntz")
 
 
 def job_states(spark: SparkSession, sf: str) -> DataFrame:

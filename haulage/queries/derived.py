@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from haulage.functions.scale import div
 from haulage.operators.ledger import EVENT_SCHEMA
 from haulage.policy import Policy
 from haulage.sources.tables import load
@@ -42,21 +41,15 @@ inventory AS (
 
 
 def inventory(spark: SparkSession, sf: str) -> DataFrame:
-    factor = (
-        F.when(F.col("o_orderpriority") == "1-URGENT", 1)
-        .when(F.col("o_orderpriority") == "2-HIGH", 20)
-        .when(F.col("o_orderpriority") == "3-MEDIUM", 200)
-        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", 1500)
-        .otherwise(4000)
-    )
-    price = F.col("o_totalprice")
-    return load(spark, sf, "orders").select(
-        F.concat(F.lit("sales.order_"), "o_orderkey").alias("table_name"),
-        (F.round(price).cast("bigint") * factor).alias("row_count"),
-        (F.col("o_orderstatus") != "P").alias("has_suitable_range_column"),
-        F.when(price < 150000, "vertica").when(price < 350000, "postgresql")
-        .otherwise("greenplum").alias("db_type"),
-        F.concat(F.lit("job_"), "o_custkey").alias("job_id"),
+    return load(spark, sf, "orders").selectExpr(
+        "concat('sales.order_', o_orderkey) AS table_name",
+        """cast(round(o_totalprice) AS bigint) * CASE o_orderpriority
+             WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 20 WHEN '3-MEDIUM' THEN 200
+             WHEN '4-NOT SPECIFIED' THEN 1500 ELSE 4000 END AS row_count""",
+        "o_orderstatus <> 'P' AS has_suitable_range_column",
+        """CASE WHEN o_totalprice < 150000 THEN 'vertica' WHEN o_totalprice < 350000
+             THEN 'postgresql' ELSE 'greenplum' END AS db_type""",
+        "concat('job_', o_custkey) AS job_id",
     )
 
 
@@ -74,15 +67,13 @@ catalog_tables AS (
 
 def catalog_tables(spark: SparkSession, sf: str) -> DataFrame:
     nation = load(spark, sf, "nation")
-    key = F.col("n_nationkey")
-    schema = (
-        F.when(key == 0, "pg_toast").when(key == 1, "gp_toolkit").when(key == 2, "information_schema")
-        .otherwise(F.replace(F.lower("n_name"), F.lit(" "), F.lit("_")))
-    )
-    return load(spark, sf, "customer").join(nation, F.col("c_nationkey") == key).select(
-        schema.alias("table_schema"),
-        F.replace(F.lower("c_name"), F.lit("#"), F.lit("_")).alias("table_name"),
-        F.when(F.col("c_acctbal") < 0, "VIEW").otherwise("BASE TABLE").alias("table_type"),
+    joined = load(spark, sf, "customer").join(nation, F.expr("c_nationkey = n_nationkey"))
+    return joined.selectExpr(
+        """CASE n_nationkey WHEN 0 THEN 'pg_toast' WHEN 1 THEN 'gp_toolkit'
+             WHEN 2 THEN 'information_schema' ELSE replace(lower(n_name), ' ', '_') END
+             AS table_schema""",
+        "replace(lower(c_name), '#', '_') AS table_name",
+        "CASE WHEN c_acctbal < 0 THEN 'VIEW' ELSE 'BASE TABLE' END AS table_type",
     )
 
 
@@ -116,18 +107,17 @@ catalog_columns AS (
 
 
 def catalog_columns(spark: SparkSession, sf: str) -> DataFrame:
-    flag = F.col("l_returnflag")
-    quantity = F.col("l_quantity").cast("int")
-    return load(spark, sf, "lineitem").select(
-        F.when(F.col("l_tax") < 0.04, "Sales").otherwise("SALES").alias("table_schema"),
-        F.concat(F.lit("Order_"), "l_orderkey").alias("table_name"),
-        F.concat(F.lit("c"), "l_linenumber", F.lit("_"), "l_partkey").alias("column_name"),
-        F.element_at(F.array(*[F.lit(t) for t in SPELLED_TYPES]), quantity).alias("data_type"),
-        (quantity * 4).alias("character_maximum_length"),
-        F.when(F.col("l_linestatus") == "F", "NO").otherwise("YES").alias("is_nullable"),
-        F.col("l_linenumber").alias("ordinal_position"),
-        F.when(flag == "R", "vertica").when(flag == "A", "postgresql").otherwise("greenplum")
-        .alias("dialect"),
+    names = ", ".join(f"'{t}'" for t in SPELLED_TYPES)
+    return load(spark, sf, "lineitem").selectExpr(
+        "CASE WHEN l_tax < 0.04D THEN 'Sales' ELSE 'SALES' END AS table_schema",
+        "concat('Order_', l_orderkey) AS table_name",
+        "concat('c', l_linenumber, '_', l_partkey) AS column_name",
+        f"element_at(array({names}), cast(l_quantity AS int)) AS data_type",
+        "cast(l_quantity AS int) * 4 AS character_maximum_length",
+        "CASE WHEN l_linestatus = 'F' THEN 'NO' ELSE 'YES' END AS is_nullable",
+        "l_linenumber AS ordinal_position",
+        """CASE l_returnflag WHEN 'R' THEN 'vertica' WHEN 'A' THEN 'postgresql'
+             ELSE 'greenplum' END AS dialect""",
     )
 
 
@@ -145,24 +135,23 @@ key_columns AS (
 
 
 def key_constraints(spark: SparkSession, sf: str) -> DataFrame:
-    status = F.col("o_orderstatus")
-    return load(spark, sf, "orders").select(
-        F.lit("Sales").alias("constraint_schema"),
-        F.concat(F.lit("key_"), "o_orderkey").alias("constraint_name"),
-        F.lit("Sales").alias("table_schema"),
-        F.concat(F.lit("Order_"), "o_orderkey").alias("table_name"),
-        F.when(status == "F", "PRIMARY KEY").when(status == "O", "UNIQUE")
-        .otherwise("FOREIGN KEY").alias("constraint_type"),
+    return load(spark, sf, "orders").selectExpr(
+        "'Sales' AS constraint_schema",
+        "concat('key_', o_orderkey) AS constraint_name",
+        "'Sales' AS table_schema",
+        "concat('Order_', o_orderkey) AS table_name",
+        """CASE o_orderstatus WHEN 'F' THEN 'PRIMARY KEY' WHEN 'O' THEN 'UNIQUE'
+             ELSE 'FOREIGN KEY' END AS constraint_type""",
     )
 
 
 def key_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Columns of the keys: those of discounted lines."""
-    return load(spark, sf, "lineitem").where(F.col("l_discount") >= 0.05).select(
-        F.lit("Sales").alias("constraint_schema"),
-        F.concat(F.lit("key_"), "l_orderkey").alias("constraint_name"),
-        F.concat(F.lit("c"), "l_linenumber", F.lit("_"), "l_partkey").alias("column_name"),
-        F.col("l_linenumber").alias("key_position"),
+    return load(spark, sf, "lineitem").where("l_discount >= 0.05D").selectExpr(
+        "'Sales' AS constraint_schema",
+        "concat('key_', l_orderkey) AS constraint_name",
+        "concat('c', l_linenumber, '_', l_partkey) AS column_name",
+        "l_linenumber AS key_position",
     )
 
 
@@ -180,15 +169,11 @@ feed AS (
 
 def shape_feed(events: DataFrame) -> DataFrame:
     """Columns of the feed, for a batch or a stream of events."""
-    k = F.regexp_extract("props", r"\d+", 0).cast("int")
-    return events.select(
-        F.col("event_id").alias("seq"),
-        "ts",
-        "event_type",
-        F.concat(F.lit("job_"), "user_id").alias("job_id"),
-        k.alias("k"),
-        F.concat(F.lit("public.t_"), div(k, 25)).alias("table_name"),
-        F.round(F.col("value") * 100).cast("bigint").alias("amount"),
+    k = r"cast(regexp_extract(props, r'\d+', 0) AS int)"
+    return events.selectExpr(
+        "event_id AS seq", "ts", "event_type", "concat('job_', user_id) AS job_id", f"{k} AS k",
+        f"concat('public.t_', {k} div 25) AS table_name",
+        "cast(round(value * 100) AS bigint) AS amount",
     )
 
 
@@ -196,57 +181,51 @@ def feed(spark: SparkSession, sf: str) -> DataFrame:
     return shape_feed(load(spark, sf, "events"))
 
 
-def _ledger_event(op, table, fields: dict):
-    """Columns of the event log from a feed; the fields not named stay NULL."""
+def _ledger_events(feed: DataFrame, op: str, table: str, fields: dict[str, str]) -> DataFrame:
+    """Event log rows from a feed; the fields not named stay NULL."""
     struct = StructType.fromDDL(EVENT_SCHEMA)["fields"].dataType
-    values = [
-        fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in struct.fields
-    ]
-    return [F.col("seq"), F.col("ts"), op.alias("op"), F.col("job_id"), table.alias("table_name"),
-            F.struct(*values).alias("fields")]
+    values = ", ".join(
+        f"cast({fields.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in struct.fields
+    )
+    return feed.selectExpr(
+        "seq", "ts", f"{op} AS op", "job_id", f"{table} AS table_name", f"struct({values}) AS fields"
+    )
 
 
 def as_job_events(feed: DataFrame) -> DataFrame:
     """signup starts a job, view and click update it, purchase completes, error fails it."""
-    kind = F.col("event_type")
-    op = (
-        F.when(kind == "signup", "job_start").when(kind == "purchase", "job_complete")
-        .when(kind == "error", "job_fail").otherwise("job_update")
-    )
-    start, view, click = kind == "signup", kind == "view", kind == "click"
+    op = """CASE event_type WHEN 'signup' THEN 'job_start' WHEN 'purchase' THEN 'job_complete'
+      WHEN 'error' THEN 'job_fail' ELSE 'job_update' END"""
     fields = {
-        "status": F.when(start, "running"),
-        "overall_status": F.when(start, "running"),
-        "db_username": F.when(start, F.concat(F.lit("user_"), "k")),
-        "start_time": F.when(start, F.col("ts")),
-        "tables_total": F.when(start, F.col("k")),
-        "rows_processed": F.when(view, F.col("amount")),
-        "progress_percent": F.when(view, F.col("k")),
-        "throughput_rows_per_sec": F.when(click, F.col("amount")),
-        "tables_completed": F.when(click, div(F.col("k"), 10)),
-        "error_message": F.when(kind == "error", F.concat(F.lit("failed at "), "k")),
+        "status": "if(event_type = 'signup', 'running', NULL)",
+        "overall_status": "if(event_type = 'signup', 'running', NULL)",
+        "db_username": "if(event_type = 'signup', concat('user_', k), NULL)",
+        "start_time": "if(event_type = 'signup', ts, NULL)",
+        "tables_total": "if(event_type = 'signup', k, NULL)",
+        "rows_processed": "if(event_type = 'view', amount, NULL)",
+        "progress_percent": "if(event_type = 'view', k, NULL)",
+        "throughput_rows_per_sec": "if(event_type = 'click', amount, NULL)",
+        "tables_completed": "if(event_type = 'click', k div 10, NULL)",
+        "error_message": "if(event_type = 'error', concat('failed at ', k), NULL)",
     }
-    return feed.select(*_ledger_event(op, F.lit(None).cast("string"), fields))
+    return _ledger_events(feed, op, "cast(NULL AS string)", fields)
 
 
 def as_table_events(feed: DataFrame) -> DataFrame:
     """The same for tables; a view reports rows, a click the chunks being processed."""
-    kind = F.col("event_type")
-    op = (
-        F.when(kind == "signup", "table_start").when(kind == "purchase", "table_complete")
-        .when(kind == "error", "table_fail").otherwise("table_update")
-    )
-    start, view, click, done = (kind == k for k in ("signup", "view", "click", "purchase"))
+    op = """CASE event_type WHEN 'signup' THEN 'table_start' WHEN 'purchase' THEN 'table_complete'
+      WHEN 'error' THEN 'table_fail' ELSE 'table_update' END"""
     fields = {
-        "status": F.when(start | click, "processing"),
-        "start_time": F.when(start, F.col("ts")),
-        "row_count": F.when(start, F.col("amount") * 3),
-        "rows_processed": F.when(view | done, F.col("amount")),
-        "chunk_count": F.when(click, F.col("k") + 1),
-        "file_size_mb": F.when(done, F.col("k") / 4),
-        "error_message": F.when(kind == "error", F.concat(F.lit("connection lost at "), "k")),
+        "status": "if(event_type IN ('signup', 'click'), 'processing', NULL)",
+        "start_time": "if(event_type = 'signup', ts, NULL)",
+        "row_count": "if(event_type = 'signup', amount * 3, NULL)",
+        "rows_processed": "if(event_type IN ('view', 'purchase'), amount, NULL)",
+        "chunk_count": "if(event_type = 'click', k + 1, NULL)",
+        "file_size_mb": "if(event_type = 'purchase', k / 4, NULL)",
+        "error_message": "if(event_type = 'error', concat('connection lost at ', k), NULL)",
     }
-    return feed.select(*_ledger_event(op, F.col("table_name"), fields))
+    return _ledger_events(feed, op, "table_name", fields)
 
 
 TABLE_STATE_SQL = (
@@ -294,25 +273,17 @@ log_lines AS (
 
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    kind, k = F.col("event_type"), F.col("k")
-    level = F.when(kind == "error", "ERROR").when(kind == "signup", "WARNING").otherwise("INFO")
-    tags = F.when(kind == "signup", "").otherwise(
-        F.concat(F.lit(" [TABLE:"), "table_name", F.lit("] [PROGRESS:"), k, F.lit(".0%] [CHUNKS:"),
-                 k, F.lit("/100] [METHOD:range_chunking]"))
-    )
-    message = (
-        F.when(kind == "error", F.concat(F.lit("Chunk "), k, F.lit(" failed: connection timeout")))
-        .when(kind == "signup", "Memory is getting low")
-        .when(kind == "purchase", "Table export completed successfully")
-        .when(kind == "view", F.concat(F.lit("Processing chunk "), k))
-        .otherwise("lazy dataframe read_database")
-    )
-    line = F.concat(
-        F.lit("["), F.substring(F.col("ts").cast("string"), 1, 19), F.lit("] ["), level,
-        F.lit("] [JOB:"), "job_id", F.lit("]"), tags, F.lit(" [CONN:1/16] [MEM:"), "amount",
-        F.lit(".5MB] "), message,
-    )
-    return feed(spark, sf).select(F.col("seq").alias("line_no"), line.alias("value"))
+    line = """concat('[', substring(cast(ts AS string), 1, 19), '] [',
+      CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'INFO' END,
+      '] [JOB:', job_id, ']',
+      CASE WHEN event_type = 'signup' THEN '' ELSE concat(' [TABLE:', table_name, '] [PROGRESS:', k,
+        '.0%] [CHUNKS:', k, '/100] [METHOD:range_chunking]') END,
+      ' [CONN:1/16] [MEM:', amount, '.5MB] ',
+      CASE event_type WHEN 'error' THEN concat('Chunk ', k, ' failed: connection timeout')
+        WHEN 'signup' THEN 'Memory is getting low'
+        WHEN 'purchase' THEN 'Table export completed successfully'
+        WHEN 'view' THEN concat('Processing chunk ', k) ELSE 'lazy dataframe read_database' END)"""
+    return feed(spark, sf).selectExpr("seq AS line_no", f"{line} AS value")
 
 
 def with_ctes(*ctes: str) -> str:

@@ -24,7 +24,7 @@ SELECT line_no, epoch_us(date_trunc('second', ts)) AS logged_at,
 FROM feed JOIN log_lines ON seq = line_no""")
 def parse_logs(spark: SparkSession, sf: str) -> DataFrame:
     return logs.parse_logs(log_lines(spark, sf)).select(
-        "line_no", micros(F.col("logged_at"), "timestamp_ntz").alias("logged_at"), "level", "job_id",
+        "line_no", micros("logged_at", "timestamp_ntz").alias("logged_at"), "level", "job_id",
         "table_name", "progress_percent", "chunks", "method", "connections", "memory", "circuit",
         "message",
     )

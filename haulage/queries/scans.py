@@ -52,7 +52,7 @@ def scan_range(spark: SparkSession, sf: str) -> DataFrame:
 
     return part.select(
         "o_orderkey", "o_custkey", "o_totalprice",
-        micros(F.col("o_orderdate"), "timestamp_ntz").alias("ordered_at"),
+        micros("o_orderdate", "timestamp_ntz").alias("ordered_at"),
     )
 
 
@@ -137,7 +137,7 @@ def read_back(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("row_count"),
         F.sum("o_orderkey").alias("key_sum"),
         F.sum(cents("o_totalprice")).alias("total_cents"),
-        F.min(micros(F.col("o_orderdate"), "timestamp_ntz")).alias("first_order"),
+        F.min(micros("o_orderdate", "timestamp_ntz")).alias("first_order"),
     )
 
 

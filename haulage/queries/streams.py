@@ -37,7 +37,7 @@ def stream_export(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("row_count"),
         F.sum("event_id").alias("key_sum"),
         F.sum(cents("value")).alias("total_cents"),
-        F.max(micros(F.col("ts"), "timestamp_ntz")).alias("last_at"),
+        F.max(micros("ts", "timestamp_ntz")).alias("last_at"),
     )
 
 

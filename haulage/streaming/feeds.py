@@ -38,7 +38,7 @@ def _with_instant(df: DataFrame) -> DataFrame:
     """Watermarks need an instant; a time without zone is taken as UTC."""
     if dict(df.dtypes)["ts"] != "timestamp_ntz":
         return df
-    return df.withColumn("ts", F.timestamp_micros(micros(F.col("ts"), "timestamp_ntz")))
+    return df.withColumn("ts", F.timestamp_micros(micros("ts", "timestamp_ntz")))
 
 
 def _start(writer, interval: str | None):
