@@ -85,12 +85,15 @@ def numeric_ranges(
         .withColumn("_n", chunks)
         .selectExpr("*", f"cast(max_key AS {_WIDE}) - cast(min_key AS {_WIDE}) AS _span")
         .selectExpr(
-            "*", f"cast(greatest(1, floor(_span / greatest(_n, 1))) AS {_WIDE}) AS _width"
+            "*",
+            # One chunk spans everything; from two on, the quotient fits into 64 bits.
+            f"cast(CASE WHEN _n <= 1 THEN greatest(1, _span) "
+            f"ELSE greatest(1L, _span div _n) END AS {_WIDE}) AS _width",
         )
         .selectExpr(
             "*",
             f"cast(CASE WHEN {_ONLY_NULLS} THEN 1 "
-            "ELSE least(_n, floor(_span / (_width + 1)) + 1) END AS int) AS _m",
+            "ELSE least(_n, _span div (_width + 1) + 1) END AS int) AS _m",
         )
     )
     start = f"(cast(min_key AS {_WIDE}) + chunk_id * (_width + 1))"
@@ -182,7 +185,7 @@ def key_between_ranges(profile: DataFrame, chunk_rows: int) -> DataFrame:
         .selectExpr(
             "*",
             f"cast(least((total_count + {chunk_rows - 1}) div {chunk_rows}, "
-            f"floor({span} / _step) + 1) AS int) AS _m",
+            f"{span} div _step + 1) AS int) AS _m",
         )
     )
     start = f"cast(min_key AS {_WIDE}) + chunk_id * _step"
@@ -259,7 +262,7 @@ class RangePlan:
             place = f"({self._key_sql()} - {self._number(self.low)}) div {self._number(self.step)}"
         else:
             wide = f"cast({self._key_sql()} AS {_WIDE}) - {self.low}BD"
-            place = f"floor(({wide}) / {self.step}BD)"
+            place = f"({wide}) div {self.step}BD"
         return (
             f"CASE WHEN {self._name} IS NULL OR {self._name} < {self._literal_sql(self.starts[0])} THEN 0 "
             f"WHEN {self._name} >= {self._literal_sql(self.starts[-1])} THEN {len(self.starts)} "
