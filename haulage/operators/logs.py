@@ -49,7 +49,7 @@ def parse_logs(lines: DataFrame, value: str = "value") -> DataFrame:
     rest = LINE_HEAD + r"(?:\[[A-Z-]+:[^\]]*\] ?)*"
     return lines.selectExpr(
         "*",
-        f"cast(try_to_timestamp({part(LINE_HEAD)}) AS timestamp_ntz) AS logged_at",
+        f"try_cast({part(LINE_HEAD)} AS timestamp_ntz) AS logged_at",
         f"nullif(regexp_extract({value}, r'{LINE_HEAD}', 2), '') AS level",
         *[f"{text} AS {name}" for name, text in tags.items()],
         f"try_cast(rtrim('%', {tags['progress']}) AS double) AS progress_percent",

@@ -11,36 +11,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from haulage.functions.rows import row_hash
 from haulage.session import written
 
 SLICE, PLACE = "_slice", "_place"
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def ordered_slices(df: DataFrame, order: list, label: str = "slices") -> DataFrame:
+def ordered_slices(df: DataFrame, order: list[str], label: str = "slices") -> DataFrame:
     """``df`` plus slice number and place in the slice, following ``order``.
 
-    The result is written once: range bounds are sampled, so a recomputation could cut
-    the slices differently.
+    Rows that are equal in ``order`` are told apart by their place in the input, so that
+    copies that fill a third of the table are spread as well. The result is written once:
+    range bounds are sampled, so a recomputation could cut the slices differently. Input
+    that is not read from files should be written first, for the same reason.
     """
-    row_id = F.monotonically_increasing_id()
+    order = [*order, "_input_place"]
     sliced = (
-        df.repartitionByRange(*order)
+        df.withColumn("_input_place", F.monotonically_increasing_id())
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn(PLACE, row_id)
-        .withColumn(SLICE, F.shiftright(F.col(PLACE), _PLACE_BITS).cast("int"))
-        .withColumn(PLACE, F.col(PLACE).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
+        .drop("_input_place")
+        .withColumn(PLACE, F.monotonically_increasing_id())
+        .selectExpr(
+            "*", f"cast(shiftright({PLACE}, {_PLACE_BITS}) AS int) AS {SLICE}"
+        )
+        .withColumn(PLACE, F.expr(f"{PLACE} & {(1 << _PLACE_BITS) - 1}L"))
     )
     return written(sliced, label)
 
 
-def with_positions(df: DataFrame, order: list, name: str = "position") -> DataFrame:
-    """``df`` plus a 0-based global position in ``order``, which must be total.
+def with_positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """``df`` plus a 0-based global position in ``order``.
 
-    One range shuffle and one write; no row moves again. The offsets joined back have one
-    row per slice, that is at most ``spark.sql.shuffle.partitions`` rows.
+    Ties are broken by a 128-bit hash of the row, not by its columns: the range bounds are
+    sampled through the driver, and a sample of wide texts would not be small. One range
+    shuffle and one write; no row moves again. The offsets joined back have one row per
+    slice, that is at most ``spark.sql.shuffle.partitions`` rows.
     """
-    slices = ordered_slices(df, order, "positions")
+    hashed = df.withColumn("_tie", row_hash(df.columns)).selectExpr(
+        *[f"`{c}`" for c in df.columns], "_tie.a AS _tie_a", "_tie.b AS _tie_b"
+    )
+    slices = ordered_slices(hashed, [*order, "_tie_a", "_tie_b"], "positions")
     # Reads only the two small columns of the written table.
     sizes = slices.groupBy(SLICE).agg((F.max(PLACE) + 1).alias("_size"))
     before = W.orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
@@ -50,7 +62,7 @@ def with_positions(df: DataFrame, order: list, name: str = "position") -> DataFr
     return (
         slices.join(F.broadcast(offsets), SLICE)
         .withColumn(name, F.col("_offset") + F.col(PLACE))
-        .drop(SLICE, PLACE, "_offset")
+        .select(*df.columns, name)
     )
 
 

@@ -55,14 +55,28 @@ def profile_columns(df: DataFrame, table: str, columns: list[str] | None = None)
     found = [c for c in rangeable_columns(df) if columns is None or c[1] in columns]
     if not found:
         raise ValueError(f"{table} has no column of a rangeable type")
+    return profile_from_extremes(df.selectExpr(*extremes(found)), found, table)
 
-    aggregates, entries = ["count(*) AS _rows"], []
-    for ordinal, name, dtype in found:
-        column, kind = f"`{name}`", database_type(dtype)
-        low, high = f"_lo{ordinal}", f"_hi{ordinal}"
-        aggregates += [
-            f"min({column}) AS {low}", f"max({column}) AS {high}", f"count({column}) AS _n{ordinal}"
+
+def extremes(found: list[tuple[int, str, str]], quote: str = "`") -> list[str]:
+    """Aggregates of one profile row, as SQL that databases understand as well."""
+    out = ["count(*) AS row_total"]
+    for ordinal, name, _ in found:
+        column = f"{quote}{name}{quote}"
+        out += [
+            f"min({column}) AS lo_{ordinal}", f"max({column}) AS hi_{ordinal}",
+            f"count({column}) AS n_{ordinal}",
         ]
+    return out
+
+
+def profile_from_extremes(
+    one_row: DataFrame, found: list[tuple[int, str, str]], table: str
+) -> DataFrame:
+    """Turn the wide row of :func:`extremes` into one row per column."""
+    entries = []
+    for ordinal, name, dtype in found:
+        kind, low, high = database_type(dtype), f"lo_{ordinal}", f"hi_{ordinal}"
         keys, reals = ["NULL", "NULL"], ["NULL", "NULL"]
         if kind in WHOLE_TYPES:
             keys = [low, high]
@@ -72,11 +86,10 @@ def profile_columns(df: DataFrame, table: str, columns: list[str] | None = None)
             reals = [f"{low} + 0.0D", f"{high} + 0.0D"]  # adding zero turns -0.0 into 0.0
         values = [str(ordinal), f"'{name}'", f"'{kind}'"]
         values += [f"cast({k} AS bigint)" for k in keys] + [f"cast({r} AS double)" for r in reals]
-        entries.append(", ".join([*values, f"_rows - _n{ordinal}", "_rows"]))
+        entries.append(", ".join([*values, f"row_total - n_{ordinal}", "row_total"]))
     names = "ordinal, column_name, data_type, min_key, max_key, min_real, max_real, null_count, total_count"
-    # A wide but single row becomes one row per column.
     stacked = f"stack({len(entries)}, {', '.join(entries)}) AS ({names})"
-    return df.selectExpr(*aggregates).selectExpr(stacked).selectExpr(f"'{table}' AS table_name", "*")
+    return one_row.selectExpr(stacked).selectExpr(f"'{table}' AS table_name", "*")
 
 
 def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulage.functions.rows import row_hash
 from haulage.plans.ranges import RangePlan
 
 
@@ -101,6 +102,16 @@ def _open_input(path: str):
     return handler.open_input_file(inner)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """A file list over all executors. The number is given, because adaptive execution
+    would see a tiny list and put it into one task."""
+    spark = files.sparkSession
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return files.repartition(tasks, "file_path")
+
+
 def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import pyarrow.parquet as pq
 
@@ -125,7 +136,7 @@ def verify_readable(files: DataFrame) -> DataFrame:
         "file_path string, readable boolean, row_count bigint, row_groups bigint, "
         "codec string, error string"
     )
-    return files.select("file_path").repartition("file_path").mapInPandas(_read_footers, schema)
+    return spread(files.select("file_path")).mapInPandas(_read_footers, schema)
 
 
 def _stream_checksums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,7 +159,7 @@ def file_checksums(files: DataFrame) -> DataFrame:
     ``files(file_path, file_size, ...)`` keeps its columns.
     """
     schema = files.schema.add("checksum", "string")
-    return files.repartition("file_path").mapInPandas(_stream_checksums, schema)
+    return spread(files).mapInPandas(_stream_checksums, schema)
 
 
 def combined_checksum(checksums: DataFrame, group: str = "table_name") -> DataFrame:
@@ -167,15 +178,6 @@ def combined_checksum(checksums: DataFrame, group: str = "table_name") -> DataFr
     )
 
 
-def row_hash(columns: list[str]) -> Column:
-    """128 bits over a row. The NULL pattern is hashed too, because the hash functions
-    skip NULLs and would not see a value that moved to the neighbouring column."""
-    values = [f"`{name}`" for name in columns]
-    nulls = "concat(" + ", ".join(f"if({v} IS NULL, '1', '0')" for v in values) + ")"
-    forward, backward = ", ".join([nulls, *values]), ", ".join([*reversed(values), nulls, "1"])
-    return F.expr(f"struct(xxhash64({forward}) AS a, xxhash64({backward}) AS b)")
-
-
 def verify_sample(
     source: DataFrame, export: DataFrame, keys: list[str], one_in: int = 100
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulage.functions.scale import micros_sql
+from haulage.operators.positions import with_positions
 from haulage.operators.profile import TIME_TYPES, WHOLE_TYPES
 from haulage.policy import Policy
 
@@ -205,13 +206,26 @@ def offset_chunks(tables: DataFrame, page_rows: int) -> DataFrame:
     )
 
 
-def quantile_starts(df: DataFrame, column: str, chunks: int, accuracy: int = 10_000) -> list:
-    """Inner boundaries that balance the rows (``chunks - 1`` values or fewer)."""
+def quantile_starts(
+    df: DataFrame, column: str, chunks: int, accuracy: int = 10_000, exact: bool = False
+) -> list:
+    """Inner boundaries that balance the rows (``chunks - 1`` values or fewer).
+
+    The sketch takes one pass and is off by ``rows / accuracy``; ``exact`` sorts the one
+    column over all executors instead and picks the values at their positions.
+    """
     if chunks < 2:
         return []
-    shares = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
-    found = df.agg(F.percentile_approx(column, shares, accuracy).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    filled = df.select(column).where(f"`{column}` IS NOT NULL")
+    if not exact:
+        shares = ", ".join(f"{i / chunks}D" for i in range(1, chunks))
+        sketch = f"approx_percentile(`{column}`, array({shares}), {accuracy}) AS q"
+        return sorted(set(filled.selectExpr(sketch).first()["q"] or []))
+    placed = with_positions(filled, [column])
+    rows = placed.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    wanted = sorted({max(0, -(-rows * i // chunks) - 1) for i in range(1, chunks)}) if rows else []
+    found = placed.where(F.col("position").isin(wanted)).select(column).distinct().collect()
+    return sorted(r[0] for r in found)
 
 
 @dataclass(frozen=True)
@@ -380,10 +394,12 @@ def range_plan(
 
 
 def quantile_plan(
-    df: DataFrame, column: str, chunks: int, accuracy: int = 10_000, table: str = "table"
+    df: DataFrame, column: str, chunks: int, accuracy: int = 10_000, table: str = "table",
+    exact: bool = False,
 ) -> RangePlan:
     """A plan with balanced chunks instead of equal widths, against skewed values."""
     spark_type = dict(df.dtypes)[column]
     plan = RangePlan(table=table, column=column, spark_type=spark_type, starts=())
-    starts = quantile_starts(df.select(plan.key().alias("k")), "k", chunks, accuracy)
+    keys = df.select(plan.key().alias("k"))
+    starts = quantile_starts(keys, "k", chunks, accuracy, exact)
     return RangePlan(table=table, column=column, spark_type=spark_type, starts=tuple(starts))

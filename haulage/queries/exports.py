@@ -13,6 +13,7 @@ from haulage.policy import EXPORT_PROFILES
 from haulage.queries.derived import INVENTORY_SQL, SMALL, cents, inventory, with_ctes
 from haulage.queries.planning import METHOD_SQL
 from haulage.queries.registry import query
+from haulage.queries.scans import LINE_ORDER
 from haulage.session import new_dir
 from haulage.sinks import export
 from haulage.sinks.job import Ledger, export_job
@@ -50,7 +51,7 @@ FROM (
   FROM lineitem) GROUP BY 1""")
 def export_paged(spark: SparkSession, sf: str) -> DataFrame:
     lines, path = load(spark, sf, "lineitem"), new_dir(spark, "paged")
-    export.export_paged(lines, ["l_orderkey", "l_linenumber"], 7000, path, "lineitem")
+    export.export_paged(lines, LINE_ORDER, 7000, path, "lineitem")
     return read_export(spark, path).groupBy("chunk_id").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.sum("l_orderkey").alias("key_sum"),

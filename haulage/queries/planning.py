@@ -114,9 +114,24 @@ SELECT CAST(len([s for s in starts if s <= l_extendedprice]) AS INTEGER) AS chun
   count(*) AS rows, min(l_extendedprice) AS first_value, max(l_extendedprice) AS last_value
 FROM lineitem, q GROUP BY 1""")
 def quantile_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """Balanced chunks of a column; the accuracy makes the sketch exact below a million rows."""
-    lines = load(spark, sf, "lineitem")
-    plan = ranges.quantile_plan(lines, "l_extendedprice", 8, accuracy=1_000_000)
+    """Exactly balanced chunks, from a distributed sort of the column."""
+    return _balanced(load(spark, sf, "lineitem"), exact=True)
+
+
+@query("quantile_ranges_approx", """
+SELECT count(*) AS rows, CAST(8 AS BIGINT) AS chunks, true AS balanced FROM lineitem""")
+def quantile_ranges_approx(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks from a sketch; balanced: none is off by more than 1 % of all rows."""
+    chunks = _balanced(load(spark, sf, "lineitem"), exact=False)
+    return chunks.agg(
+        F.sum("rows").alias("rows"),
+        F.count(F.lit(1)).alias("chunks"),
+        ((F.max("rows") - F.min("rows")) <= F.sum("rows") * 0.01).alias("balanced"),
+    )
+
+
+def _balanced(lines: DataFrame, exact: bool) -> DataFrame:
+    plan = ranges.quantile_plan(lines, "l_extendedprice", 8, exact=exact)
     return lines.groupBy(plan.chunk_id().alias("chunk_id")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("l_extendedprice").alias("first_value"),

@@ -56,6 +56,13 @@ def scan_range(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The lines have no key, so all columns together make the order that SQL can follow.
+LINE_ORDER = [
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+]
+
+
 @query("scan_page", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, position FROM (
   SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
@@ -64,7 +71,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, position FROM (
 WHERE position >= 4000 AND position < 5500""")
 def scan_page(spark: SparkSession, sf: str) -> DataFrame:
     lines = load(spark, sf, "lineitem")
-    page = tables.scan_page(lines, ["l_orderkey", "l_linenumber"], offset=4000, size=1500)
+    page = tables.scan_page(lines, LINE_ORDER, offset=4000, size=1500)
     return page.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "position")
 
 

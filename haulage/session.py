@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -106,3 +108,26 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         fs.delete(target, False)
     if not fs.rename(draft, target):
         raise OSError(f"could not write {path}")
+
+
+_ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+_lock, _users, _before = threading.Lock(), 0, None
+
+
+@contextmanager
+def target_partition_size(spark: SparkSession, megabytes: int):
+    """Size that adaptive execution aims at while files are written; restored when the
+    last of several concurrent writers is done."""
+    global _users, _before
+    with _lock:
+        if _users == 0:
+            _before = spark.conf.get(_ADVISORY, None)
+            spark.conf.set(_ADVISORY, f"{max(1, megabytes)}m")
+        _users += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _users -= 1
+            if _users == 0:
+                spark.conf.unset(_ADVISORY) if _before is None else spark.conf.set(_ADVISORY, _before)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from haulage.operators.positions import with_positions
 from haulage.plans.ranges import RangePlan
 from haulage.policy import ExportOptions, Policy
+from haulage.session import target_partition_size
 from haulage.sinks.manifest import CHUNK, write_manifest
-from haulage.sources.tables import total_order
 
 
 def _check_free(df: DataFrame) -> None:
@@ -25,8 +25,8 @@ def _write(df: DataFrame, path: str, options: ExportOptions, chunked: bool) -> N
 def gathered_by_chunk(df: DataFrame) -> DataFrame:
     """Bring the rows of a chunk together for writing.
 
-    A rebalance, not a plain repartition: adaptive execution splits a chunk that is much
-    larger than the others over several tasks, and joins small ones.
+    A rebalance, not a plain repartition: adaptive execution splits a chunk that is larger
+    than :func:`target_partition_size` over several tasks, and joins small ones.
     """
     return df.hint("rebalance", F.col(CHUNK))
 
@@ -100,6 +100,7 @@ def export_ranges(
     gather: bool = True,
     job_id: str | None = None,
     only: DataFrame | None = None,
+    policy: Policy = Policy(),
 ) -> dict:
     """All ranges in one job, one directory per chunk.
 
@@ -110,7 +111,8 @@ def export_ranges(
     chunked = df.withColumn(CHUNK, plan.chunk_id())
     if only is not None:
         chunked = chunked.join(only.select(CHUNK).distinct(), CHUNK, "left_semi")
-    _write(gathered_by_chunk(chunked) if gather else chunked, path, options, chunked=True)
+    with target_partition_size(df.sparkSession, policy.target_file_mb):
+        _write(gathered_by_chunk(chunked) if gather else chunked, path, options, chunked=True)
     metadata = write_manifest(
         df.sparkSession, path, plan.table, df.schema, method="ranges", chunked=True,
         planned_chunks=plan.chunks, plan=plan.as_dict(), job_id=job_id,
@@ -137,18 +139,12 @@ def export_paged(
     pages and no second shuffle is needed.
     """
     _check_free(df)
-    placed = with_positions(df, total_order(df, order))
-    page = F.call_function("div", F.col("position"), F.lit(page_rows)).cast("int")
-    _write(
-        placed.withColumn(CHUNK, page).drop("position").select(*df.columns, CHUNK),
-        path, options, chunked=True,
-    )
+    placed = with_positions(df, order)
+    page = F.expr(f"cast(position div {page_rows} AS int)")
+    _write(placed.withColumn(CHUNK, page).select(*df.columns, CHUNK), path, options, chunked=True)
+    last = placed.agg(F.max("position").alias("last")).first()["last"]  # two small columns
     return write_manifest(
         df.sparkSession, path, table, df.schema, method="pages", chunked=True,
-        planned_chunks=_pages(df, page_rows), chunk_size=page_rows, job_id=job_id,
+        planned_chunks=0 if last is None else last // page_rows + 1, chunk_size=page_rows,
+        job_id=job_id,
     )
-
-
-def _pages(df: DataFrame, page_rows: int) -> int:
-    """Planned pages from the row count (Parquet answers from its footers)."""
-    return -(-df.count() // page_rows)

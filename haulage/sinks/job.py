@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from haulage.operators.ledger import EVENT_SCHEMA, JOB_FIELDS, TABLE_FIELDS
 from haulage.operators.profile import best_range_column, profile_columns, rangeable_columns
@@ -23,20 +25,22 @@ class Ledger:
     """Appends events as small JSON files; reads them back as the event log."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self._seq = spark, path, 0
+        self.spark, self.path = spark, path
+        self._seq, self._lock = 0, threading.Lock()
 
     def record(self, op: str, job_id: str, table: str | None = None, **fields) -> None:
         known = {**JOB_FIELDS, **TABLE_FIELDS}
         unknown = set(fields) - set(known)
         if unknown:
             raise ValueError(f"unknown ledger fields: {sorted(unknown)}")
-        self._seq += 1
-        now = _now()
+        with self._lock:
+            self._seq += 1
+            seq, now = self._seq, _now()
         event = {
-            "seq": self._seq, "ts": now, "op": op, "job_id": job_id, "table_name": table,
+            "seq": seq, "ts": now, "op": op, "job_id": job_id, "table_name": table,
             "fields": fields,
         }
-        name = f"{job_id}-{self._seq:08d}-{uuid.uuid4().hex[:8]}.json"
+        name = f"{job_id}-{seq:08d}-{uuid.uuid4().hex[:8]}.json"
         write_text(self.spark, f"{self.path}/{name}", json.dumps(event, default=str))
 
     def events(self) -> DataFrame:
@@ -68,7 +72,7 @@ def export_table(
     if method == DIRECT:
         return export_single(df, path, table, rows, options, policy, job_id)
     if method == RANGES:
-        return export_ranges(df, plan, path, options, job_id=job_id)
+        return export_ranges(df, plan, path, options, job_id=job_id, policy=policy)
     if method == CURSOR:
         return export_sized(df, path, table, rows, options=options, policy=policy, job_id=job_id)
     return export_paged(
@@ -79,48 +83,56 @@ def export_table(
 def export_job(
     spark: SparkSession, tables: dict[str, Callable[[], DataFrame]], base: str, ledger: Ledger, *,
     job_id: str | None = None, username: str | None = None, policy: Policy = Policy(),
-    options: ExportOptions = ExportOptions(), db_type: str = "postgresql",
+    options: ExportOptions = ExportOptions(), db_type: str = "postgresql", concurrent: int = 4,
 ) -> str:
     """Export many tables; one that fails is recorded and the others go on.
 
-    ``tables`` maps a name to a function that opens it. Each table is one or two Spark
-    jobs over all executors, so the tables run one after the other.
+    ``tables`` maps a name to a function that opens it. A few tables run at a time, so that
+    the planning and the last tasks of one leave no executors idle.
     """
     job_id = job_id or uuid.uuid4().hex
     ledger.record(
         "job_start", job_id, db_username=username, status="running", overall_status="running",
         tables_total=len(tables), start_time=_now(),
     )
-    done = failed = rows = 0
-    for name, open_table in tables.items():
+    lock, figures = threading.Lock(), {"done": 0, "failed": 0, "rows": 0}
+
+    def run(name: str) -> None:
         ledger.record("table_start", job_id, name, status="processing", start_time=_now())
         path = f"{base}/{job_id}/{name.replace('.', '_')}"
         try:
             metadata = export_table(
-                open_table(), name, path, db_type=db_type, policy=policy, options=options,
+                tables[name](), name, path, db_type=db_type, policy=policy, options=options,
                 job_id=job_id,
             )
         except Exception as error:
-            failed += 1
             message = str(error)[:1000]
             ledger.record("table_fail", job_id, name, error_message=message)
             ledger.record("error_log", job_id, name, error_message=message)
-            continue
-        done += 1
-        rows += metadata["total_rows"]
+            with lock:
+                figures["failed"] += 1
+            return
         ledger.record(
             "table_complete", job_id, name, rows_processed=metadata["total_rows"],
             row_count=metadata["total_rows"], chunk_count=metadata["chunk_count"], file_path=path,
             file_size_mb=metadata["total_bytes"] / 1024 / 1024,
         )
-        ledger.record(
-            "job_update", job_id, tables_completed=done, rows_processed=rows,
-            progress_percent=int(done / len(tables) * 100),
-        )
-    state = "completed" if failed == 0 else "completed_with_errors"
+        with lock:
+            figures["done"] += 1
+            figures["rows"] += metadata["total_rows"]
+            ledger.record(
+                "job_update", job_id, tables_completed=figures["done"],
+                rows_processed=figures["rows"],
+                progress_percent=int(figures["done"] / len(tables) * 100),
+            )
+
+    with ThreadPoolExecutor(max_workers=max(1, concurrent)) as pool:
+        list(pool.map(inheritable_thread_target(spark)(run), tables))
+
+    state = "completed" if figures["failed"] == 0 else "completed_with_errors"
     ledger.record(
         "job_update", job_id, status=state, overall_status=state, progress_percent=100,
-        tables_completed=done, tables_failed=failed, end_time=_now(),
+        tables_completed=figures["done"], tables_failed=figures["failed"], end_time=_now(),
     )
     return job_id
 
@@ -128,7 +140,3 @@ def export_job(
 def _now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")
 
-
-def export_outcome(tables: DataFrame) -> DataFrame:
-    """Short result of a job: table, state and rows."""
-    return tables.select("table_name", "status", F.col("rows_processed"))

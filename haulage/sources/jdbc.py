@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from haulage.operators.profile import extremes, profile_from_extremes, rangeable_columns
 from haulage.plans.ranges import RangePlan
 
 # URL form, default port and default database per dialect.
@@ -77,6 +78,25 @@ def read_query(spark: SparkSession, db: Database, query: str) -> DataFrame:
     return _reader(spark, db, {"query": query, "fetchsize": FETCH_SIZES["medium"]}).load()
 
 
+def profile_query(df: DataFrame, table: str) -> str:
+    """The profile's aggregates as a query for the database."""
+    return f"SELECT {', '.join(extremes(rangeable_columns(df), quote=chr(34)))} FROM {table}"
+
+
+def read_profile(spark: SparkSession, db: Database, table: str) -> DataFrame:
+    """Column profile computed by the database: one row comes back, not the columns.
+
+    The types come from the table's schema, which Spark asks for without reading rows.
+    """
+    df = read_table(spark, db, table)
+    one_row = read_query(spark, db, profile_query(df, table))
+    return profile_from_extremes(one_row, rangeable_columns(df), table)
+
+
+def read_count(spark: SparkSession, db: Database, table: str) -> DataFrame:
+    return read_query(spark, db, f"SELECT count(*) AS row_count FROM {table}")
+
+
 def stride_options(column: str, lower, upper, partitions: int) -> dict[str, str]:
     return {
         "partitionColumn": column,

@@ -32,23 +32,17 @@ def scan_range(df: DataFrame, column: str, lo, hi, hi_inclusive: bool = False) -
 
 
 def scan_page(df: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:
-    """Rows ``offset .. offset + size`` in a total order.
+    """Rows ``offset .. offset + size`` in a stable order: equal keys never change pages.
 
-    The remaining columns break ties, so equal keys cannot change pages. For many pages
-    use :func:`haulage.sinks.export.export_paged`, which sorts once for all of them.
+    For many pages use :func:`haulage.sinks.export.export_paged`, which sorts once for
+    all of them.
     """
-    placed = with_positions(df, total_order(df, order))
+    placed = with_positions(df, order)
     return placed.where(
         (F.col("position") >= offset) & (F.col("position") < offset + size)
     )
 
 
-def total_order(df: DataFrame, order: list[str]) -> list[str]:
-    """``order`` followed by every other column that can be compared."""
-    rest = [n for n, t in df.dtypes if n not in order and not t.startswith(("map", "variant"))]
-    return [*order, *rest]
-
-
 def stride_id(column: Column, lower: int, upper: int, partitions: int) -> Column:
     """Partition number of a stride read: outer strides are open, NULLs go to stride 0."""
     stride = (upper - lower) / partitions or 1.0

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from haulage.operators import accounting
 from haulage.operators.positions import running_totals, with_positions
-from haulage.sources.tables import scan_page, total_order
+from haulage.sources.tables import scan_page
 
 
 def test_positions_with_copies(spark):
     rng = random.Random(3)
     rows = [(1, "same")] * 400 + [(rng.randint(0, 5), rng.choice("ab")) for _ in range(600)]
     df = spark.createDataFrame(rows, "k int, v string").repartition(7)
-    placed = with_positions(df, total_order(df, ["k"])).collect()
+    placed = with_positions(df, ["k", "v"]).collect()
     assert sorted(r["position"] for r in placed) == list(range(1000))
     assert [(r["k"], r["v"]) for r in sorted(placed, key=lambda r: r["position"])] == sorted(rows)
 

@@ -23,6 +23,14 @@ def test_unknown_database_is_refused():
         jdbc.Database("oracle", "h", "u")
 
 
+def test_profile_runs_in_the_database(spark):
+    df = spark.createDataFrame([], "id bigint, name string, at timestamp_ntz")
+    assert jdbc.profile_query(df, "s.t") == (
+        'SELECT count(*) AS row_total, min("id") AS lo_1, max("id") AS hi_1, count("id") AS n_1, '
+        'min("at") AS lo_3, max("at") AS hi_3, count("at") AS n_3 FROM s.t'
+    )
+
+
 def test_catalog_queries_name_the_schema():
     assert "v_catalog.tables" in jdbc.catalog_query("vertica", "tables")
     assert "information_schema.columns" in jdbc.catalog_query("greenplum", "columns")
