@@ -73,6 +73,7 @@ def running_totals(
 
     A window over the key alone would put a hot key into one task. Here each
     (key, slice) is summed on its own and shifted by what earlier slices of the key hold.
+    The keys identify a job or table; rows without a key belong to no total and are left out.
     """
     values = {f"_v_{name}": value for name, value in totals.items()}
     slices = ordered_slices(df.withColumns(values), [*keys, *order], "running")

@@ -106,23 +106,57 @@ def verify_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return verify.verify_gaps(files, planned)
 
 
-@query("verify_readable")
+@query("verify_readable", with_ctes(ranges_sql("lineitem", "l_orderkey")) + """
+SELECT chunk_id, true AS readable, 'SNAPPY' AS codec, count(*) AS row_count FROM ranged GROUP BY 1""")
 def verify_readable(spark: SparkSession, sf: str) -> DataFrame:
-    """A verdict per file of an export."""
+    """Footers of all files of an export, summed up per chunk."""
     lines, path = load(spark, sf, "lineitem"), new_dir(spark, "readable")
     export.export_ranges(lines, plan_for(lines, "lineitem"), path)
-    return verify.verify_readable(list_data_files(spark, path)).select(
-        "readable", "row_count", "codec"
+    files = list_data_files(spark, path)
+    return (
+        verify.verify_readable(files)
+        .join(files, "file_path")
+        .groupBy("chunk_id", "readable", "codec")
+        .agg(F.sum("row_count").alias("row_count"))
     )
 
 
-@query("file_checksums")
+@query("file_checksums", with_ctes(ranges_sql("orders", "o_orderkey")) + """
+SELECT DISTINCT chunk_id, true AS same_as_whole_file, true AS sizes_match FROM ranged""")
 def file_checksums(spark: SparkSession, sf: str) -> DataFrame:
-    """Digest per file and over all files of an export."""
+    """Digests read in blocks against Spark's own over the whole file."""
     orders, path = load(spark, sf, "orders"), new_dir(spark, "checksums")
     export.export_ranges(orders, plan_for(orders, "orders"), path)
-    sums = verify.file_checksums(list_data_files(spark, path))
-    return verify.combined_checksum(sums.withColumn("table_name", F.lit("orders")))
+    blocks = verify.file_checksums(list_data_files(spark, path))
+    whole = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", "true").load(path)
+        .select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("_whole"),
+                F.length("content").alias("_bytes"))
+    )
+    return blocks.join(whole, "file_path").groupBy("chunk_id").agg(
+        F.every(F.col("checksum") == F.col("_whole")).alias("same_as_whole_file"),
+        F.every(F.col("file_size") == F.col("_bytes")).alias("sizes_match"),
+    )
+
+
+@query("combined_checksum", """
+SELECT 'orders' AS table_name, true AS repeatable, true AS well_formed""")
+def combined_checksum(spark: SparkSession, sf: str) -> DataFrame:
+    """One digest over all files; a second reading gives the same one."""
+    orders, path = load(spark, sf, "orders"), new_dir(spark, "combined")
+    export.export_ranges(orders, plan_for(orders, "orders"), path)
+
+    def digest(name: str) -> DataFrame:
+        files = list_data_files(spark, path).withColumn("table_name", F.lit("orders"))
+        found = verify.combined_checksum(verify.file_checksums(files))
+        return found.select("table_name", F.col("combined_checksum").alias(name))
+
+    return digest("first").join(digest("second"), "table_name").select(
+        "table_name",
+        (F.col("first") == F.col("second")).alias("repeatable"),
+        F.col("first").rlike("^[0-9a-f]{64}$").alias("well_formed"),
+    )
 
 
 @query("verify_sample", with_ctes(DAMAGED_SQL) + """
