@@ -318,15 +318,17 @@ class RangePlan:
 
     def predicate(self, chunk: int) -> Column:
         """Filter of one chunk; outer chunks are open, the first one takes the NULLs."""
-        column, conditions = F.col(f"`{self.column}`"), []
-        if chunk > 0:
-            conditions.append(column >= self.literal(self.starts[chunk - 1]))
-        if chunk < len(self.starts):
-            conditions.append(column < self.literal(self.starts[chunk]))
-        if not conditions:
-            return F.lit(True)
-        both = conditions[0] if len(conditions) == 1 else conditions[0] & conditions[1]
-        return both | column.isNull() if chunk == 0 else both
+        return self.span(chunk, chunk)
+
+    def span(self, first: int, last: int) -> Column:
+        """Filter of consecutive chunks, as one range."""
+        parts = []
+        if first > 0:
+            parts.append(f"{self._name} >= {self._literal_sql(self.starts[first - 1])}")
+        if last < len(self.starts):
+            parts.append(f"{self._name} < {self._literal_sql(self.starts[last])}")
+        text = " AND ".join(parts) or "true"
+        return F.expr(f"({text}) OR {self._name} IS NULL" if first == 0 and parts else text)
 
     def sql_predicates(self) -> list[str]:
         """The same filters as SQL text for a database, one per chunk."""

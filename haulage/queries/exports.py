@@ -14,8 +14,8 @@ from haulage.queries.derived import INVENTORY_SQL, SMALL, cents, inventory, with
 from haulage.queries.planning import METHOD_SQL
 from haulage.queries.registry import query
 from haulage.queries.scans import LINE_ORDER
-from haulage.session import new_dir
-from haulage.sinks import export
+from haulage.session import filesystem, new_dir
+from haulage.sinks import export, resumable
 from haulage.sinks.job import Ledger, export_job
 from haulage.sinks.manifest import list_data_files, read_export, read_files, read_metadata
 from haulage.sinks.publish import archive_summary, publish
@@ -92,6 +92,24 @@ def export_ranges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("resume_export", with_ctes(ranges_sql("orders", "o_orderkey")) + f"""
+SELECT chunk_id, count(*) AS row_count, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
+  {_CENTS.format(c='o_totalprice')} FROM ranged GROUP BY 1""")
+def resume_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Two waves; then a chunk is lost, and the second run writes that one again."""
+    orders, path = load(spark, sf, "orders"), new_dir(spark, "resume")
+    plan = plan_for(orders, "orders")
+    resumable.resume_export(orders, plan, path, waves=2)
+    fs, lost = filesystem(spark, f"{path}/chunk_id={plan.chunks - 1}")
+    fs.delete(lost, True)
+    resumable.resume_export(orders, plan, path)
+    return read_export(spark, path).groupBy("chunk_id").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum("o_orderkey").alias("key_sum"),
+        F.sum(cents("o_totalprice")).alias("total_cents"),
+    )
+
+
 @query("export_options", """
 SELECT profile, codec, (SELECT count(*) FROM orders) AS row_count
 FROM (VALUES ('default', 'SNAPPY'), ('speed_optimized', 'SNAPPY'), ('balanced', 'ZSTD'),

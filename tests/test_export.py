@@ -13,7 +13,7 @@ from haulage.operators.profile import best_range_column, profile_columns
 from haulage.plans.ranges import range_plan
 from haulage.policy import ExportOptions, Policy
 from haulage.session import written
-from haulage.sinks import export, manifest, publish
+from haulage.sinks import export, manifest, publish, resumable
 from haulage.sinks.job import Ledger, export_job
 
 SMALL = Policy().scaled(50_000)  # 20 rows per chunk
@@ -37,7 +37,7 @@ def planned(df, column="k"):
 
 
 def parts(path):
-    return sorted(p for p in Path(path).rglob("*.parquet") if "_export" not in str(p))
+    return sorted(p for p in Path(path).rglob("*.parquet") if not p.parent.name.startswith("_"))
 
 
 def test_range_export_is_lossless(spark, source, tmp_path):
@@ -140,6 +140,26 @@ def test_damage_is_named_and_resumed(spark, source, tmp_path):
     assert redone == {i: n for i, n in wanted.items() if i in (0, 1, 2) and n}
 
 
+def test_resume_writes_only_what_is_missing(spark, source, tmp_path):
+    plan, path = planned(source), str(tmp_path / "t")
+    resumable.resume_export(source, plan, path, waves=3)
+    assert resumable.pending_chunks(spark, path, plan) == []
+    files = {int(p.parent.name.split("=")[1]): p for p in parts(path)}
+    kept = {i: p.stat().st_mtime_ns for i, p in files.items()}
+    files[0].unlink()
+    files[2].write_bytes(files[3].read_bytes())
+    for crc in Path(path).rglob(".*.crc"):
+        crc.unlink()
+    assert resumable.pending_chunks(spark, path, plan) == [0, 2]
+    resumable.resume_export(source, plan, path)
+    now = {int(p.parent.name.split("=")[1]): p.stat().st_mtime_ns for p in parts(path)}
+    assert {i for i in now if now[i] != kept[i]} == {0, 2}
+    back = manifest.read_export(spark, path).drop("chunk_id")
+    assert verify.reconcile_rows(source, back).count() == 0 and back.count() == 300
+    with pytest.raises(ValueError, match="another plan"):
+        resumable.resume_export(source, planned(source, "id"), path)
+
+
 def test_duplicated_file_changes_the_counts(spark, source, tmp_path):
     plan, path = planned(source), str(tmp_path / "t")
     export.export_ranges(source, plan, path)
@@ -162,7 +182,7 @@ def test_checksums_match_hashlib(spark, source, tmp_path):
     expected = {str(p): hashlib.sha256(p.read_bytes()).hexdigest() for p in parts(path)}
     assert found == expected
     combined = verify.combined_checksum(checksums(spark, path)).first()
-    order = sorted(expected)
+    order = sorted(expected, key=lambda p: int(p.split("chunk_id=")[1].split("/")[0]))
     assert combined["combined_checksum"] == hashlib.sha256(
         "".join(expected[p] for p in order).encode()
     ).hexdigest()
