@@ -89,8 +89,11 @@ def read_profile(spark: SparkSession, db: Database, table: str) -> DataFrame:
     The types come from the table's schema, which Spark asks for without reading rows.
     """
     df = read_table(spark, db, table)
+    found = rangeable_columns(df)
+    if not found:
+        raise ValueError(f"{table} has no column of a rangeable type")
     one_row = read_query(spark, db, profile_query(df, table))
-    return profile_from_extremes(one_row, rangeable_columns(df), table)
+    return profile_from_extremes(one_row, found, "source")
 
 
 def read_count(spark: SparkSession, db: Database, table: str) -> DataFrame:
