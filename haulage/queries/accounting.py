@@ -221,6 +221,28 @@ def performance_rating(spark: SparkSession, sf: str) -> DataFrame:
     return _timed(spark, sf).withColumns(figures).select("job_id", "table_name", *figures)
 
 
+@query("throughput_hint", with_ctes(TABLE_STATE_SQL, _TIMED, """
+rated AS (SELECT *, coalesce(rows_processed * 1000000 / nullif(seconds, 0), 0.0) AS rate,
+  CASE WHEN chunk_count > 1 THEN 'DuckDB-Chunked' ELSE 'Polars' END AS method FROM timed)""") + """
+SELECT job_id, table_name, method, CASE
+  WHEN method = 'Polars' AND rate < 500 THEN 'very slow'
+  WHEN method = 'Polars' AND rate < 1000 THEN 'slow'
+  WHEN method = 'Polars' AND rate < 2000 THEN 'consider a faster method'
+  WHEN method <> 'Polars' AND rate < 2000 THEN 'slower than expected'
+  WHEN method <> 'Polars' AND rate > 10000 THEN 'excellent' ELSE '' END AS hint
+FROM rated""")
+def throughput_hint(spark: SparkSession, sf: str) -> DataFrame:
+    """Hints while tables are being exported; rows in millions again."""
+    rate = F.coalesce(
+        F.col("rows_processed") * 1_000_000 / F.nullif(F.col("seconds"), F.lit(0)), F.lit(0.0)
+    )
+    method = F.when(F.col("chunk_count") > 1, "DuckDB-Chunked").otherwise("Polars")
+    return _timed(spark, sf).withColumn("method", method).select(
+        "job_id", "table_name", "method",
+        accounting.throughput_hint(rate, F.col("method")).alias("hint"),
+    )
+
+
 @query("final_status", with_ctes(TABLE_STATE_SQL) + """
 SELECT job_id, count(*) FILTER (WHERE status = 'completed') AS tables_completed,
   count(*) FILTER (WHERE status = 'failed') AS tables_failed,

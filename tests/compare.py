@@ -77,6 +77,7 @@ def compare(spark, con, sf: str, name: str, function, sql: str | None) -> str |
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--zone", default="UTC", help="session time zone")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     from haulage.queries import ORACLE_SQL, QUERIES
@@ -85,7 +86,7 @@ def main() -> int:
     spark = get_session(
         "compare", master="local[8]", spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
-        spark__driver__memory="8g",
+        spark__driver__memory="8g", spark__sql__session__timeZone=args.zone,
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(args.sf), 0

@@ -52,6 +52,19 @@ def test_range_export_is_lossless(spark, source, tmp_path):
     assert verdict.first()["passed"]
 
 
+def test_hot_chunk_is_written_by_several_tasks(spark, tmp_path):
+    """Two thirds of the rows have one key; its chunk is still split at the target size."""
+    rows = spark.range(150_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN id ELSE 77 END AS k", "sha2(cast(id AS string), 512) AS v"
+    )
+    df = written(rows, "hot")
+    plan, path = planned(df), str(tmp_path / "t")
+    export.export_ranges(df, plan, path, policy=Policy(target_file_mb=1))
+    files = manifest.read_files(spark, path).groupBy("chunk_id").count().collect()
+    sizes = {r["chunk_id"]: r["count"] for r in files}
+    assert sizes[0] >= 4 and manifest.load_metadata(spark, path)["total_rows"] == 150_000
+
+
 def test_paged_export_has_full_pages(spark, source, tmp_path):
     path = str(tmp_path / "t")
     metadata = export.export_paged(source, ["k"], 70, path, "t")
