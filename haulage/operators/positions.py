@@ -41,18 +41,27 @@ def ordered_slices(df: DataFrame, order: list[str], label: str = "slices") -> Da
     return written(sliced, label)
 
 
-def with_positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """``df`` plus a 0-based global position in ``order``.
+TIES = ["_tie_a", "_tie_b"]
+
 
-    Ties are broken by a 128-bit hash of the row, not by its columns: the range bounds are
-    sampled through the driver, and a sample of wide texts would not be small. One range
-    shuffle and one write; no row moves again. The offsets joined back have one row per
-    slice, that is at most ``spark.sql.shuffle.partitions`` rows.
+def with_ties(df: DataFrame) -> DataFrame:
+    """``df`` plus a 128-bit hash of the row, which tells rows with equal keys apart.
+
+    A hash and not the remaining columns, because range bounds are sampled through the
+    driver, and a sample of wide texts would not be small.
     """
-    hashed = df.withColumn("_tie", row_hash(df.columns)).selectExpr(
+    return df.withColumn("_tie", row_hash(df.columns)).selectExpr(
         *[f"`{c}`" for c in df.columns], "_tie.a AS _tie_a", "_tie.b AS _tie_b"
     )
-    slices = ordered_slices(hashed, [*order, "_tie_a", "_tie_b"], "positions")
+
+
+def placed(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """``df`` plus a 0-based global position in ``order``.
+
+    One range shuffle and one write; no row moves again. The offsets joined back have one
+    row per slice, that is at most ``spark.sql.shuffle.partitions`` rows.
+    """
+    slices = ordered_slices(df, order, "positions")
     # Reads only the two small columns of the written table.
     sizes = slices.groupBy(SLICE).agg((F.max(PLACE) + 1).alias("_size"))
     before = W.orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
@@ -66,6 +75,65 @@ def with_positions(df: DataFrame, order: list[str], name: str = "position") -> D
     )
 
 
+def with_positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """``df`` plus a 0-based global position in ``order``, ties broken by the row's hash."""
+    return placed(with_ties(df), [*order, *TIES], name).select(*df.columns, name)
+
+
+def page(df: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:
+    """Rows ``offset .. offset + size`` of that order, with their ``position``.
+
+    Only keys and hashes of the table are sorted. The page's first and last key then
+    become a filter on the table, so wide columns are read for candidates alone.
+    """
+    ranked, tied = [*order, *TIES], with_ties(df)
+    keys = placed(tied.select(*ranked), ranked)
+    types = dict(keys.dtypes)
+    inside = keys.where(f"position >= {offset} AND position < {offset + size}")
+    texts = ", ".join(_as_text(f"`{c}`", types[c]) for c in ranked)
+    edges = inside.selectExpr(
+        f"min_by(struct({texts}), position) AS low", f"max_by(struct({texts}), position) AS high"
+    ).first()  # one row
+    if edges["low"] is None:
+        return df.limit(0).withColumn("position", F.lit(0).cast("bigint"))
+    low, high = (
+        [_from_text(v, types[c]) for c, v in zip(ranked, edges[side])] for side in ("low", "high")
+    )
+    same = F.lit(True)
+    for column, value in zip(ranked, low):
+        same = same & F.col(column).eqNullSafe(value)
+    base = keys.where(same).agg(F.min("position").alias("first")).first()["first"]
+
+    first = F.col(order[0])
+    reach = F.lit(True)  # on the leading column alone, so that the scan can use it
+    if edges["high"][0] is None:
+        reach = first.isNull()
+    elif edges["low"][0] is None:
+        reach = first.isNull() | (first <= high[0])
+    else:
+        reach = (first >= low[0]) & (first <= high[0])
+    row = F.struct(*ranked)
+    found = tied.where(reach).where((row >= F.struct(*low)) & (row <= F.struct(*high)))
+    shifted = placed(found, ranked).withColumn("position", F.col("position") + F.lit(base))
+    return shifted.where(f"position >= {offset} AND position < {offset + size}").select(
+        *df.columns, "position"
+    )
+
+
+def _as_text(column: str, dtype: str) -> str:
+    """SQL: a value as text that gives the same value back."""
+    if dtype == "timestamp":
+        return f"cast(unix_micros({column}) AS string)"
+    return f"hex({column})" if dtype == "binary" else f"cast({column} AS string)"
+
+
+def _from_text(value: str | None, dtype: str) -> Column:
+    text = F.lit(value)
+    if dtype == "timestamp":
+        return F.timestamp_micros(text.cast("bigint"))
+    return F.unhex(text) if dtype == "binary" else text.cast(dtype)
+
+
 def running_totals(
     df: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column]
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.functions.types import storage_type
-from haulage.operators.positions import with_positions
+from haulage.operators.positions import page
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,10 +37,7 @@ def scan_page(df: DataFrame, order: list[str], offset: int, size: int) -> DataFr
     For many pages use :func:`haulage.sinks.export.export_paged`, which sorts once for
     all of them.
     """
-    placed = with_positions(df, order)
-    return placed.where(
-        (F.col("position") >= offset) & (F.col("position") < offset + size)
-    )
+    return page(df, order, offset, size)
 
 
 def stride_id(column: Column, lower: int, upper: int, partitions: int) -> Column:

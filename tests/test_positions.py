@@ -49,3 +49,33 @@ def test_milestones(spark):
         ("four", 0, 25), ("four", 1, 50), ("four", 2, 75), ("one", 0, 75),
         ("ten", 2, 25), ("ten", 4, 50), ("ten", 7, 75),
     ]
+
+
+def test_page_of_wide_rows_with_nulls_copies_and_all_types(spark):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    rng = random.Random(9)
+    rows = [
+        (
+            rng.choice([None, 1, 1, 1, 2]), rng.choice([None, 0.1, -0.5, float("nan")]),
+            datetime(2024, 10, 27, rng.randint(0, 3), 30), date(2024, 1, rng.randint(1, 3)),
+            Decimal("1.50") * rng.randint(1, 2), rng.choice(["it's", "b", None]), bytes([rng.randint(0, 2)]),
+        )
+        for _ in range(300)
+    ] + [(1, 0.1, datetime(2024, 1, 1), date(2024, 1, 1), Decimal("1.50"), "copy", b"c")] * 150
+    df = spark.createDataFrame(
+        rows, "a int, b double, c timestamp, d date, e decimal(9,2), f string, g binary"
+    )
+    from haulage.session import written
+
+    df = written(df.repartition(4), "wide")
+    order = ["a", "b", "c", "d", "e", "f", "g"]
+    whole = with_positions(df, order).selectExpr("position", "to_json(struct(*)) AS j")
+    expected = {r["position"]: r["j"] for r in whole.collect()}
+    for offset, size in [(0, 50), (40, 200), (440, 100), (449, 1), (450, 10), (200, 1)]:
+        rows = scan_page(df, order, offset, size).selectExpr("position", "to_json(struct(*)) AS j").collect()
+        assert {r["position"]: r["j"] for r in rows} == {
+            p: j for p, j in expected.items() if offset <= p < offset + size
+        }
+        assert len(rows) == len({r["position"] for r in rows})
