@@ -50,7 +50,7 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/haulage/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, **partition) -> DataFrame:
+def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     Cuts the lineage, survives lost executors, and later passes can prune columns.

@@ -17,11 +17,6 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-KINDS = {
-    "BIGINT": "int", "INTEGER": "int", "SMALLINT": "int", "DOUBLE": "float", "VARCHAR": "str",
-    "BOOLEAN": "bool", "bigint": "int", "int": "int", "smallint": "int", "double": "float",
-    "string": "str", "boolean": "bool",
-}
 EXACT = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
     "boolean": "BOOLEAN", "smallint": "SMALLINT",
