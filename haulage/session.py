@@ -57,10 +57,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_dir(spark, label)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Writes inside free their shuffle files when they end: what was written replaces them.
+
+    The setting is read when a write is planned; other queries that start meanwhile free
+    theirs as well, which costs them at most a recomputation.
+    """
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop file system and Path of ``path`` (works for any configured scheme)."""
     jvm = spark.sparkContext._jvm
