@@ -7,7 +7,6 @@ around a hit is the edit distance computed (Myers 1999).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -19,12 +18,14 @@ from haulage.llm.common import bounded_batches, whole
 CHARS_PER_ERROR = 15  # one edit is allowed per so many characters of an item
 MIN_CHARS = 24  # shorter items are no evidence of contamination
 BLOCK_CHARS = 1 << 20  # items that one scan looks for, so what is broadcast stays bounded
-_GAP = re.compile(r"[\W_]+")
+# ASCII punctuation counts as a blank.
+_BLANKED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def plain(text: str | None) -> str:
     """Lower case, words separated and surrounded by one blank."""
-    return f" {_GAP.sub(' ', (text or '').lower()).strip()} "
+    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_BLANKED).split()
+    return f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
@@ -124,8 +125,8 @@ def find_items(
 ) -> DataFrame:
     """``docs`` plus ``hits``: ``item_id`` and ``distance`` of each item that the text holds.
 
-    Letters are compared in lower case, anything but letters and digits as one blank, and
-    an item must begin and end with whole words but for its edits. Items are looked for in
+    Letters are compared in lower case, ASCII punctuation and blanks as one blank, and an
+    item must begin and end with whole words but for its edits. Items are looked for in
     blocks of bounded size, one scan of the documents for each, and no row moves. Null and
     empty texts hold nothing; null, empty and very short items are held by nothing; items
     given twice are reported twice.

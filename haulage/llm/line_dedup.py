@@ -7,17 +7,18 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import whole
+from haulage.llm.common import BLANKS, whole
 from haulage.session import written
 
 MIN_SITES = 10
+EDGES = f"^{BLANKS}+|{BLANKS}+\\z"
 LG_REGISTERS = 12  # of a sketch; its relative standard error is 1.04 / sqrt(2^12) = 1.6 %
 DEVIATIONS = 6
 
 
 def _lines(text: str):
     """The lines of a text without blanks around them."""
-    return F.transform(F.split(whole(text), "\n"), lambda line: F.regexp_replace(line, "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""))
+    return F.transform(F.split(whole(text), "\n"), lambda line: F.regexp_replace(line, EDGES, ""))
 
 
 def _hashed(line):

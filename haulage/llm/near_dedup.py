@@ -24,16 +24,22 @@ COORDINATES = BANDS * ROWS
 SYNTHETIC = 1 << 62  # vertices of rows without an identifier lie above it
 
 
-def shingles(text: str | None, size: int, words: fp.WordHashes, factors) -> np.ndarray:
-    """Sorted distinct hashes of the word ``size``-grams; A to Z are lower-cased. A shorter
-    text is one shingle as a whole, a text without words has none."""
-    found = words.of((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not len(found):
-        return found
-    if len(found) < size:
-        own = fp.multipliers(size, 100 + len(found))  # never equal to a full shingle
-        return fp.grams(found, len(found), own)
-    return np.unique(fp.grams(found, size, factors))
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each document's word ``size``-grams; A to Z are lower-cased. A
+    shorter text is one shingle as a whole, a text without words has none."""
+    words, first = fp.word_hashes(data, offsets, lower=True)
+    every = fp.grams(words, size, fp.multipliers(size, 3))
+    out = []
+    for low, high in zip(first[:-1].tolist(), first[1:].tolist()):
+        if 0 < high - low < size:
+            own = fp.multipliers(size, 100 + high - low)  # never equal to a full shingle
+            out.append(fp.grams(words[low:high], high - low, own))
+            continue
+        found = np.sort(every[low : max(low, high - size + 1)])
+        fresh = np.ones(len(found), bool)
+        fresh[1:] = found[1:] != found[:-1]
+        out.append(found[fresh])
+    return out
 
 
 def sketches(sets: list[np.ndarray], count: int = COORDINATES) -> np.ndarray:
@@ -76,43 +82,48 @@ def bands(sketch: np.ndarray, bands_: int = BANDS, rows: int = ROWS) -> np.ndarr
     return fp.mix(total ^ (np.arange(bands_, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _identity(found: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set."""
-    a, b = fp.multipliers(2, 31)
-    return int(fp.mix(found ^ a).sum(dtype=np.uint64)), int(fp.mix(found * b).sum(dtype=np.uint64))
+def _identities(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each set, 0 for an empty one."""
+    out = np.zeros((len(sets), 2), np.uint64)
+    some = [i for i, s in enumerate(sets) if len(s)]
+    if some:
+        a, b = fp.multipliers(2, 31)
+        flat = np.concatenate([sets[i] for i in some])
+        starts = np.cumsum([0, *(len(sets[i]) for i in some[:-1])])
+        out[some, 0] = fp.mix(np.add.reduceat(fp.mix(flat ^ a), starts))
+        out[some, 1] = fp.mix(np.add.reduceat(fp.mix(flat * b), starts))
+    return out
 
 
-def _vertex(identifier, first: int) -> int:
-    return identifier if identifier is not None else SYNTHETIC + (first >> 3)
+def _vertices(ids: list, keys: np.ndarray) -> list[int]:
+    return [i if i is not None else SYNTHETIC + (int(k) >> 3) for i, k in zip(ids, keys[:, 0])]
 
 
 def _signing(size: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        words, factors = fp.WordHashes(), fp.multipliers(size, 3)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sets = [shingles(t, size, words, factors) for t in texts]
-            some = [i for i, s in enumerate(sets) if len(s)]
-            table = np.zeros((len(sets), BANDS), np.uint64)
-            # A few documents at a time: the sketch's working arrays stay small.
-            for lo in range(0, len(some), 128):
-                part = some[lo : lo + 128]
-                table[part] = bands(sketches([sets[i] for i in part]))
-            keys = np.array([_identity(s) for s in sets], np.uint64).reshape(-1, 2)
-            offsets = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([_vertex(i, int(k)) for i, k in zip(ids, keys[:, 0])], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(fp.signed(keys[:, 0].copy())),
-                    pa.array(fp.signed(keys[:, 1].copy())),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(fp.signed(table.reshape(-1)))),
-                ],
-                ["_id", "_v", "_n", "_s1", "_s2", "_bands"],
-            )
+            every = batch.column(0).to_pylist()
+            for low, high, data, offsets in fp.parts(batch.column(1)):
+                ids, sets = every[low:high], shingle_sets(data, offsets, size)
+                some = [i for i, s in enumerate(sets) if len(s)]
+                table = np.zeros((len(sets), BANDS), np.uint64)
+                if some:
+                    table[some] = bands(sketches([sets[i] for i in some]))
+                keys = _identities(sets)
+                places = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids, pa.int64()),
+                        pa.array(_vertices(ids, keys), pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(fp.signed(keys[:, 0].copy())),
+                        pa.array(fp.signed(keys[:, 1].copy())),
+                        pa.ListArray.from_arrays(pa.array(places), pa.array(fp.signed(table.reshape(-1)))),
+                    ],
+                    ["_id", "_v", "_n", "_s1", "_s2", "_bands"],
+                )
 
     return run
 
@@ -121,18 +132,17 @@ def _setting(size: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        words, factors = fp.WordHashes(), fp.multipliers(size, 3)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(ids), 64):
-                sets = [shingles(t, size, words, factors) for t in texts[lo : lo + 64]]
-                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            every = batch.column(0).to_pylist()
+            for low, high, data, offsets in fp.parts(batch.column(1)):
+                sets = shingle_sets(data, offsets, size)
+                places = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                vertices = [_vertex(i, _identity(s)[0]) for i, s in zip(ids[lo : lo + 64], sets)]
+                vertices = _vertices(every[low:high], _identities(sets))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(vertices, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(fp.signed(flat))),
+                        pa.ListArray.from_arrays(pa.array(places), pa.array(fp.signed(flat))),
                     ],
                     ["_v", "_set"],
                 )

@@ -9,10 +9,10 @@ from haulage.llm import (
     decontaminate, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, tokens,
     toxicity, warc,
 )
-from haulage.llm.common import documents, whole, word_count
+from haulage.llm.common import documents, whole
+from haulage.llm.oracles import ORACLE_SQL  # noqa: F401
 
 QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def query(function):

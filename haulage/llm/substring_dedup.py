@@ -24,8 +24,6 @@ from haulage.session import written
 
 WINDOW = 35
 SEED = 8  # words of an anchor
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -33,18 +31,19 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class Extents:
-    """Anchors of one text: ``anchor`` hash, ``start`` and ``count`` of its windows, ``span`` hash."""
-
-    def __init__(self, hashes: np.ndarray, window: int, seed: int, factors: np.ndarray):
-        self.prefix = self.back = None
-        self.window = window
+    """Anchors of some texts: hash, document, first window (in its document), number of windows
+    and hash of all their words, one entry per occurrence of an anchor."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, seed: int):
+        hashes, first = fp.word_hashes(data, offsets)
+        empty = np.empty(0, np.int64)
+        self.anchor = self.span = np.empty(0, np.uint64)
+        self.document = self.start = self.count = empty
         n = len(hashes) - window + 1
         if n < 1:
-            self.anchor = self.span = np.empty(0, np.uint64)
-            self.start = self.count = np.empty(0, np.int64)
             return
-        grams = fp.grams(hashes, seed, factors)
-        low, place = grams, np.arange(len(grams))
+        low = fp.grams(hashes, seed, fp.multipliers(seed, 5))
+        place = np.arange(len(low))
         reach, wanted = 1, window - seed + 1
         while reach < wanted:  # the minimum over twice as many k-grams each time
             step = min(reach, wanted - reach)
@@ -52,37 +51,31 @@ class Extents:
             place = np.where(later, place[step:], place[:-step])
             low = np.where(later, low[step:], low[:-step])
             reach += step
-        self.start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        end = np.r_[self.start[1:], n]
-        self.count = end - self.start
-        self.anchor = low[self.start]
-        powers = np.cumprod(np.full(len(hashes), _BASE, np.uint64))
-        self.back = np.cumprod(np.full(len(hashes) + 1, _BACK, np.uint64))
-        self.prefix = np.r_[np.uint64(0), np.cumsum(hashes * powers, dtype=np.uint64)]
-        self.span = self.hashed(self.start, end + window - 1)
-
-    def hashed(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the words from ``begin`` to before ``end``, the same wherever they stand."""
-        raw = (self.prefix[end] - self.prefix[begin]) * self.back[begin]
-        return fp.mix(raw ^ fp.mix((end - begin).astype(np.uint64)))
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        begin = np.flatnonzero(owner[:n] == owner[window - 1 :])  # windows within one document
+        if not len(begin):
+            return
+        place, owner = place[begin], owner[begin]
+        turn = np.ones(len(begin), bool)
+        turn[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(turn)
+        self.count = np.diff(np.append(at, len(begin)))
+        self.anchor, self.document = low[begin[at]], owner[at]
+        self.span = fp.Runs(hashes).of(begin[at], begin[at] + self.count + window - 1)
+        self.start = begin[at] - first[self.document]
 
 
 def _seeding(window: int, seed: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        words, factors = fp.WordHashes(), fp.multipliers(seed, 5)
         for batch in batches:
-            anchors, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for text in batch.column(0).to_pylist():
-                found = Extents(words.of(split_words(text)), window, seed, factors)
+            for _, _, data, offsets in fp.parts(batch.column(0)):
+                found = Extents(data, offsets, window, seed)
                 once, times = np.unique(found.anchor, return_counts=True)
-                anchors.append(once)
-                counts.append(times.astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fp.signed(np.concatenate(anchors))), pa.array(np.concatenate(counts))],
-                ["_a", "_n"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(fp.signed(once)), pa.array(times.astype(np.int64))], ["_a", "_n"]
+                )
 
     return run
 
@@ -91,35 +84,29 @@ def _extending(window: int, seed: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        words, factors = fp.WordHashes(), fp.multipliers(seed, 5)
         for batch in batches:
-            rows, texts = [], batch.column(2).to_pylist()
             ks, cs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for k, c, text in zip(ks, cs, texts):
-                found = Extents(words.of(split_words(text)), window, seed, factors)
-                n = len(found.anchor)
-                if not n:
+            for low, _, data, offsets in fp.parts(batch.column(2)):
+                found = Extents(data, offsets, window, seed)
+                if not len(found.anchor):
                     continue
                 # Occurrences of one extent in one text stand in one row.
-                order = np.lexsort((found.start, found.span, found.anchor))
-                a, s = found.anchor[order], found.span[order]
-                first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
-                rows.append(
-                    (np.full(len(first), k), np.full(len(first), c), a[first], s[first],
-                     np.diff(np.r_[first, n]), found.start[order], found.count[order][first])
+                order = np.lexsort((found.span, found.anchor, found.document))
+                a, s, d = found.anchor[order], found.span[order], found.document[order]
+                fresh = np.ones(len(a), bool)
+                fresh[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+                head = np.flatnonzero(fresh)
+                places = np.append(head, len(a)).astype(np.int32)
+                starts = found.start[order].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ks[low + d[head]]), pa.array(cs[low + d[head]]),
+                        pa.array(fp.signed(a[head])), pa.array(fp.signed(s[head])),
+                        pa.ListArray.from_arrays(pa.array(places), pa.array(starts)),
+                        pa.array(found.count[order][head].astype(np.int32)),
+                    ],
+                    ["_k", "_c", "_a", "_s", "_starts", "_count"],
                 )
-            if not rows:
-                continue
-            k, c, a, s, sizes, starts, counts = (np.concatenate(x) for x in zip(*rows))
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(k), pa.array(c), pa.array(fp.signed(a)), pa.array(fp.signed(s)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(starts.astype(np.int32))),
-                    pa.array(counts.astype(np.int32)),
-                ],
-                ["_k", "_c", "_a", "_s", "_starts", "_count"],
-            )
 
     return run
 
@@ -128,22 +115,29 @@ def _windowing(window: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        words = fp.WordHashes()
         for batch in batches:
-            rows = []
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for k, c, text, spots in zip(*columns):
-                hashes = words.of(split_words(text))
-                whole = Extents(hashes, window, 1, fp.multipliers(1, 5))
-                for spot in spots:
-                    begin = np.arange(spot["s"], spot["s"] + spot["n"])
-                    rows.append(
-                        (np.full(len(begin), spot["a"]), fp.signed(whole.hashed(begin, begin + window)),
-                         np.full(len(begin), k), np.full(len(begin), c), begin.astype(np.int32))
-                    )
-            if rows:
+            spots = batch.column(3).to_pylist()
+            ks, cs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for low, high, data, offsets in fp.parts(batch.column(2)):
+                hashes, first = fp.word_hashes(data, offsets)
+                rows = [
+                    (spot["a"], ks[i], cs[i], first[i - low], spot["s"], spot["n"])
+                    for i in range(low, high)
+                    for spot in spots[i]
+                ]
+                if not rows:
+                    continue
+                a, k, c, base, start, count = map(np.array, zip(*rows))
+                inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                begin = np.repeat(start, count) + inside
+                at = begin + np.repeat(base, count)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*rows)], ["_a", "_w", "_k", "_c", "_s"]
+                    [
+                        pa.array(np.repeat(a, count)), pa.array(fp.signed(fp.Runs(hashes).of(at, at + window))),
+                        pa.array(np.repeat(k, count)), pa.array(np.repeat(c, count)),
+                        pa.array(begin.astype(np.int32)),
+                    ],
+                    ["_a", "_w", "_k", "_c", "_s"],
                 )
 
     return run

@@ -193,16 +193,25 @@ def _counting(batches) -> Iterator:
 
 
 def _sharing(batches) -> Iterator:
-    """Distinct runs of four characters of all texts, once per batch."""
+    """Distinct runs of four characters of all texts; a task passes over words and runs that it
+    has met before, as far as it remembers them."""
     import pyarrow as pa
 
+    words: set[str] = set()
+    runs = np.empty(0, np.uint64)
     for batch in batches:
-        words = {w for text in batch.column(0).to_pylist() for w in words_of(text)}
-        runs: set[str] = set()
-        for word in words:
-            marked = f"{_BEGIN * (ORDER - 1)}{word}{_END}"
-            runs.update(marked[i + 1 : i + ORDER] for i in range(len(word) + 1))
-        yield pa.RecordBatch.from_arrays([pa.array(list(runs), pa.string())], ["g"])
+        found = {w for text in batch.column(0).to_pylist() for w in words_of(text)} - words
+        words = words | found if len(words) < _CACHE else found
+        codes, places, _ = _codes(list(found), ORDER)
+        keys, first = np.unique(_hash(codes, places, 4), return_index=True)
+        new = ~np.isin(keys, runs)
+        runs = np.union1d(runs, keys) if len(runs) < 4 * _CACHE else keys
+        at = places[first[new]]
+        flat = np.stack([codes[at - 3 + i] for i in range(4)], 1).astype("<u4")
+        text = flat.tobytes().decode("utf-32-le", "surrogatepass")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([text[i : i + 4] for i in range(0, len(text), 4)], pa.string())], ["g"]
+        )
 
 
 def _shared_levels(docs: DataFrame, text: str, wanted: DataFrame) -> dict[int, list]:

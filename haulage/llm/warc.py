@@ -20,11 +20,14 @@ TO_TEXT = (
     ("(?is)<script[^>]*>.*?</script>", " "),
     ("(?is)<style[^>]*>.*?</style>", " "),
     ("(?is)<head[^>]*>.*?</head>", " "),
-    ("(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|nav|section|blockquote|pre)(?:\\s[^>]*)?/?>", "\n"),
+    ("(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|nav|section|blockquote|pre)(?:[ \\t\\r\\n][^>]*)?/?>", "\n"),
     ("<[^>]*>", ""),
 )
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-TIDY = (("[ \\t\\r]+", " "), (" ?\\n ?", "\n"), ("\\n+", "\n"), ("^\\n|\\n$", ""))
+TITLE = "(?is)<title[^>]*>(.*?)</title>"
+LANGUAGE = "(?i)<html[^>]*[ \\t\\r\\n]lang=\"([a-zA-Z-]+)\""
+BREAKS = "[ \\t\\r\\n]+"
+TIDY = (("[ \\t\\r]+", " "), (" ?\\n ?", "\n"), ("\\n+", "\n"), ("^\\n|\\n\\z", ""))
 
 
 def digest(value: Column) -> Column:
@@ -77,8 +80,8 @@ def derivatives(source: DataFrame) -> DataFrame:
     Repeated responses give repeated records with the same identifiers. An empty page has
     an empty conversion.
     """
-    title = F.regexp_extract("payload", "(?is)<title[^>]*>(.*?)</title>", 1)
-    language = F.regexp_extract("payload", "(?i)<html[^>]*\\slang=\"([a-zA-Z-]+)\"", 1)
+    title = F.regexp_extract("payload", TITLE, 1)
+    language = F.regexp_extract("payload", LANGUAGE, 1)
     base = source.withColumns(
         {
             "text": plain_text(F.col("payload")),
@@ -87,7 +90,7 @@ def derivatives(source: DataFrame) -> DataFrame:
             "conversion_id": record_id(F.lit("conversion"), F.col("record_id")),
             "metadata_id": record_id(F.lit("metadata"), F.col("record_id")),
             # One field a line: breaks inside a title would end the field.
-            "title": F.trim(F.regexp_replace(title, "[ \\t\\r\\n]+", " ")),
+            "title": F.trim(F.regexp_replace(title, BREAKS, " ")),
             "language": language,
         }
     )
