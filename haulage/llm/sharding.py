@@ -1,7 +1,8 @@
 """Balanced label propagation: linked documents move towards the shard of their neighbours.
 
-Documents with equal text are linked. What moves is a piece, the rows of one text that began
-in one shard, so the state is at most `shards` rows per text however many rows hold it.
+Documents with equal text are linked. What moves is a piece, an eighth of the rows of one text
+that began in one shard, so the state is at most eight rows per text and shard however many
+rows hold the text.
 """
 
 from __future__ import annotations
@@ -17,54 +18,57 @@ from haulage.session import written
 
 SHARDS = 16
 ROUNDS = 6
-_BINS = 256  # priorities that a shard admits by
+_PIECES = 8  # of a text's rows in a shard
+_FULL = 0.95  # of its quota: a shard that asks for no more, since hardly any piece fits
+_CLASSES, _PARTS = 16, 16  # classes of texts by their number of rows, and parts of a class
 
 
-def _propagate(pieces: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
-    """``pieces(_g1, _g2, _start, _n, _shard)`` after label propagation under the quota.
+def _loads(pieces: DataFrame) -> DataFrame:
+    """``(_shard, _class, _held)`` for every class: rows of that class and of larger texts."""
+    held = pieces.groupBy("_shard", "_class").agg(F.sum("_n").alias("_n"))
+    every = held.select("_shard", "_n", F.explode(F.sequence("_class", F.lit(_CLASSES - 1))).alias("_class"))
+    return every.groupBy("_shard", "_class").agg(F.sum("_n").alias("_held"))
+
+
+def _propagate(pieces: DataFrame, quota: int, rounds: int) -> DataFrame:
+    """``pieces(_g1, _g2, _start, _n, _class, _shard)`` after label propagation under the quota.
 
     In each round a piece asks for the shard that holds most rows of its text, ties by a
-    hash of the text. A shard admits pieces in the order of a hash, larger texts first,
-    while their rows fit into what it has left. Requests and room are sums per shard and
-    priority, a table of fixed size.
+    hash of the text. A shard admits larger texts first, then by a hash, while their rows fit
+    into what texts as large leave of its quota; smaller texts that no longer fit lose
+    their place in the end. Requests and loads are sums per shard and priority, tables of
+    fixed size. A text that outgrows a shard goes on to the next fullest with room.
     """
     group = ["_g1", "_g2"]
     for turn in range(rounds):
-        held = pieces.groupBy("_shard").agg(F.sum("_n").alias("_held"))
-        full = held.where(F.col("_held") >= quota).select(F.col("_shard").alias("_to"))
-        votes = pieces.groupBy(*group, F.col("_shard").alias("_to")).agg(F.sum("_n").alias("_v"))
-        # A text that outgrows a shard looks for the next fullest that still has room.
-        open_votes = votes.join(F.broadcast(full), "_to", "left_anti")  # at most `shards` rows
+        loads = written(_loads(pieces), "shard-loads")
+        full = loads.where(F.col("_held") >= quota * _FULL).select(F.col("_shard").alias("_to"), "_class")
+        votes = pieces.groupBy(*group, "_class", F.col("_shard").alias("_to")).agg(F.sum("_n").alias("_v"))
+        open_votes = votes.join(F.broadcast(full), ["_to", "_class"], "left_anti")  # a fixed size
         liking = F.struct("_v", F.xxhash64(*group, "_to"), "_to")
         wish = open_votes.groupBy(*group).agg(F.max(liking).alias("_w")).select(
             *group, F.col("_w._v").alias("_v"), F.col("_w._to").alias("_to")
         )
         own = votes.select(*group, F.col("_to").alias("_shard"), F.col("_v").alias("_own"))
-        asking = (
+        part = F.pmod(F.xxhash64(*group, "_start", F.lit(turn)), F.lit(_PARTS)).cast("int")
+        asking = written(
             pieces.join(own, [*group, "_shard"]).join(wish, group)
             .where("_shard <> _to AND _v >= _own")
-            .withColumn(
-                "_bin",
-                # Votes double from one priority to the next, hashes spread them within it.
-                F.least(F.lit(15), F.floor(F.log2(F.col("_v").cast("double"))).cast("int")) * -16 + 240
-                + F.pmod(F.xxhash64(*group, "_start", F.lit(turn)), F.lit(16)).cast("int"),
-            )
-            .select(*group, "_start", "_to", "_bin", "_n")
+            .select(*group, "_start", "_class", "_to", part.alias("_part"), "_n"),
+            "shard-wishes",
         )
-        asking = written(asking, "shard-wishes")
-        sums = asking.groupBy("_to", "_bin").agg(F.sum("_n").alias("_s"))
-        running = W.partitionBy("_to").orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
-        room = F.lit(quota) - F.coalesce("_held", F.lit(0))
+        sums = asking.groupBy("_to", "_class", "_part").agg(F.sum("_n").alias("_s"))
+        running = W.partitionBy("_to").orderBy("_class", "_part").rowsBetween(W.unboundedPreceding, 0)
         admitted = (
             sums.withColumn("_upto", F.sum("_s").over(running))
-            .join(held.withColumnRenamed("_shard", "_to"), "_to", "left")
-            .where(F.col("_upto") <= room)
-            .select("_to", "_bin")
+            .join(loads.withColumnRenamed("_shard", "_to"), ["_to", "_class"], "left")
+            .where(F.col("_upto") + F.coalesce("_held", F.lit(0)) <= quota)
+            .select("_to", "_class", "_part")
         )
-        moves = asking.join(F.broadcast(admitted), ["_to", "_bin"])  # at most shards * _BINS rows
+        moves = asking.join(F.broadcast(admitted), ["_to", "_class", "_part"])  # a fixed size
         pieces = written(
             pieces.join(moves.select(*group, "_start", "_to"), [*group, "_start"], "left").select(
-                *group, "_start", "_n", F.coalesce("_to", "_shard").alias("_shard")
+                *group, "_start", "_n", "_class", F.coalesce("_to", "_shard").alias("_shard")
             ),
             "shard-pieces",
         )
@@ -76,8 +80,9 @@ def shard(
 ) -> DataFrame:
     """``docs`` plus ``shard`` and ``slot``; counts of shards differ by one row at most.
 
-    Linked rows keep the shard that propagation gave them as far as its target count goes;
-    rows beyond it and rows without links fill what is missing. Null and empty texts count
+    Linked rows keep the shard that propagation gave them as far as its target count goes,
+    larger texts first; rows beyond it and rows without links fill what is missing, rows of
+    one text one after the other. Null and empty texts count
     as the same empty text. Rows equal in identifier and text are interchangeable.
     """
     names = [c for c in docs.columns if c not in ("shard", "slot")]
@@ -88,19 +93,22 @@ def shard(
     )
     group = ["_g1", "_g2"]
     thin = thin.withColumn("_h", F.xxhash64(F.coalesce("_k", F.lit(-1)), "_g1")).withColumn(
-        "_start", F.pmod("_h", F.lit(shards)).cast("int")
+        "_start", F.pmod("_h", F.lit(shards * _PIECES)).cast("int")
     )
-    # Copies of one row would all begin in one shard; they may, as pieces are whole rows.
+    # Rows equal in identifier and text have one hash and so stay together.
     states = thin.groupBy(*group, "_start").agg(F.count(F.lit(1)).alias("_n"))
     linked = written(
         states.join(
             states.groupBy(*group).agg(F.sum("_n").alias("_all")).where("_all > 1"), group
-        ).withColumn("_shard", F.col("_start")),
+        )
+        .withColumn("_shard", F.pmod("_start", F.lit(shards)))
+        # Class 0 holds the largest texts.
+        .withColumn("_class", (_CLASSES - 1) - F.least(F.lit(_CLASSES - 1), F.floor(F.log2("_all")).cast("int"))),
         "shard-pieces",
     )
     rows = docs.count()
     quota = rows // shards
-    placed = _propagate(linked.drop("_all"), shards, quota, rounds)
+    placed = _propagate(linked.drop("_all"), quota, rounds)
     sizes = linked.select(*group, "_start", "_all")
     state = placed.join(sizes, [*group, "_start"])
 
@@ -113,10 +121,10 @@ def shard(
     )
     order = ["_g1", "_g2", "_h", "_k"]
     target = F.lit(quota) + (F.col("_shard") < rows % shards).cast("long")
-    settled = ranks(tagged.where("NOT _loose"), ["_shard"], ["_b", "_salt"], order, "_rank")
+    settled = ranks(tagged.where("NOT _loose"), ["_shard"], ["_class", "_b", "_salt"], order, "_rank")
     settled = written(
         settled.withColumn("_over", F.col("_rank") >= target).select(
-            "_k", *group, "_h", "_b", "_salt", "_shard", "_rank", "_over"
+            "_k", *group, "_h", "_all", "_shard", "_rank", "_over"
         ),
         "shard-settled",
     )
@@ -133,13 +141,16 @@ def shard(
         here = F.col("_rank") < high
         chosen = F.when(here, F.lit(s)).otherwise(chosen)
         first = F.when(here, F.lit(used - low)).otherwise(first)
+    wide = max(1, math.isqrt(rows))
     loose = (
-        tagged.where("_loose").select("_k", *group, "_h", "_b", "_salt")
-        .unionByName(settled.where("_over").select("_k", *group, "_h", "_b", "_salt"))
+        tagged.where("_loose").select("_k", *group, "_h", "_all")
+        .unionByName(settled.where("_over").select("_k", *group, "_h", "_all"))
         .withColumn("_one", F.lit(0))
-        .withColumn("_b", F.pmod("_h", F.lit(max(1, math.isqrt(rows)))))
+        # Rows of one text follow each other here as well.
+        .withColumn("_b", F.pmod("_g1", F.lit(wide)))
+        .withColumn("_salt", F.pmod("_h", F.floor(F.coalesce("_all", F.lit(0)) / (wide + 1)) + 1))
     )
-    loose = ranks(loose, ["_one"], ["_b"], order, "_rank").select(
+    loose = ranks(loose, ["_one"], ["_b", "_salt"], order, "_rank").select(
         "_k", *group, chosen.alias("shard"), (F.col("_rank") + first).alias("slot")
     )
     dealt = keep.select("_k", *group, F.col("_shard").alias("shard"), F.col("_rank").alias("slot"))
