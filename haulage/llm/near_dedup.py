@@ -9,6 +9,7 @@ concentrated as for independent hashes, at a cost of a few hashes per shingle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from haulage.session import written
 
 BANDS, ROWS = 48, 6  # misses a pair of similarity 0.8 with probability 5e-7
 COORDINATES = BANDS * ROWS
+BITS = 2048  # one bit of as many coordinates; passes over a pair of similarity 0.8 once in 3e6
+DEVIATIONS = 5
 SYNTHETIC = 1 << 62  # vertices of rows without an identifier lie above it
 
 
@@ -82,6 +85,17 @@ def bands(sketch: np.ndarray, bands_: int = BANDS, rows: int = ROWS) -> np.ndarr
     return fp.mix(total ^ (np.arange(bands_, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
+def bit_rows(sketch: np.ndarray) -> np.ndarray:
+    """One bit of every coordinate, 64 in a word."""
+    return np.packbits(fp.mix(sketch) & np.uint64(1) == 1, axis=1).view(np.uint64)
+
+
+def far_bits(percent: int, bits: int = BITS) -> int:
+    """More differing bits than this mean a similarity below ``percent`` %."""
+    odds = (1 - percent / 100) / 2
+    return math.ceil(bits * odds + DEVIATIONS * math.sqrt(bits * odds * (1 - odds)))
+
+
 def _identities(sets: list[np.ndarray]) -> np.ndarray:
     """128 bits of each set, 0 for an empty one."""
     out = np.zeros((len(sets), 2), np.uint64)
@@ -139,12 +153,18 @@ def _setting(size: int):
                 places = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
                 vertices = _vertices(every[low:high], _identities(sets))
+                bits = np.zeros((len(sets), BITS // 64), np.uint64)
+                some = [i for i, s in enumerate(sets) if len(s)]
+                if some:
+                    bits[some] = bit_rows(sketches([sets[i] for i in some], BITS))
+                rows = np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(vertices, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(places), pa.array(fp.signed(flat))),
+                        pa.ListArray.from_arrays(pa.array(rows), pa.array(fp.signed(bits.reshape(-1)))),
                     ],
-                    ["_v", "_set"],
+                    ["_v", "_set", "_bits"],
                 )
 
     return run
@@ -152,7 +172,7 @@ def _setting(size: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole sets are similar enough."""
-    first, second = sets.toDF("a", "_x"), sets.toDF("b", "_y")
+    first, second = sets.select("_v", "_set").toDF("a", "_x"), sets.select("_v", "_set").toDF("b", "_y")
     joined = pairs.join(first, "a").join(second, "b")
     both = F.size(F.array_intersect("_x", "_y"))
     union = F.size("_x") + F.size("_y") - both
@@ -170,9 +190,10 @@ def near_duplicates(
     A row without an identifier is linked like others but gives no name to its component and
     is never the kept one. Rows without words are linked with nothing.
 
-    In a bucket, every member is first compared with the smallest one. What this leaves in
-    different components is then compared in pairs across components, so no candidate is
-    lost and a group of similar texts costs about as many comparisons as it has members.
+    In a bucket, every member is first compared with the one that has most company in all its
+    buckets. What this leaves in different components is then paired across components, but
+    for pairs whose longer sketches differ too much, and compared in full. So no candidate
+    is lost, and a group of similar texts costs about as many comparisons as it has members.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -195,24 +216,28 @@ def near_duplicates(
     entries = signed.join(
         classes.select("_s1", "_s2", "_v"), ["_s1", "_s2", "_v"], "left_semi"
     ).select("_v", "_n", F.explode("_bands").alias("_h"))
+    shared = entries.groupBy("_h").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    shared = written(entries.join(shared, "_h"), "near-shared")
+    # The text that others were copied from shares more buckets with more texts than any copy.
+    hubs = shared.groupBy("_v").agg(F.sum("_m").alias("_score"))
     leads = (
-        entries.groupBy("_h")
-        .agg(F.min(F.struct("_v", "_n")).alias("_lead"), F.count(F.lit(1)).alias("_m"))
-        .where("_m > 1").select("_h", F.col("_lead._v").alias("_lead"), F.col("_lead._n").alias("_ln"))
+        shared.join(hubs, "_v").groupBy("_h")
+        .agg(F.max(F.struct("_score", (-F.col("_v")).alias("_o"), "_n")).alias("_lead"))
+        .select("_h", (-F.col("_lead._o")).alias("_lead"), F.col("_lead._n").alias("_ln"))
     )
-    buckets = written(entries.join(leads, "_h"), "near-buckets")
+    buckets = written(shared.drop("_m").join(leads, "_h"), "near-buckets")
     # Sets that differ too much in size cannot be similar enough.
     near = "100 * least({0}, {1}) >= " + str(percent) + " * greatest({0}, {1})"
     first = written(
         buckets.where("_v <> _lead").where(near.format("_n", "_ln"))
-        .select(F.col("_lead").alias("a"), F.col("_v").alias("b")).distinct(),
+        .select(F.least("_lead", "_v").alias("a"), F.greatest("_lead", "_v").alias("b")).distinct(),
         "near-pairs",
     )
     candidates = written(buckets.select("_v").distinct(), "near-candidates")
     sets = written(
         thin.join(candidates, thin["_id"] == candidates["_v"], "left_semi")
         .unionByName(thin.where("_id IS NULL"))
-        .mapInArrow(_setting(size), "_v long, _set array<long>"),
+        .mapInArrow(_setting(size), "_v long, _set array<long>, _bits array<long>"),
         "near-sets",
     )
     links = written(_verified(first, sets, percent), "near-links")
@@ -221,10 +246,25 @@ def near_duplicates(
         "_h", "_v", "_n", F.coalesce("component", "_v").alias("_c")
     )
     mixed = placed.groupBy("_h").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi")
-    open_ = written(placed.join(mixed.select("_h"), "_h", "left_semi"), "near-open")
-    left, right = open_.toDF("_h", "a", "_na", "_ca"), open_.toDF("_h", "b", "_nb", "_cb")
+    # Bits of longer sketches pass over most pairs that are not similar enough, and the first
+    # bucket that two sets share is the only one to name them.
+    traits = sets.select("_v", "_bits").join(
+        signed.select("_v", "_bands", "_s1", "_s2").join(
+            classes.select("_s1", "_s2", "_v"), ["_s1", "_s2", "_v"], "left_semi"
+        ).select("_v", "_bands"), "_v",
+    ).dropDuplicates(["_v"])
+    open_ = written(placed.join(mixed.select("_h"), "_h", "left_semi").join(traits, "_v"), "near-open")
+    open_ = open_.select("_h", "_v", "_n", "_c", "_bits", "_bands")
+    left = open_.toDF("_h", "a", "_na", "_ca", "_xa", "_ya")
+    right = open_.toDF("_h", "b", "_nb", "_cb", "_xb", "_yb")
+    apart = " + ".join(f"bit_count(_xa[{i}] ^ _xb[{i}])" for i in range(BITS // 64))
     rest = (
-        left.join(right, "_h").where("a < b AND _ca <> _cb").where(near.format("_na", "_nb"))
+        left.join(
+            right,
+            (left["_h"] == right["_h"]) & F.expr("a < b AND _ca <> _cb")
+            & F.expr(near.format("_na", "_nb")) & F.expr(f"{apart} <= {far_bits(percent)}")
+            & (F.get(F.array_intersect("_ya", "_yb"), F.lit(0)) == left["_h"]),
+        )
         .select("a", "b").distinct()
         .join(first, ["a", "b"], "left_anti")
     )
