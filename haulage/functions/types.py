@@ -52,7 +52,13 @@ PROBLEMATIC_TYPES = ["text", "varchar", "char", "json", "jsonb", "uuid"]
 # End of fixed values. The many `interval x to y` names of Vertica need no entries:
 # the longest matching word prefix is `interval`.
 
-MAX_TYPE_WORDS = 5
+# No listed name has more words, so longer prefixes need not be looked at.
+MAX_TYPE_WORDS = max(
+    len(name.split())
+    for group in (POSTGRESQL_TYPES, GREENPLUM_EXTRA_TYPES, VERTICA_TYPES)
+    for names in group.values()
+    for name in names
+)
 
 
 def type_names(dialect: str = "postgresql") -> dict[str, str]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from haulage.functions.rows import row_hash
+from haulage.functions.rows import quoted, row_hash
 from haulage.session import written
 
 SLICE, PLACE = "_slice", "_place"
@@ -50,8 +50,8 @@ def with_ties(df: DataFrame) -> DataFrame:
     A hash and not the remaining columns, because range bounds are sampled through the
     driver, and a sample of wide texts would not be small.
     """
-    return df.withColumn("_tie", row_hash(df.columns)).selectExpr(
-        *[f"`{c}`" for c in df.columns], "_tie.a AS _tie_a", "_tie.b AS _tie_b"
+    return df.withColumn("_tie", row_hash(df.columns, dict(df.dtypes))).selectExpr(
+        *[quoted(c) for c in df.columns], "_tie.a AS _tie_a", "_tie.b AS _tie_b"
     )
 
 
@@ -141,7 +141,7 @@ def running_totals(
 
     A window over the key alone would put a hot key into one task. Here each
     (key, slice) is summed on its own and shifted by what earlier slices of the key hold.
-    The keys identify a job or table; rows without a key belong to no total and are left out.
+    A NULL key is a key like others.
     """
     values = {f"_v_{name}": value for name, value in totals.items()}
     slices = ordered_slices(df.withColumns(values), [*keys, *order], "running")
@@ -160,7 +160,12 @@ def running_totals(
     local = W.partitionBy(*keys, SLICE).orderBy(PLACE)
     local = local.rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = slices.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(local) for n in totals})
-    joined = inside.join(carried, [*keys, SLICE])
+    # NULL keys meet as well, which a join on names would not do.
+    there = carried.toDF(*[f"_j_{c}" if c in (*keys, SLICE) else c for c in carried.columns])
+    same = F.lit(True)
+    for c in (*keys, SLICE):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_j_{c}`"))
+    joined = inside.join(there, same).drop(*[f"_j_{c}" for c in (*keys, SLICE)])
     return joined.withColumns(
         {n: F.col(f"_c_{n}") + F.col(f"_r_{n}") for n in totals}
     ).drop(SLICE, PLACE, *values, *[f"_{p}_{n}" for n in totals for p in ("c", "r")])

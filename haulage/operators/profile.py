@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulage.functions.rows import literal, quoted
 from haulage.functions.scale import ceil_div, micros_sql
 from haulage.plans.methods import benefit_label, supports_cursors
 from haulage.policy import Policy
@@ -62,7 +63,7 @@ def extremes(found: list[tuple[int, str, str]], quote: str = "`") -> list[str]:
     """Aggregates of one profile row, as SQL that databases understand as well."""
     out = ["count(*) AS row_total"]
     for ordinal, name, _ in found:
-        column = f"{quote}{name}{quote}"
+        column = quoted(name, quote)
         out += [
             f"min({column}) AS lo_{ordinal}", f"max({column}) AS hi_{ordinal}",
             f"count({column}) AS n_{ordinal}",
@@ -84,12 +85,12 @@ def profile_from_extremes(
             keys = [micros_sql(low, dtype), micros_sql(high, dtype)]
         else:
             reals = [f"{low} + 0.0D", f"{high} + 0.0D"]  # adding zero turns -0.0 into 0.0
-        values = [str(ordinal), f"'{name}'", f"'{kind}'"]
+        values = [str(ordinal), literal(name), f"'{kind}'"]
         values += [f"cast({k} AS bigint)" for k in keys] + [f"cast({r} AS double)" for r in reals]
         entries.append(", ".join([*values, f"row_total - n_{ordinal}", "row_total"]))
     names = "ordinal, column_name, data_type, min_key, max_key, min_real, max_real, null_count, total_count"
     stacked = f"stack({len(entries)}, {', '.join(entries)}) AS ({names})"
-    return one_row.selectExpr(stacked).selectExpr(f"'{table}' AS table_name", "*")
+    return one_row.selectExpr(stacked).selectExpr(f"{literal(table)} AS table_name", "*")
 
 
 def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:

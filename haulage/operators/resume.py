@@ -52,6 +52,13 @@ def tables_to_export(wanted: DataFrame, manifests: DataFrame) -> DataFrame:
     return wanted.join(_complete(manifests), ["table_name", "row_count"], "left_anti")
 
 
+def mark_existing(wanted: DataFrame, manifests: DataFrame) -> DataFrame:
+    """``wanted`` plus ``exists_already``, in one join."""
+    done = _complete(manifests).distinct().withColumn("_done", F.lit(True))
+    marked = wanted.join(done, ["table_name", "row_count"], "left")
+    return marked.select(*wanted.columns, F.coalesce("_done", F.lit(False)).alias("exists_already"))
+
+
 def _complete(manifests: DataFrame) -> DataFrame:
     complete = manifests.where(F.col("status") == "complete")
     return complete.select("table_name", F.col("total_rows").alias("row_count"))

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulage.functions.rows import row_hash
+from haulage.functions.rows import quoted, row_hash
 from haulage.plans.ranges import RangePlan
+from haulage.sinks.manifest import CHUNK
 
 
 def chunk_histogram(df: DataFrame, plan: RangePlan) -> DataFrame:
@@ -124,7 +125,7 @@ def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     codec = footer.row_group(0).column(0).compression if footer.num_row_groups else None
                     rows.append((path, True, footer.num_rows, footer.num_row_groups, codec, None))
             except Exception as error:  # the verdict is the result, whatever went wrong
-                rows.append((path, False, None, None, None, str(error)[:500]))
+                rows.append((path, False, None, None, None, str(error)))
         yield pd.DataFrame(
             rows, columns=["file_path", "readable", "row_count", "row_groups", "codec", "error"]
         ).astype({"row_count": "Int64", "row_groups": "Int64"})
@@ -198,13 +199,20 @@ def combined_checksum(checksums: DataFrame) -> DataFrame:
     )
 
 
+def in_sample(keys: list[str], one_in: int) -> Column:
+    """One key in ``one_in``, by the first digits of its MD5: both sides and SQL choose alike."""
+    texts = [F.coalesce(F.col(quoted(k)).cast("string"), F.lit("")) for k in keys]
+    digits = F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 6), 16, 10)
+    return F.pmod(digits.cast("bigint"), F.lit(one_in)) == 0
+
+
 def verify_sample(
     source: DataFrame, export: DataFrame, keys: list[str], one_in: int = 100
 ) -> DataFrame:
     """Compare the rows of a sample chosen by the key's hash, so that both sides sample the
     same rows. Returns one verdict row."""
     if one_in > 1:
-        chosen = F.pmod(F.xxhash64(*keys), F.lit(one_in)) == 0
+        chosen = in_sample(keys, one_in)
         source, export = source.where(chosen), export.where(chosen)
     compared = reconcile(source, export, keys)
     return compared.agg(
@@ -217,23 +225,59 @@ def verify_sample(
     )
 
 
+# Columns that an export adds on purpose.
+ADDED = (CHUNK,)
+
+
+def reconcile_columns(source: DataFrame, export: DataFrame) -> DataFrame:
+    """One row per column of either side: same, missing from the export, extra in it, or of
+    another type there, with both types."""
+    there, here = dict(export.dtypes), dict(source.dtypes)
+    rows = []
+    for name in [*here, *(n for n in there if n not in here and n not in ADDED)]:
+        a, b = here.get(name), there.get(name)
+        outcome = "missing" if b is None else "extra" if a is None else "same" if a == b else "type_changed"
+        rows.append((name, a, b, outcome))
+    schema = "column_name string, source_type string, export_type string, outcome string"
+    return source.sparkSession.createDataFrame(rows, schema)
+
+
+def _alike(source: DataFrame, export: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the same columns in the export's types; other columns are refused."""
+    there = dict(export.dtypes)
+    lost = [c for c in source.columns if c not in there]
+    extra = [c for c in export.columns if c not in source.columns and c not in ADDED]
+    if lost or extra:
+        raise ValueError(f"columns missing from the export: {lost}; only in the export: {extra}")
+    columns = source.columns
+    cast = [F.col(quoted(c)).cast(export.schema[c].dataType).alias(c) for c in columns]
+    return source.select(*cast), export.select(*[F.col(quoted(c)) for c in columns]), columns
+
+
 def reconcile(source: DataFrame, export: DataFrame, keys: list[str]) -> DataFrame:
     """Outcome per key: same, changed, missing from the export, or extra in it.
 
     Only keys and 128-bit row hashes are shuffled. Keys must be unique on each side; use
-    :func:`reconcile_rows` for tables without a key.
+    :func:`reconcile_rows` for tables without a key. A NULL key equals a NULL key. Values
+    are compared in the export's types; :func:`reconcile_columns` reports changed types.
     """
-    columns = [c for c in source.columns if c in set(export.columns)]
-    left = source.select(*keys, row_hash(columns).alias("_source"))
-    right = export.select(*keys, row_hash(columns).alias("_export"))
-    joined = left.join(right, keys, "full_outer")
+    source, export, columns = _alike(source, export)
+    hashed = row_hash(columns, dict(export.dtypes))
+    left = source.select(*[F.col(quoted(k)) for k in keys], hashed.alias("_source"))
+    right = export.select(*[F.col(quoted(k)).alias(f"_e_{i}") for i, k in enumerate(keys)], hashed.alias("_export"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(quoted(k)).eqNullSafe(F.col(f"_e_{i}"))
+    joined = left.join(right, same, "full_outer")
+    # The hashes are never NULL, so they tell which side a key is on.
     outcome = (
         F.when(F.col("_export").isNull(), "missing")
         .when(F.col("_source").isNull(), "extra")
         .when(F.col("_source") == F.col("_export"), "same")
         .otherwise("changed")
     )
-    return joined.select(*keys, outcome.alias("outcome"))
+    found = [F.coalesce(F.col(quoted(k)), F.col(f"_e_{i}")).alias(k) for i, k in enumerate(keys)]
+    return joined.select(*found, outcome.alias("outcome"))
 
 
 def reconcile_rows(source: DataFrame, export: DataFrame) -> DataFrame:
@@ -243,18 +287,23 @@ def reconcile_rows(source: DataFrame, export: DataFrame) -> DataFrame:
     row that fills a third of the table costs one entry per task. Whole rows are moved
     only for the hashes that differ.
     """
-    columns = [c for c in source.columns if c in set(export.columns)]
+    source, export, columns = _alike(source, export)
+    types = dict(export.dtypes)
+    names = [F.col(quoted(c)) for c in columns]
 
     def marked(df: DataFrame, s: int, e: int) -> DataFrame:
-        h = row_hash(columns)
+        h = row_hash(columns, types)
         return df.select(
-            *columns, h["a"].alias("_a"), h["b"].alias("_b"), F.lit(s).alias("_s"), F.lit(e).alias("_e")
+            *names, h["a"].alias("_a"), h["b"].alias("_b"), F.lit(s).alias("_s"), F.lit(e).alias("_e")
         )
 
     sides = marked(source, 1, 0).unionByName(marked(export, 0, 1))
     counts = [F.sum("_s").alias("source_count"), F.sum("_e").alias("export_count")]
     differs = F.col("source_count") != F.col("export_count")
     hashes = sides.groupBy("_a", "_b").agg(*counts).where(differs).select("_a", "_b")
-    return (
-        sides.join(hashes, ["_a", "_b"], "left_semi").groupBy(*columns).agg(*counts).where(differs)
-    )
+    held = sides.join(hashes, ["_a", "_b"], "left_semi")
+    if not any(kind.startswith("map<") for kind in types.values()):
+        return held.groupBy(*names).agg(*counts).where(differs)
+    # Maps cannot be grouped by; the hash stands for the row.
+    values = [F.first(n).alias(c) for n, c in zip(names, columns)]
+    return held.groupBy("_a", "_b").agg(*values, *counts).where(differs).drop("_a", "_b")

@@ -12,6 +12,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulage.functions.rows import quoted
 from haulage.functions.scale import micros_sql
 from haulage.operators.positions import with_positions
 from haulage.operators.profile import TIME_TYPES, WHOLE_TYPES
@@ -252,7 +253,7 @@ class RangePlan:
 
     @property
     def _name(self) -> str:
-        return f"`{self.column}`"
+        return quoted(self.column)
 
     def key(self) -> Column:
         """The column as the number the plan was made with."""

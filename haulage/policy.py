@@ -107,8 +107,6 @@ class Policy:
     slow_chunk_seconds: int = 30
     throughput_window_seconds: int = 60
 
-    # A side is only broadcast when it is known to stay below this
-    broadcast_rows: int = 100_000
 
     def scaled(self, factor: int) -> "Policy":
         """The same policy for tables ``factor`` times smaller."""

@@ -105,6 +105,13 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not move {source} to {target}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a directory and what is in it, if it is there."""
+    fs, hpath = filesystem(spark, path)
+    if fs.exists(hpath):
+        fs.delete(hpath, True)
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Directory entries right below ``path``; empty when it does not exist."""
     fs, hpath = filesystem(spark, path)

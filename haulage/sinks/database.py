@@ -94,7 +94,7 @@ def export_database_table(
     if plan is None:
         limit = rows_per_file(rows, policy.bytes_per_row, policy)
         return export_capped(
-            jdbc.read_table(spark, db, request.source, rows), path, table, limit, options, job_id
+            jdbc.read_table(spark, db, request.source, rows), path, table, limit, options, job_id, rows
         )
     chunks = jdbc.read_plan(spark, db, request.source, plan)
     return export_ranges(

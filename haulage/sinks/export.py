@@ -40,12 +40,14 @@ def export_single(
     policy: Policy = Policy(),
     job_id: str | None = None,
 ) -> dict:
-    """One file, for tables up to the policy's limit; larger ones are written sized."""
+    """One file, written by one task, as asked; tables beyond the policy's limit are refused, and
+    :func:`export_sized` is the choice for them. Fails unless ``rows`` rows were written."""
     if rows > policy.single_file_rows:
-        return export_sized(df, path, table, rows, options=options, policy=policy, job_id=job_id)
+        raise ValueError(f"{table}: {rows} rows are too many for one file; use export_sized")
     _write(df.coalesce(1), path, options, chunked=False)
     return write_manifest(
-        df.sparkSession, path, table, df.schema, method="single", chunked=False, job_id=job_id
+        df.sparkSession, path, table, df.schema, method="single", chunked=False, job_id=job_id,
+        expected_rows=rows,
     )
 
 
@@ -75,20 +77,22 @@ def export_sized(
     _write(df.repartition(files), path, options, chunked=False)
     return write_manifest(
         df.sparkSession, path, table, df.schema, method="sized", chunked=False,
-        chunk_size=limit, job_id=job_id,
+        chunk_size=limit, job_id=job_id, expected_rows=rows,
     )
 
 
 def export_capped(
     df: DataFrame, path: str, table: str, max_records: int,
-    options: ExportOptions = ExportOptions(), job_id: str | None = None,
+    options: ExportOptions = ExportOptions(), job_id: str | None = None, rows: int | None = None,
 ) -> dict:
-    """As read, without a shuffle; a new file starts after ``max_records`` rows."""
+    """As read, without a shuffle; a new file starts after ``max_records`` rows. The total is
+    checked against ``rows``, or else against a count of the source."""
     capped = ExportOptions(**{**options.__dict__, "max_records_per_file": max_records})
     _write(df, path, capped, chunked=False)
     return write_manifest(
         df.sparkSession, path, table, df.schema, method="capped", chunked=False,
         chunk_size=max_records, job_id=job_id,
+        expected_rows=df.count() if rows is None else rows,
     )
 
 
@@ -113,15 +117,13 @@ def export_ranges(
         chunked = chunked.join(only.select(CHUNK).distinct(), CHUNK, "left_semi")
     with target_partition_size(df.sparkSession, policy.target_file_mb):
         _write(gathered_by_chunk(chunked) if gather else chunked, path, options, chunked=True)
-    metadata = write_manifest(
+    expected = None
+    if only is None:  # a plan by quantiles knows no total, so the source is counted
+        expected = df.count() if plan.rows is None else plan.rows
+    return write_manifest(
         df.sparkSession, path, plan.table, df.schema, method="ranges", chunked=True,
-        planned_chunks=plan.chunks, plan=plan.as_dict(), job_id=job_id,
+        planned_chunks=plan.chunks, plan=plan.as_dict(), job_id=job_id, expected_rows=expected,
     )
-    if only is None and plan.rows is not None and metadata["total_rows"] != plan.rows:
-        raise ValueError(
-            f"{plan.table}: {metadata['total_rows']} rows written, {plan.rows} expected"
-        )
-    return metadata
 
 
 def export_paged(
@@ -146,5 +148,5 @@ def export_paged(
     return write_manifest(
         df.sparkSession, path, table, df.schema, method="pages", chunked=True,
         planned_chunks=0 if last is None else last // page_rows + 1, chunk_size=page_rows,
-        job_id=job_id,
+        job_id=job_id, expected_rows=df.count(),
     )

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
+from urllib.parse import quote
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,9 @@ from haulage.operators.profile import best_range_column, profile_columns, rangea
 from haulage.plans.methods import CURSOR, DIRECT, RANGES, plan_methods
 from haulage.plans.ranges import range_plan
 from haulage.policy import ExportOptions, Policy
-from haulage.session import write_text
+from haulage.session import remove, write_text
 from haulage.sinks.export import export_paged, export_ranges, export_single, export_sized
+from haulage.sinks.manifest import load_metadata
 
 
 class Ledger:
@@ -69,11 +71,11 @@ def export_table(
         policy,
     ).first()
     method = decision["method"]
-    if method == DIRECT:
+    if method == DIRECT and rows <= policy.single_file_rows:
         return export_single(df, path, table, rows, options, policy, job_id)
     if method == RANGES:
         return export_ranges(df, plan, path, options, job_id=job_id, policy=policy)
-    if method == CURSOR:
+    if method in (CURSOR, DIRECT):
         return export_sized(df, path, table, rows, options=options, policy=policy, job_id=job_id)
     return export_paged(
         df, order or df.columns[:1], decision["chunk_rows"], path, table, options, job_id
@@ -88,6 +90,10 @@ def export_job(
 ) -> str:
     """Export many tables; one that fails is recorded and the others go on.
 
+    A second run under the same ``job_id`` leaves sealed tables alone and does the rest again;
+    when every table is sealed it does nothing. What an interrupted run left of a table
+    is removed first, since an export without its seal is not one.
+
     ``tables`` maps a name to a function that opens it. A few tables run at a time, so that
     the planning and the last tasks of one leave no executors idle. ``exporter(name, path,
     job_id)`` replaces the default way to export one table.
@@ -100,19 +106,27 @@ def export_job(
         )
 
     export_one = exporter or default_exporter
+    paths = {name: f"{base}/{job_id}/{table_folder(name)}" for name in tables}
+    sealed = {name: load_metadata(spark, path) for name, path in paths.items()}
+    sealed = {name: metadata for name, metadata in sealed.items() if metadata is not None}
+    if tables and len(sealed) == len(tables):
+        return job_id
     ledger.record(
         "job_start", job_id, db_username=username, status="running", overall_status="running",
         tables_total=len(tables), start_time=_now(),
     )
-    lock, figures = threading.Lock(), {"done": 0, "failed": 0, "rows": 0}
+    lock, figures = threading.Lock(), {
+        "done": len(sealed), "failed": 0, "rows": sum(m["total_rows"] for m in sealed.values()),
+    }
 
     def run(name: str) -> None:
         ledger.record("table_start", job_id, name, status="processing", start_time=_now())
-        path = f"{base}/{job_id}/{name.replace('.', '_')}"
+        path = paths[name]
         try:
+            remove(spark, path)
             metadata = export_one(name, path, job_id)
         except Exception as error:
-            message = str(error)[:1000]
+            message = str(error)
             ledger.record("table_fail", job_id, name, error_message=message)
             ledger.record("error_log", job_id, name, error_message=message)
             with lock:
@@ -133,7 +147,7 @@ def export_job(
             )
 
     with ThreadPoolExecutor(max_workers=max(1, concurrent)) as pool:
-        list(pool.map(inheritable_thread_target(spark)(run), tables))
+        list(pool.map(inheritable_thread_target(spark)(run), [name for name in tables if name not in sealed]))
 
     state = "completed" if figures["failed"] == 0 else "completed_with_errors"
     ledger.record(
@@ -143,6 +157,11 @@ def export_job(
     return job_id
 
 
+def table_folder(name: str) -> str:
+    """A folder name that stands for one table only; ``unquote`` gives the table back."""
+    return quote(name, safe=".").replace("_", "%5F") if name.startswith("_") else quote(name, safe=".")
+
+
 def _now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")
 

@@ -66,12 +66,19 @@ def write_manifest(
     chunk_size: int | None = None,
     plan: dict | None = None,
     job_id: str | None = None,
+    expected_rows: int | None = None,
 ) -> dict:
     """List the files of an export and seal it; the metadata row is written last.
 
-    Returns the metadata. Totals are one row; the file list stays distributed.
+    Returns the metadata. Totals are one row; the file list stays distributed. An export
+    with another number of rows than ``expected_rows`` is not sealed. Files are listed by
+    their place below ``path``, so the list stays right when the export is moved.
     """
-    scan_files(spark, path, schema, chunked).write.parquet(f"{path}/{FILES}")
+    place = F.element_at(F.split("file_path", "/"), -2)
+    listed = scan_files(spark, path, schema, chunked).withColumn(
+        "file_path", F.concat_ws("/", place, "file_name") if chunked else F.col("file_name")
+    )
+    listed.write.parquet(f"{path}/{FILES}")
     totals = (
         read_files(spark, path)
         .agg(
@@ -81,6 +88,8 @@ def write_manifest(
         )
         .first()
     )
+    if expected_rows is not None and totals["total_rows"] != expected_rows:
+        raise ValueError(f"{table}: {totals['total_rows']} rows written, {expected_rows} expected")
     metadata = {
         "table_name": table,
         "total_rows": totals["total_rows"],
@@ -114,7 +123,10 @@ def read_metadata(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.schema(FILES_SCHEMA).parquet(*[f"{p}/{FILES}" for p in paths])
+    """The listed files, with the paths that they have where the export lies now."""
+    rows = spark.read.schema(FILES_SCHEMA).parquet(*[f"{p}/{FILES}" for p in paths])
+    root = F.regexp_replace(F.col("_metadata.file_path"), f"/{FILES}/[^/]*$", "")
+    return rows.withColumn("file_path", F.concat_ws("/", root, "file_path"))
 
 
 def load_metadata(spark: SparkSession, path: str) -> dict | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +42,7 @@ def publish(spark: SparkSession, staged: str, final: str, conflict: str = "versi
         raise ValueError(f"{staged} is not a complete export")
     target, aside = free_path(spark, final, conflict), None
     if conflict == "overwrite" and path_exists(spark, target):
-        aside = f"{target}.replaced"
+        aside = f"{target}.replaced-{uuid.uuid4().hex}"  # never in the way of a later one
         rename(spark, target, aside)
     rename(spark, staged, target)
     now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
@@ -68,7 +69,7 @@ def publish_job(
             done = publish(spark, source, final, conflict)
             rows.append((job_id, table, done["final_path"], done["was_renamed"], None))
         except Exception as error:
-            rows.append((job_id, table, None, False, str(error)[:1000]))
+            rows.append((job_id, table, None, False, str(error)))
     moved = spark.createDataFrame(
         rows,
         "job_id string, table_name string, final_path string, was_renamed boolean, error string",

@@ -6,10 +6,13 @@ interval is given. State is one row per job, table or window, never per event.
 
 from __future__ import annotations
 
+import threading
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from haulage.functions.scale import micros
 from haulage.operators.accounting import throughput_eta
@@ -41,19 +44,54 @@ def _with_instant(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", F.timestamp_micros(micros("ts", "timestamp_ntz")))
 
 
+class Totals(StreamingQueryListener):
+    """Adds up every batch of every run; a query itself remembers the last hundred only."""
+
+    def __init__(self):
+        self.rows, self.late, self.ended = Counter(), Counter(), {}
+
+    def end_of(self, run: str) -> threading.Event:
+        return self.ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        run, progress = str(event.progress.runId), event.progress
+        self.rows[run] += max(0, progress.numInputRows)
+        self.late[run] += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+
+    def onQueryTerminated(self, event):
+        self.end_of(str(event.runId)).set()
+
+
+_totals: dict[str, Totals] = {}  # one per application
+
+
+def _listening(spark: SparkSession) -> Totals:
+    application = spark.sparkContext.applicationId
+    if application not in _totals:
+        _totals[application] = Totals()
+        spark.streams.addListener(_totals[application])
+    return _totals[application]
+
+
 def _start(writer, interval: str | None):
+    _listening(SparkSession.active())
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
 
 
 def finish(query) -> dict:
-    """Wait for the end; returns rows read and rows dropped as too late."""
+    """Wait for the end; returns rows read and rows dropped as too late, over all batches."""
     query.awaitTermination()
-    progress = query.recentProgress
-    dropped = sum(
-        op.numRowsDroppedByWatermark for p in progress for op in p.stateOperators
-    )
-    return {"rows": sum(p.numInputRows for p in progress), "late_rows": dropped}
+    totals, run = _listening(SparkSession.active()), str(query.runId)
+    if not totals.end_of(run).wait(60):  # events come in order, the end after all progress
+        raise TimeoutError("the query's last events did not arrive")
+    return {"rows": totals.rows[run], "late_rows": totals.late[run]}
 
 
 def stream_export(

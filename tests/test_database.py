@@ -58,7 +58,7 @@ def test_job_over_all_tables(spark, tmp_path, fake):
     }
     assert tables["public.big"]["chunk_count"] > 5
     assert fold_jobs(ledger.events()).first()["overall_status"] == "completed"
-    back = manifest.read_export(spark, f"{tmp_path}/out/{job}/public_big")
+    back = manifest.read_export(spark, f"{tmp_path}/out/{job}/public.big")
     assert back.select("id").distinct().count() == 500
     assert any(q.startswith("SELECT count(*) AS row_total") for q in fake)
 

@@ -1,5 +1,6 @@
 """Exports survive checking; damage is found and named."""
 
+import dataclasses
 import json
 import shutil
 from pathlib import Path
@@ -82,10 +83,27 @@ def test_single_sized_and_capped(spark, source, tmp_path):
     assert sorted(rows) == [60, 80, 80, 80]
 
 
-def test_single_export_of_a_large_table_is_split(spark, source, tmp_path):
-    policy = Policy(single_file_rows=100, target_file_mb=0, hard_max_file_mb=0)
-    metadata = export.export_single(source, str(tmp_path / "t"), "t", 300, policy=policy)
-    assert metadata["method"] == "sized" and metadata["total_rows"] == 300
+def test_single_export_of_a_large_table_is_refused(spark, source, tmp_path):
+    with pytest.raises(ValueError, match="too many"):
+        export.export_single(source, str(tmp_path / "t"), "t", 300, policy=Policy(single_file_rows=100))
+
+
+def test_wrong_totals_are_not_sealed(spark, source, tmp_path):
+    half = source.where("k % 2 = 0")
+    plan = planned(source)
+    unknown = dataclasses.replace(plan, rows=None)
+    attempts = {
+        "single": lambda p: export.export_single(half, p, "t", 300),
+        "sized": lambda p: export.export_sized(half, p, "t", 300),
+        "capped": lambda p: export.export_capped(half, p, "t", 80, rows=300),
+        "ranges": lambda p: export.export_ranges(half, plan, p),
+    }
+    for name, attempt in attempts.items():
+        path = str(tmp_path / name)
+        with pytest.raises(ValueError, match="expected"):
+            attempt(path)
+        assert manifest.load_metadata(spark, path) is None
+    assert export.export_ranges(half, unknown, str(tmp_path / "q"))["total_rows"] == half.count()
 
 
 def test_file_size_rule():
@@ -268,3 +286,48 @@ def test_writer_options():
     }
     assert ExportOptions("snappy", 3).as_writer_options() == {"compression": "snappy"}
     assert json.dumps(ExportOptions(max_records_per_file=5).as_writer_options())
+
+
+def test_moved_exports_list_their_files(spark, source, tmp_path):
+    staged, final = str(tmp_path / "staging" / "t"), str(tmp_path / "final" / "t")
+    export.export_ranges(source, planned(source), staged)
+    publish.publish(spark, staged, final)
+    listed = [r["file_path"] for r in manifest.read_files(spark, final).collect()]
+    assert listed and all("/final/t/" in path for path in listed)
+    assert spark.read.parquet(*listed).count() == 300
+
+
+def test_rerun_skips_sealed_tables_and_redoes_the_rest(spark, source, tmp_path):
+    ledger, opened = Ledger(spark, str(tmp_path / "ledger")), []
+
+    def broken():
+        raise OSError("not now")
+
+    def good(name):
+        opened.append(name)
+        return source
+
+    tables = {"a.b_c": lambda: good("a.b_c"), "a_b.c": broken}
+    job = export_job(spark, tables, str(tmp_path / "out"), ledger, policy=SMALL)
+    assert fold_jobs(ledger.events()).first()["overall_status"] == "completed_with_errors"
+    tables["a_b.c"] = lambda: good("a_b.c")
+    export_job(spark, tables, str(tmp_path / "out"), ledger, policy=SMALL, job_id=job)
+    states = {r["table_name"]: r["status"] for r in fold_tables(ledger.events()).collect()}
+    assert states["a.b_c"] == "completed" and opened == ["a.b_c", "a_b.c"]
+    for name in tables:
+        assert manifest.load_metadata(spark, f"{tmp_path}/out/{job}/{name}")["total_rows"] == 300
+    export_job(spark, tables, str(tmp_path / "out"), ledger, policy=SMALL, job_id=job)
+    assert len(opened) == 2
+
+
+def test_comparison_is_not_fooled(spark, source):
+    with pytest.raises(ValueError, match="missing"):
+        verify.reconcile_rows(source, source.drop("v"))
+    with pytest.raises(ValueError, match="missing"):
+        verify.reconcile(source, source.drop("v"), ["k"])
+    keyed = spark.sql("SELECT * FROM VALUES (1, map('a', 1D)), (NULL, map('b', 2D)) t(k, m)")
+    assert {r["outcome"] for r in verify.reconcile(keyed, keyed, ["k"]).collect()} == {"same"}
+    lost = verify.reconcile_rows(keyed, keyed.where("k IS NOT NULL")).collect()
+    assert [(r["k"], r["m"], r["export_count"]) for r in lost] == [(None, {"b": 2.0}, 0)]
+    odd = spark.sql("SELECT 1 AS `a``b'c`")
+    assert verify.reconcile(odd, odd, ["a`b'c"]).first()["outcome"] == "same"

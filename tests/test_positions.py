@@ -79,3 +79,13 @@ def test_page_of_wide_rows_with_nulls_copies_and_all_types(spark):
             p: j for p, j in expected.items() if offset <= p < offset + size
         }
         assert len(rows) == len({r["position"] for r in rows})
+
+
+def test_rows_without_a_key_are_a_group(spark):
+    from haulage.operators.accounting import running_progress
+
+    rows = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("j", 1, 7)], "job string, seq int, n long")
+    got = running_progress(rows, ["job"], ["seq"], "n", "n").collect()
+    assert sorted((str(r["job"]), r["rows_done"], r["chunks_done_all"]) for r in got) == [
+        ("None", 5, 2), ("None", 11, 2), ("j", 7, 1),
+    ]

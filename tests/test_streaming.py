@@ -107,3 +107,12 @@ def test_export_continues_where_it_stopped(spark, tmp_path):
     again = feeds.read_feed(spark, str(tmp_path / "in"), first.schema)
     feeds.finish(feeds.stream_export(again, *paths))
     assert sorted(r["job_id"] for r in spark.read.parquet(paths[0]).collect()) == ["a", "b", "c"]
+
+
+def test_totals_cover_more_batches_than_a_query_remembers(spark, tmp_path):
+    folder = tmp_path / "many"
+    for i in range(110):
+        spark.range(3).coalesce(1).write.mode("append").parquet(str(folder))
+    feed = feeds.read_feed(spark, str(folder), "id long", files_per_batch=1)
+    told = feeds.finish(feeds.stream_export(feed, str(tmp_path / "to"), str(tmp_path / "at")))
+    assert told["rows"] == 330
