@@ -6,6 +6,9 @@ there is no shuffle, and records are written by Spark's text sink.
 
 from __future__ import annotations
 
+import zlib
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,8 @@ from haulage.llm.common import whole
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"  # two line breaks end every record
 SOFTWARE = "haulage derivative builder"
-# (pattern, replacement) in order; each is read alike by Java and RE2.
+# What the SQL counterpart does, each pattern read alike by Java and RE2. It breaks lines at some
+# block tags and knows six references only; `plain_text` and the title differ where others occur.
 TO_TEXT = (
     ("(?is)<!--.*?-->", " "),
     ("(?is)<script[^>]*>.*?</script>", " "),
@@ -24,6 +28,26 @@ TO_TEXT = (
     ("<[^>]*>", ""),
 )
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# Elements that stand on lines of their own, table cells among them.
+BLOCKS = (
+    "address|article|aside|blockquote|body|br|caption|center|dd|details|dialog|dir|div|dl|dt|fieldset|"
+    "figcaption|figure|footer|form|frameset|h[1-6]|header|hgroup|hr|legend|li|listing|main|menu|nav|"
+    "noframes|ol|optgroup|option|p|plaintext|pre|search|section|select|summary|table|tbody|td|tfoot|th|"
+    "thead|title|tr|ul|xmp"
+)
+STRIP = (
+    *TO_TEXT[:3],
+    ("(?is)<head(?:[ \\t\\r\\n][^>]*)?>.*?</head>", " "),  # not a header
+    (f"(?i)</?(?:{BLOCKS})(?:[ \\t\\r\\n][^>]*)?/?>", "\n"),
+    ("<[^>]*>", ""),
+)
+REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)"
+# The public HTML5 names; those without a semicolon are also read in front of other letters.
+NAMES = {**html5, "nbsp": " ", "nbsp;": " ", "NonBreakingSpace;": " "}
+SHORT = sorted({len(name) for name in NAMES if name[-1] != ";"}, reverse=True)
+BUCKETS = 64  # the names are dealt over so many small maps, as a map is searched from its start
+# What numbers 128 to 159 stand for in HTML: the characters of Windows-1252, where it has one.
+C1 = [bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)]
 TITLE = "(?is)<title[^>]*>(.*?)</title>"
 LANGUAGE = "(?i)<html[^>]*[ \\t\\r\\n]lang=\"([a-zA-Z-]+)\""
 BREAKS = "[ \\t\\r\\n]+"
@@ -41,11 +65,63 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+def _named(name: Column) -> Column:
+    """What a name stands for, or null."""
+    dealt: list[list[str]] = [[] for _ in range(BUCKETS)]
+    for known, value in NAMES.items():
+        dealt[zlib.crc32(known.encode()) % BUCKETS].append(f"{known}\x02{value}")
+    maps = F.array(*(F.str_to_map(F.lit("\x01".join(d)), F.lit("\x01"), F.lit("\x02")) for d in dealt))
+    bucket = (F.crc32(F.encode(name, "UTF-8")) % BUCKETS + 1).cast("int")
+    return F.try_element_at(F.element_at(maps, bucket), name)
+
+
+def _numbered(number: Column) -> Column:
+    """The character of a code point; U+FFFD for what is none."""
+    wide = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return (
+        F.when((number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF), "\ufffd")
+        .when(number.between(128, 159), F.element_at(F.array(*map(F.lit, C1)), (number - 127).cast("int")))
+        .when(number == 160, " ")
+        .otherwise(wide)
+    )
+
+
+def _decoded(reference: Column) -> Column:
+    """A match of REFERENCE decoded; it stays as it is where HTML5 knows no such name."""
+    digits = F.regexp_extract(reference, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    base_16 = F.lower(F.substring(reference, 3, 1)) == "x"
+    number = F.when(base_16, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+    name = F.substring(reference, 2, 1 << 20)
+    # An unknown name may begin with a known one that needs no semicolon, the longest one counts.
+    begins = [
+        F.concat(_named(F.substring(name, 1, n)), F.substring(name, n + 1, 1 << 20)) for n in SHORT
+    ]
+    return (
+        F.when(~F.startswith(reference, F.lit("&#")), F.coalesce(_named(name), *begins, reference))
+        .when(digits == "", "\ufffd")  # zeros only
+        .when(F.char_length(digits) > 7, "\ufffd")
+        .otherwise(_numbered(number))
+    )
+
+
+def decode(text: Column) -> Column:
+    """Character references decoded from left to right, each once: what one gives is not read
+    again. A no-break space is read as a blank."""
+
+    def run(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        between = F.split(t, REFERENCE, -1)
+        pairs = F.zip_with(between, found, lambda a, r: F.concat(a, F.coalesce(_decoded(r), F.lit(""))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(pairs, "")).otherwise(t)
+
+    # As a variable, so that what makes the text runs once.
+    return F.transform(F.array(text), run).getItem(0)
+
+
 def plain_text(html: Column) -> Column:
-    for pattern, to in TO_TEXT:
+    for pattern, to in STRIP:
         html = F.regexp_replace(html, pattern, to)
-    for entity, to in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(to))
+    html = decode(html)
     for pattern, to in TIDY:
         html = F.regexp_replace(html, pattern, to)
     return html
@@ -78,7 +154,7 @@ def derivatives(source: DataFrame) -> DataFrame:
     Both refer to the response. The metadata record keeps the response's HTTP headers and
     digests as fields and names the conversion; the conversion holds the page as plain text.
     Repeated responses give repeated records with the same identifiers. An empty page has
-    an empty conversion.
+    an empty conversion. Character references are decoded in the conversion and in the title.
     """
     title = F.regexp_extract("payload", TITLE, 1)
     language = F.regexp_extract("payload", LANGUAGE, 1)
@@ -90,7 +166,7 @@ def derivatives(source: DataFrame) -> DataFrame:
             "conversion_id": record_id(F.lit("conversion"), F.col("record_id")),
             "metadata_id": record_id(F.lit("metadata"), F.col("record_id")),
             # One field a line: breaks inside a title would end the field.
-            "title": F.trim(F.regexp_replace(title, BREAKS, " ")),
+            "title": F.trim(F.regexp_replace(decode(title), BREAKS, " ")),
             "language": language,
         }
     )
