@@ -4,7 +4,8 @@ One model is fitted to toxic and one to ordinary texts. Both discount the number
 that hold a run of five characters, back off to continuation counts of shorter runs in their
 own class, and from there to continuation counts that both share and that are gathered from
 all documents. A word's log-likelihoods under the two are compared; differences within a
-margin are the noise of rare words and count as none. Their sum over a text is divided by its
+margin are the noise of rare words and count as none, and so do words that the ordinary model
+finds likelier: evidence is one-sided. Their sum over a text is divided by its
 length, and a logistic curve fitted to texts that the models have not seen turns that into a
 probability.
 """
@@ -118,15 +119,17 @@ class Model:
     short: Table  # four characters -> ratio of the shorter models
     leave4: Table  # three characters of context -> ratio of what is left for others
     slope: tuple[float, float, float] = (0.0, 0.0, 0.0)  # of the curve: constant, mean, sum/sqrt(n)
+    usual: float = 0.0  # mean ratio per word of ordinary texts, which the curve takes off
+    longest: float = float("inf")  # words; the curve is not carried on beyond the texts it was fitted to
 
     def plain(self) -> list:
         """Arrays only, so that it can be broadcast without this package."""
         tables = (self.full, self.leave5, self.short, self.leave4)
-        return [[(t.keys, t.values) for t in tables], self.slope]
+        return [[(t.keys, t.values) for t in tables], self.slope, self.usual, self.longest]
 
     @classmethod
     def of(cls, plain: list) -> Model:
-        return cls(*[Table(keys, values) for keys, values in plain[0]], plain[1])
+        return cls(*[Table(keys, values) for keys, values in plain[0]], *plain[1:])
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word, as far as it is clear."""
@@ -164,7 +167,8 @@ class Model:
 
     def probability(self, mean: np.ndarray, counts: np.ndarray) -> np.ndarray:
         a, b, c = self.slope
-        z = a + b * mean + c * mean * np.sqrt(counts)
+        mean = mean - self.usual
+        z = a + b * mean + c * mean * np.sqrt(np.minimum(counts, self.longest))
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -330,7 +334,8 @@ def fit(
     """Fits to labelled rows that are not held out: at most about ``fit_rows`` for the models and
     ``curve_rows`` others for the curve, chosen by a hash of the identifier. A fifth of the
     rows goes to the curve. Shared counts cover all rows of ``docs``. Rows without a label
-    or identifier teach nothing; several labels of one document count as the highest.
+    or identifier teach nothing; several labels of one document count as the highest. Texts
+    with more than `MAX_GRAMS` distinct runs are refused.
     """
     marked = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(learnable(key))
@@ -358,7 +363,9 @@ def fit(
     )
     size = grams.count()
     if size > MAX_GRAMS:
-        return fit(docs, labels, key, text, label, fit_rows // 2, curve_rows)
+        raise ValueError(
+            f"{size} distinct runs in the labelled texts, a model holds {MAX_GRAMS} at most; choose fewer fit_rows"
+        )
     shared = _shared_levels(docs, text, grams)
     model = _build(grams.collect(), shared)  # at most MAX_GRAMS rows
     known = docs.sparkSession.sparkContext.broadcast(model.plain())
@@ -369,7 +376,11 @@ def fit(
     values = np.array([[r[0], r[1], r[2]] for r in curve], float).reshape(-1, 3)
     values = values[np.lexsort(values.T)]  # the same sums in every run
     if len(values):
-        model.slope = _curve(values[:, 0], values[:, 1], values[:, 2])
+        clean = values[values[:, 2] == 0]
+        # Noise of clean words adds up with the length; without it, only an excess counts.
+        model.usual = float((clean[:, 0] * clean[:, 1]).sum() / max(clean[:, 1].sum(), 1))
+        model.longest = float(values[:, 1].max())
+        model.slope = _curve(values[:, 0] - model.usual, values[:, 1], values[:, 2])
     return model
 
 
