@@ -98,3 +98,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not following.where("moved").limit(1).count():
             return labels.withColumnRenamed("root", "component")
     raise RuntimeError("components did not settle")
+
+
+def exact(df: DataFrame, **wanted: str) -> DataFrame:
+    """Only the columns ``wanted`` (new name = name in ``df``). A column is found by its exact
+    name, else in any case, so further columns, also twins in another case, are not in the way."""
+    names = df.columns
+    folded = [n.lower() for n in names]
+
+    def place(name: str) -> int:
+        if name in names:
+            return names.index(name)
+        if name.lower() in folded:
+            return folded.index(name.lower())
+        raise ValueError(f"no column {name} among {names}")
+
+    numbered = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return numbered.select(*[F.col(f"c{place(old)}").alias(new) for new, old in wanted.items()])

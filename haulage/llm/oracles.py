@@ -6,7 +6,7 @@ their queries are tested against brute force instead.
 
 from __future__ import annotations
 
-from haulage.llm import line_dedup, mixing, quality, warc
+from haulage.llm import lexical_search, line_dedup, mixing, quality, warc
 from haulage.llm.common import WORD
 
 _WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
@@ -34,6 +34,39 @@ def _uuid(name: str, *parts: str) -> str:
 
 _CRLF = "chr(13) || chr(10)"
 
+# crc32 of an ASCII text, a byte at a time with the usual table.
+_CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+
+def _crc32(text: str, table: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    step = f"xor(c >> 8, {table}[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {step}), 4294967295)"
+
+
+def _edit(label: str, initial: str, cost: str) -> str:
+    """A way's label, its cost in six digits and its audit, with one more edit."""
+    return f"lpad((left({label}, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({label}, 7) || '{initial}'"
+
+
+def _least(*ways: str) -> str:
+    return "least(" + ", ".join(ways) + ")"
+
+
+def _kept(label: str, role: str) -> str:
+    return f"CASE WHEN free AND initial = '{role}' THEN {_edit(label, 'K', 'extra')} END"
+
+
+def _changed(label: str) -> str:
+    return f"CASE WHEN free THEN {_edit(label, 'R', '2 + extra')} END"
+
+
+# Least labels of the states nothing, system, user, assistant before a row, from those after the
+# row before; at most two rows are inserted between two others, as more never pay.
+_INSERTED = f"""n0 AS l0, ns AS ls, {_least("nu", _edit("n0", "I", "2"), _edit("ns", "I", "2"), _edit("na", "I", "2"))} AS lu,
+       {_least("na", _edit("nu", "I", "2"), _edit("n0", "II", "4"), _edit("ns", "II", "4"))} AS la"""
+
 ORACLE_SQL = {
     "op1_line_dedup": f"""
 WITH lines AS (
@@ -188,4 +221,101 @@ WITH worded AS (
 SELECT *, NOT ({" AND ".join(f"({r.verdict()})" for r in quality.BASE_RULES)}) AS base_failed,
        {" AND ".join(f"({r.verdict()})" for r in (*quality.BASE_RULES, *quality.RULES))} AS kept
 FROM measured""",
+    "op12_conversation_repair": f"""
+WITH RECURSIVE codes AS (
+  SELECT {_CRC_TABLE} AS crc
+), keyed AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k,
+         dense_rank() OVER (ORDER BY conv_id) AS g
+  FROM conversations
+), drawn AS (
+  SELECT g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("k", "crc")} % 20 AS d FROM keyed, codes
+), damaged AS (
+  SELECT g, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM drawn WHERE d <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM damaged
+), judged AS (
+  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS is_blank,
+         row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut
+  FROM placed
+), seq AS (
+  SELECT g, i, turn, role, text, initial, is_blank, again AND NOT is_blank AS is_again,
+         cut AND NOT again AND NOT is_blank AS is_cut, NOT (again OR is_blank) AS free, cut::INT AS extra,
+         lag(initial) OVER (PARTITION BY g ORDER BY i) || initial AS pair
+  FROM judged
+), counted AS (
+  SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (WHERE is_blank) AS blank, count(*) FILTER (WHERE is_again) AS duplicate,
+         count(*) FILTER (WHERE is_cut) AS truncated,
+         count(*) FILTER (WHERE i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM seq GROUP BY g
+), ways AS (
+  SELECT g, 0::BIGINT AS i, {_INSERTED}
+  FROM (SELECT g, '000000' AS n0, NULL::VARCHAR AS ns, NULL::VARCHAR AS nu, NULL::VARCHAR AS na FROM counted)
+  UNION ALL
+  SELECT g, i, {_INSERTED}
+  FROM (
+    SELECT w.g, s.i, {_edit("l0", "D", "3")} AS n0, {_least(_edit("ls", "D", "3"), _kept("l0", "s"))} AS ns,
+           {_least(_edit("lu", "D", "3"), *(_kept(x, "u") for x in ("l0", "ls", "la")), *(_changed(x) for x in ("l0", "ls", "la")))} AS nu,
+           {_least(_edit("la", "D", "3"), _kept("lu", "a"), _changed("lu"))} AS na
+    FROM ways w JOIN seq s ON w.g = s.g AND s.i = w.i + 1
+  )
+), best AS (
+  SELECT c.*, left(least(l0, la), 6)::BIGINT AS cost, substr(least(l0, la), 7) AS audit
+  FROM counted c JOIN ways w ON c.g = w.g AND c.n = w.i
+), edits AS (
+  SELECT g, p, substr(audit, p, 1) AS edit FROM (SELECT g, audit, unnest(range(1, length(audit) + 1)) AS p FROM best)
+), numbered AS (
+  SELECT *, sum((edit <> 'I')::INT) OVER (PARTITION BY g ORDER BY p) AS i,
+         sum((edit <> 'D')::INT) OVER (PARTITION BY g ORDER BY p) AS e
+  FROM edits
+), lines AS (
+  SELECT n.g, n.p, n.e, n.edit, CASE WHEN n.edit <> 'I' THEN s.role END AS role,
+         CASE WHEN n.edit = 'I' THEN '' ELSE s.text END AS text
+  FROM numbered n LEFT JOIN seq s ON n.g = s.g AND n.i = s.i WHERE n.edit <> 'D'
+), headed AS (
+  SELECT *, max((e = 1 AND edit = 'K' AND left(role, 1) = 's')::INT) OVER (PARTITION BY g) AS system FROM lines
+), written AS (
+  SELECT g, string_agg(
+    CASE WHEN edit = 'K' THEN role WHEN (e - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+    chr(10) ORDER BY p) AS t
+  FROM headed GROUP BY g
+)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM keyed) k LEFT JOIN best ON k.g = best.g LEFT JOIN written w ON k.g = w.g""",
+    "op13_lexical_search": f"""
+WITH found AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical_search.TERM}') AS t
+  FROM documents
+), facts AS (
+  SELECT d, doc_id, len(t)::BIGINT AS n FROM found WHERE len(t) > 0
+), totals AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM facts
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical_search.TERM}')) AS term
+  FROM benchmark
+), held AS (
+  SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(t) AS term FROM found)
+  WHERE term IN (SELECT term FROM asked) GROUP BY d, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM held, totals GROUP BY term, docs
+), scored AS (
+  SELECT item_id, d, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN facts USING (d), totals
+  GROUP BY item_id, d, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= {lexical_search.BEST}""",
 }

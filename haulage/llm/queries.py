@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.llm import (
-    decontaminate, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, tokens,
-    toxicity, warc,
+    conversation_repair, decontaminate, language_id, lexical_search, line_dedup, mixing, near_dedup,
+    quality, sharding, substring_dedup, tokens, toxicity, warc,
 )
 from haulage.llm.common import documents, whole
 from haulage.llm.oracles import ORACLE_SQL  # noqa: F401
+from haulage.session import written
 
 QUERIES: dict = {}
 
@@ -108,3 +109,37 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    return language_id.language_id(docs).select(
+        "doc_id", (~language_id.learnable()).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations are damaged and repaired; those that lost all rows are in the result."""
+    rows = spark.read.parquet(f"{folder}/conversations.parquet")
+    damaged = conversation_repair.damage(rows)
+    plans = written(conversation_repair.plans(damaged), "repair-plans")
+    digests = conversation_repair.digests(conversation_repair.repaired(damaged, plans))
+    ids = rows.select(F.col("conv_id").alias("id")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    planned = ids.join(plans, F.expr("id <=> conv_id"), "left").select(
+        "id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+    )
+    return planned.join(digests, F.expr("id <=> conv_id"), "left").select(
+        F.col("id").alias("conv_id"), *counts, "audit",
+        F.coalesce("repaired_sha256", F.lit(conversation_repair.EMPTY_DIGEST)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text")
+    return lexical_search.search(docs, items)
