@@ -222,8 +222,7 @@ def quantile_starts(
         shares = ", ".join(f"{i / chunks}D" for i in range(1, chunks))
         sketch = f"approx_percentile(`{column}`, array({shares}), {accuracy}) AS q"
         return sorted(set(filled.selectExpr(sketch).first()["q"] or []))
-    placed = with_positions(filled, [column])
-    rows = placed.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    rows, placed = filled.count(), with_positions(filled, [column])
     wanted = sorted({max(0, -(-rows * i // chunks) - 1) for i in range(1, chunks)}) if rows else []
     found = placed.where(F.col("position").isin(wanted)).select(column).distinct().collect()
     return sorted(r[0] for r in found)

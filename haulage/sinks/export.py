@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulage.operators.cells import cells, with_ties
 from haulage.operators.positions import with_positions
 from haulage.plans.ranges import RangePlan
 from haulage.policy import ExportOptions, Policy
@@ -137,16 +138,18 @@ def export_paged(
 ) -> dict:
     """Pages of equal size in a total order.
 
-    After the one range shuffle each task holds consecutive rows, so it writes into few
-    pages and no second shuffle is needed.
+    Positions come from cells with literal splitters, so the table is shuffled once and
+    written once, and a task that runs again gives its rows the same pages. Each task holds
+    consecutive rows and writes into few pages.
     """
     _check_free(df)
-    placed = with_positions(df, order)
-    page = F.expr(f"cast(position div {page_rows} AS int)")
-    _write(placed.withColumn(CHUNK, page).select(*df.columns, CHUNK), path, options, chunked=True)
-    last = placed.agg(F.max("position").alias("last")).first()["last"]  # two small columns
+    cut = cells(with_ties(df), order)
+    rows = sum(cut.counts)
+    page = F.expr(f"cast(_position div {page_rows} AS int)")
+    placed = with_positions(df, order, "_position", cut=cut).withColumn(CHUNK, page)
+    _write(placed.drop("_position"), path, options, chunked=True)
     return write_manifest(
         df.sparkSession, path, table, df.schema, method="pages", chunked=True,
-        planned_chunks=0 if last is None else last // page_rows + 1, chunk_size=page_rows,
-        job_id=job_id, expected_rows=df.count(),
+        planned_chunks=-(-rows // page_rows), chunk_size=page_rows, job_id=job_id,
+        expected_rows=rows,
     )
