@@ -17,6 +17,11 @@ def get_session(app: str = "haulage", master: str | None = None, **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+        # State of long streams outside the heap.
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
     )
     if master:
         builder = builder.master(master)
@@ -45,9 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_made = threading.local()
+
+
 def new_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/haulage/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/haulage/{label}-{uuid.uuid4().hex}"
+    for made in getattr(_made, "paths", []):
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders that :func:`new_dir` names inside, on this thread, are removed at the end. For
+    steps whose result is written or collected inside."""
+    stack = _made.paths = getattr(_made, "paths", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            remove(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -62,24 +86,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Writes inside free their shuffle files when they end: what was written replaces them.
-
-    The setting is read when a write is planned; other queries that start meanwhile free
-    theirs as well, which costs them at most a recomputation.
-    """
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
 def filesystem(spark: SparkSession, path: str):
     """Hadoop file system and Path of ``path`` (works for any configured scheme)."""
     jvm = spark.sparkContext._jvm
@@ -136,24 +142,44 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"could not write {path}")
 
 
-_ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-_lock, _users, _before = threading.Lock(), 0, None
+class _Setting:
+    """A session setting held at a value while at least one of several concurrent users needs
+    it; what it was before comes back with the last of them."""
+
+    def __init__(self, name: str):
+        self.name, self.lock, self.users, self.before = name, threading.Lock(), 0, None
+
+    @contextmanager
+    def held(self, spark: SparkSession, value: str):
+        with self.lock:
+            if self.users == 0:
+                self.before = spark.conf.get(self.name, None)
+                spark.conf.set(self.name, value)
+            self.users += 1
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.users -= 1
+                if self.users == 0 and self.before is None:
+                    spark.conf.unset(self.name)
+                elif self.users == 0:
+                    spark.conf.set(self.name, self.before)
+
+
+_cleanup = _Setting("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+_advisory = _Setting("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def shuffles_removed(spark: SparkSession):
+    """Writes inside free their shuffle files when they end: what was written replaces them.
+
+    The setting is read when a write is planned; other queries that start meanwhile free
+    theirs as well, which costs them at most a recomputation.
+    """
+    return _cleanup.held(spark, "true")
 
 
-@contextmanager
 def target_partition_size(spark: SparkSession, megabytes: int):
-    """Size that adaptive execution aims at while files are written; restored when the
-    last of several concurrent writers is done."""
-    global _users, _before
-    with _lock:
-        if _users == 0:
-            _before = spark.conf.get(_ADVISORY, None)
-            spark.conf.set(_ADVISORY, f"{max(1, megabytes)}m")
-        _users += 1
-    try:
-        yield
-    finally:
-        with _lock:
-            _users -= 1
-            if _users == 0:
-                spark.conf.unset(_ADVISORY) if _before is None else spark.conf.set(_ADVISORY, _before)
+    """Size that adaptive execution aims at while files are written."""
+    return _advisory.held(spark, f"{max(1, megabytes)}m")

@@ -18,7 +18,8 @@ from haulage.functions.scale import micros
 from haulage.operators.accounting import throughput_eta
 from haulage.operators.ledger import table_aggregates, table_state
 from haulage.policy import ExportOptions, Policy
-from haulage.session import child_names
+from haulage.session import scratch, written
+from haulage.streaming.state import StateTable
 
 
 def read_feed(
@@ -104,25 +105,19 @@ def stream_export(
     return _start(writer.options(**options.as_writer_options()), interval)
 
 
-def _upserts(path: str, prepare: Callable[[DataFrame], DataFrame] | None = None):
-    """Write the changed rows of a micro-batch into a directory of its own, so that a
-    repeated batch replaces itself."""
+def _upserts(path: str, keys: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None):
+    """Keep the changed rows of a micro-batch in a :class:`StateTable`."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
-        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        StateTable(batch.sparkSession, path, keys).upsert(rows, batch_id)
 
     return write
 
 
 def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Newest version of each row written by the update queries below."""
-    if not child_names(spark, path):
-        raise ValueError(f"nothing was written to {path}")
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    newest = F.max_by(F.struct(*rest), "batch_id")
-    return rows.groupBy(*keys).agg(newest.alias("r")).select(*keys, "r.*")
+    return StateTable(spark, path, keys).read()
 
 
 def stream_job_state(events: DataFrame, path: str, checkpoint: str, interval: str | None = None):
@@ -131,7 +126,8 @@ def stream_job_state(events: DataFrame, path: str, checkpoint: str, interval: st
     tables = events.where(F.col("op").startswith("table_"))
     state = tables.groupBy("job_id", "table_name").agg(*table_aggregates())
     writer = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return _start(writer.foreachBatch(_upserts(path, table_state)), interval)
+    keys = ["job_id", "table_name"]
+    return _start(writer.foreachBatch(_upserts(path, keys, table_state)), interval)
 
 
 def stream_throughput(
@@ -152,7 +148,7 @@ def stream_throughput(
         (F.col("rows") / seconds).alias("rows_per_sec"),
     )
     writer = shaped.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return _start(writer.foreachBatch(_upserts(path)), interval)
+    return _start(writer.foreachBatch(_upserts(path, ["window_start", *keys])), interval)
 
 
 def stream_dedupe(
@@ -194,18 +190,23 @@ def stream_job_rollup(
     events: DataFrame, state_path: str, rollup_path: str, checkpoint: str, elapsed,
     interval: str | None = None,
 ):
-    """Table states plus, per tick, the figures of the jobs that changed in it."""
+    """Table states plus, per tick, the figures of the jobs that changed in it.
+
+    States lie in buckets by job, so a tick reads the buckets of its jobs only, one version
+    of each table and a few deltas.
+    """
     tables = events.where(F.col("op").startswith("table_"))
     state = tables.groupBy("job_id", "table_name").agg(*table_aggregates())
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _upserts(state_path, table_state)(batch, batch_id)
         spark = batch.sparkSession
-        changed = spark.read.parquet(f"{state_path}/batch_id={batch_id}").select("job_id").distinct()
-        current = latest_rows(spark, state_path, ["job_id", "table_name"])
-        affected = current.join(changed, "job_id", "left_semi")
-        figures = job_rollup(affected, elapsed)
-        figures.write.mode("overwrite").parquet(f"{rollup_path}/batch_id={batch_id}")
+        states = StateTable(spark, state_path, ["job_id", "table_name"], by=["job_id"])
+        with scratch(spark):
+            changed = written(table_state(batch), "tick")
+            touched = states.upsert(changed, batch_id)
+            jobs = changed.select("job_id").distinct()
+            affected = states.read(touched).join(jobs, "job_id", "left_semi")
+            StateTable(spark, rollup_path, ["job_id"]).upsert(job_rollup(affected, elapsed), batch_id)
 
     writer = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     return _start(writer.foreachBatch(write), interval)
