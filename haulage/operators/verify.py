@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.functions.rows import quoted, row_hash
+from haulage.operators.positions import with_positions
 from haulage.plans.ranges import RangePlan
-from haulage.sinks.manifest import CHUNK
+from haulage.session import written
+from haulage.sinks.manifest import CHUNK, list_data_files, read_files
 
 
 def chunk_histogram(df: DataFrame, plan: RangePlan) -> DataFrame:
@@ -95,14 +97,41 @@ def verify_gaps(files: DataFrame, planned: DataFrame) -> DataFrame:
     return missing.unionByName(extra)
 
 
+# Above this size a file is only read through Arrow, in blocks; below it, and where Arrow does
+# not know the file system, Spark reads it whole.
+WHOLE_FILE_BYTES = 512 * 1024 * 1024
+GROUP = 1_000  # digests that are combined into one
+FOOTER_SCHEMA = (
+    "file_path string, readable boolean, row_count bigint, row_groups bigint, codec string, error string"
+)
+
+
+class CannotOpen(Exception):
+    """The file system is unknown here, which says nothing about the file."""
+
+
 def _open_input(path: str):
     """Open a file of any file system that Arrow knows, for streaming reads."""
     from pyarrow import fs
 
-    handler, inner = fs.FileSystem.from_uri(path)
+    try:
+        handler, inner = fs.FileSystem.from_uri(path)
+    except Exception as error:
+        raise CannotOpen(f"cannot open: {error}") from error
     return handler.open_input_file(inner)
 
 
+def arrow_opens(path: str) -> bool:
+    """Whether Arrow knows the path's file system; else only Spark's readers reach it."""
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(path)
+    except Exception:
+        return False
+    return True
+
+
 def spread(files: DataFrame) -> DataFrame:
     """A file list over all executors. The number is given, because adaptive execution
     would see a tiny list and put it into one task."""
@@ -113,31 +142,93 @@ def spread(files: DataFrame) -> DataFrame:
     return files.repartition(tasks, "file_path")
 
 
-def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _by_reader(files: DataFrame) -> tuple[list[str], list[str]]:
+    """Folders of the files, by who opens them: Arrow, or Spark alone."""
+    parent = F.regexp_replace("file_path", "/[^/]*$", "")
+    folders = [r[0] for r in files.select(parent).distinct().collect()]  # one per chunk
+    known: dict[str, bool] = {}
+    for folder in folders:
+        root = folder.split(":", 1)[0] if ":" in folder else ""
+        if root not in known:
+            known[root] = arrow_opens(folder)
+    opened = [f for f in folders if known[f.split(":", 1)[0] if ":" in f else ""]]
+    return opened, sorted(set(folders) - set(opened))
+
+
+def _whole_files(files: DataFrame, folders: list[str]) -> DataFrame:
+    """``files`` in these folders with their ``content``, null for large ones, which are not read."""
+    listing = files.sparkSession.read.format("binaryFile").load(folders)
+    small = listing.where(F.col("length") <= WHOLE_FILE_BYTES).select(F.col("path").alias("_p"), "content")
+    inside = F.regexp_replace("file_path", "/[^/]*$", "").isin(folders)
+    return files.where(inside).join(small, F.col("file_path") == F.col("_p"), "left").drop("_p")
+
+
+def _verdict(path: str, open_file) -> tuple:
     import pyarrow.parquet as pq
 
+    try:
+        with open_file() as source:
+            footer = pq.ParquetFile(source).metadata
+            codec = footer.row_group(0).column(0).compression if footer.num_row_groups else None
+            return path, True, footer.num_rows, footer.num_row_groups, codec, None
+    except CannotOpen as error:
+        return path, None, None, None, None, str(error)
+    except Exception as error:  # the verdict is the result, whatever went wrong
+        return path, False, None, None, None, str(error)
+
+
+def _verdicts(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(
+        rows, columns=["file_path", "readable", "row_count", "row_groups", "codec", "error"]
+    ).astype({"readable": "boolean", "row_count": "Int64", "row_groups": "Int64"})
+
+
+def _read_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for path in batch["file_path"]:
-            try:
-                with _open_input(path) as source:
-                    footer = pq.ParquetFile(source).metadata
-                    codec = footer.row_group(0).column(0).compression if footer.num_row_groups else None
-                    rows.append((path, True, footer.num_rows, footer.num_row_groups, codec, None))
-            except Exception as error:  # the verdict is the result, whatever went wrong
-                rows.append((path, False, None, None, None, str(error)))
-        yield pd.DataFrame(
-            rows, columns=["file_path", "readable", "row_count", "row_groups", "codec", "error"]
-        ).astype({"row_count": "Int64", "row_groups": "Int64"})
+        yield _verdicts([_verdict(path, lambda p=path: _open_input(p)) for path in batch["file_path"]])
+
+
+def _parse_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From the last bytes of a file, which is all that a footer needs."""
+    import pyarrow as pa
+
+    def opened(tail):
+        if tail is None:
+            raise CannotOpen("cannot open: too large for Spark's reader, and Arrow does not know the file system")
+        return pa.BufferReader(bytes(tail))
+
+    for batch in batches:
+        yield _verdicts([
+            _verdict(path, lambda t=tail: opened(t)) for path, tail in zip(batch["file_path"], batch["tail"])
+        ])
 
 
 def verify_readable(files: DataFrame) -> DataFrame:
-    """A verdict per file from its footer. ``files(file_path)`` is spread over the tasks."""
-    schema = (
-        "file_path string, readable boolean, row_count bigint, row_groups bigint, "
-        "codec string, error string"
-    )
-    return spread(files.select("file_path")).mapInPandas(_read_footers, schema)
+    """A verdict per file from its footer. ``files(file_path)`` is spread over the tasks.
+
+    ``readable`` is false for a damaged file and null for one that could not be opened, because
+    no reader here knows its file system. Where Arrow doesn't, Spark reads the file and passes
+    the footer on.
+    """
+    paths = files.select("file_path")
+    opened, others = _by_reader(paths)
+    found = None
+    if opened or not others:
+        mine = paths
+        if others:
+            mine = paths.where(F.regexp_replace("file_path", "/[^/]*$", "").isin(opened))
+        found = spread(mine).mapInPandas(_read_footers, FOOTER_SCHEMA)
+    if others:
+        # The footer's length stands in the four bytes before the final mark.
+        length = "cast(conv(hex(reverse(substring(content, -8, 4))), 16, 10) AS bigint)"
+        size = f"least({length} + 8, octet_length(content))"
+        tails = spread(paths.select("file_path")).transform(lambda d: _whole_files(d, others)).selectExpr(
+            "file_path",
+            f"CASE WHEN octet_length(content) >= 8 THEN substring(content, cast(-({size}) AS int)) ELSE content END AS tail",
+        )
+        parsed = tails.mapInPandas(_parse_footers, FOOTER_SCHEMA)
+        found = parsed if found is None else found.unionByName(parsed)
+    return found
 
 
 def _stream_checksums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,46 +248,119 @@ def _stream_checksums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 def file_checksums(files: DataFrame) -> DataFrame:
     """SHA-256 per file, read in blocks, so that no file has to fit into memory.
 
-    ``files(file_path, file_size, ...)`` keeps its columns.
+    ``files(file_path, file_size, ...)`` keeps its columns. Where Arrow does not know the file
+    system, Spark reads files of up to `WHOLE_FILE_BYTES` whole; larger ones are refused.
     """
-    schema = files.schema.add("checksum", "string")
-    return spread(files).mapInPandas(_stream_checksums, schema)
+    opened, others = _by_reader(files)
+    schema, found = files.schema.add("checksum", "string"), None
+    parent = F.regexp_replace("file_path", "/[^/]*$", "")
+    if opened or not others:
+        mine = files.where(parent.isin(opened)) if others else files
+        found = spread(mine).mapInPandas(_stream_checksums, schema)
+    if others:
+        too_large = F.raise_error(F.concat(F.lit("cannot open: "), "file_path"))
+        checksum = F.when(F.col("content").isNull(), too_large.cast("string")).otherwise(F.sha2("content", 256))
+        hashed = _whole_files(files, others).withColumn("checksum", checksum).select(*schema.names)
+        found = hashed if found is None else found.unionByName(hashed)
+    return found
+
+
+def _digest(listed: str, count: str) -> str:
+    """SQL: the only digest, or the digest of all in their order."""
+    digests = f"transform({listed}, f -> f.checksum)"
+    return f"CASE WHEN {count} = 1 THEN {listed}[0].checksum ELSE sha2(array_join({digests}, ''), 256) END"
 
 
 def chunk_checksums(checksums: DataFrame) -> DataFrame:
     """One digest per chunk: that of its file, or a digest over those of its files.
 
-    ``checksums(table_name, chunk_id, file_path, file_size, checksum)``. Only digests come
-    together, 64 characters per file of a chunk.
+    ``checksums(table_name, chunk_id, file_path, file_size, checksum)``. Digests are combined in
+    the order of file names, a thousand at a time: of more files, first those of every
+    thousand, then those of the results. So no task ever holds a whole list.
     """
-    ordered = F.expr("sort_array(collect_list(struct(file_path, checksum)))")
-    grouped = checksums.groupBy("table_name", "chunk_id").agg(
-        ordered.alias("_files"),
-        F.count(F.lit(1)).alias("file_count"),
-        F.sum("file_size").alias("file_size"),
-    )
-    digests = "transform(_files, f -> f.checksum)"
-    digest = f"CASE WHEN file_count = 1 THEN _files[0].checksum ELSE sha2(array_join({digests}, ''), 256) END"
-    return grouped.selectExpr(
-        "table_name", "chunk_id", f"{digest} AS checksum", "file_count", "file_size"
-    )
+    keys = ["table_name", "chunk_id"]
+    listed = written(checksums.select(*keys, "file_path", "file_size", "checksum"), "file-digests")
+    sizes = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("file_count"), F.sum("file_size").alias("file_size"))
+    most = sizes.agg(F.max("file_count").alias("n")).first()["n"] or 0
+    level = listed.select(*keys, F.lit(0).cast("bigint").alias("_at"), F.col("file_path").alias("_by"), "checksum")
+    if most > GROUP:
+        placed = with_positions(listed.select(*keys, "file_path", "checksum"), [*keys, "file_path"], "_at")
+        placed = written(placed, "file-places")
+        first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
+        level = placed.join(first, keys).select(
+            *keys, (F.col("_at") - F.col("_first")).alias("_at"), F.col("file_path").alias("_by"), "checksum"
+        )
+    while most > GROUP:
+        most = -(-most // GROUP)
+        level = _combined(level.withColumn("_at", F.expr(f"_at div {GROUP}")), [*keys, "_at"]).withColumn(
+            "_by", F.format_string("%020d", "_at")
+        )
+    whole = _combined(level, keys)
+    return whole.join(sizes, keys).select(*keys, "checksum", "file_count", "file_size")
+
+
+def _combined(level: DataFrame, keys: list[str]) -> DataFrame:
+    """One digest per group of at most `GROUP` digests, in the order of ``_by``."""
+    listed = F.expr("sort_array(collect_list(struct(_by, checksum)))")
+    grouped = level.groupBy(*keys).agg(listed.alias("_list"), F.count(F.lit(1)).alias("_n"))
+    return grouped.selectExpr(*keys, f"{_digest('_list', '_n')} AS checksum")
 
 
 def combined_checksum(checksums: DataFrame) -> DataFrame:
     """One digest per table over its chunks' digests in chunk order.
 
-    With one file per chunk this is the digest over all file digests in file order. A plan
-    has a few hundred chunks, so no large group comes together.
+    With one file per chunk this is the digest over all file digests in file order. More than
+    a thousand chunks are combined by thousands of chunk numbers first.
     """
-    chunks = chunk_checksums(checksums)
-    ordered = "sort_array(collect_list(struct(chunk_id, checksum)))"
-    return chunks.groupBy("table_name").agg(
-        F.expr(f"sha2(array_join(transform({ordered}, c -> c.checksum), ''), 256)").alias(
-            "combined_checksum"
-        ),
-        F.sum("file_count").alias("file_count"),
-        F.sum("file_size").alias("total_size_bytes"),
+    chunks = written(chunk_checksums(checksums), "chunk-digests")
+    totals = chunks.groupBy("table_name").agg(
+        F.sum("file_count").alias("file_count"), F.sum("file_size").alias("total_size_bytes"),
+        F.max("chunk_id").alias("_last"),
+    )
+    last = totals.agg(F.max("_last").alias("n")).first()["n"] or 0
+    level = chunks.select("table_name", F.col("chunk_id").cast("bigint").alias("_at"), "checksum")
+    while last >= GROUP:
+        last //= GROUP
+        grouped = level.selectExpr("table_name", f"_at div {GROUP} AS _at", "_at AS _by", "checksum")
+        level = _combined(grouped, ["table_name", "_at"])
+    ordered = "sort_array(collect_list(struct(_at, checksum)))"
+    whole = level.groupBy("table_name").agg(
+        F.expr(f"sha2(array_join(transform({ordered}, c -> c.checksum), ''), 256)").alias("combined_checksum")
+    )
+    return whole.join(totals.drop("_last"), "table_name").select(
+        "table_name", "combined_checksum", "file_count", "total_size_bytes"
+    )
+
+
+def _same_path(path: Column) -> Column:
+    """Spark's sources write local paths with one slash or with three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def verify_export(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file that an export lists or that lies there: ``file_path, outcome``.
+
+    Outcomes: ok, missing, unlisted, size_changed, unreadable, not_opened (by a reader that
+    does not know the file system), rows_changed. Footers are read, not the data. An empty
+    file counts as missing, since Spark does not list it.
+    """
+    listed = read_files(spark, path).select(
+        _same_path(F.col("file_path")).alias("file_path"), F.col("file_size").alias("_size"), F.col("row_count").alias("_rows")
+    )
+    there = list_data_files(spark, path)
+    sizes = there.select(_same_path(F.col("file_path")).alias("file_path"), "file_size")
+    verdicts = verify_readable(there).select(_same_path(F.col("file_path")).alias("file_path"), "readable", "row_count")
+    outcome = (
+        F.when(F.col("file_size").isNull(), "missing")
+        .when(F.col("_size").isNull(), "unlisted")
+        .when(F.col("_size") != F.col("file_size"), "size_changed")
+        .when(F.col("readable").isNull(), "not_opened")
+        .when(~F.col("readable"), "unreadable")
+        .when(F.col("_rows") != F.col("row_count"), "rows_changed")
+        .otherwise("ok")
     )
+    found = sizes.join(verdicts, "file_path", "left")
+    return listed.join(found, "file_path", "full_outer").select("file_path", outcome.alias("outcome"))
 
 
 def in_sample(keys: list[str], one_in: int) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulage.session import path_exists, write_text
+from haulage.session import child_names, path_exists, write_text
 
 METADATA, FILES = "_export_metadata", "_export_files"
 CHUNK = "chunk_id"
@@ -33,15 +33,25 @@ def part_name(chunk_id):
     return F.format_string("part_%04d", chunk_id + 1)
 
 
-def scan_files(spark: SparkSession, path: str, schema: T.StructType, chunked: bool) -> DataFrame:
+def chunk_folders(spark: SparkSession, path: str, chunks: list[int]) -> list[str]:
+    """Folders of those chunks that have one; the export's folder is listed once."""
+    present = set(child_names(spark, path))
+    return [f"{path}/{CHUNK}={c}" for c in chunks if f"{CHUNK}={c}" in present]
+
+
+def scan_files(
+    spark: SparkSession, path: str, schema: T.StructType, chunked: bool, folders: list[str] | None = None
+) -> DataFrame:
     """Rows per data file, from the Parquet footers (no column is read).
 
     The path decides the chunk, so a file that lies in the wrong place is seen as such.
+    ``folders`` restricts the listing to some chunks.
     """
     if chunked:
         schema = T.StructType([*schema.fields, T.StructField(CHUNK, T.IntegerType())])
     chunk = F.col(CHUNK) if chunked else F.lit(0)
-    files = spark.read.schema(schema).parquet(path).select(
+    reader = spark.read.schema(schema).option("basePath", path)
+    files = reader.parquet(*([path] if folders is None else folders)).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size"),
         chunk.cast("int").alias("chunk_id"),
@@ -147,13 +157,14 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def list_data_files(spark: SparkSession, path: str) -> DataFrame:
-    """Data files as they lie on disk (path, size), whether readable or not."""
+def list_data_files(spark: SparkSession, path: str, folders: list[str] | None = None) -> DataFrame:
+    """Data files as they lie on disk (path, size), whether readable or not; of some chunks'
+    ``folders`` only, if they are given."""
     listing = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true")
-        .load(path)
+        .load([path] if folders is None else folders)
     )
     in_chunk = F.regexp_extract("path", rf"/{CHUNK}=(\d+)/", 1)
     return listing.where(~F.col("path").contains(f"/{FILES}/")).select(
