@@ -12,14 +12,44 @@ from haulage.llm.common import WORD
 _WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
 
 
-def _text_of(html: str) -> str:
-    for pattern, to in warc.TO_TEXT:
-        html = f"regexp_replace({html}, '{pattern}', {_literal(to)}, 'g')"
-    for entity, to in warc.ENTITIES:
-        html = f"replace({html}, '{entity}', {_literal(to)})"
-    for pattern, to in warc.TIDY:
-        html = f"regexp_replace({html}, '{pattern}', {_literal(to)}, 'g')"
-    return html
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _replaced(text: str, patterns) -> str:
+    for pattern, to in patterns:
+        text = f"regexp_replace({text}, '{pattern}', {_literal(to)}, 'g')"
+    return text
+
+
+def _hex(digits: str) -> str:
+    values = f"list_transform(string_split(lower({digits}), ''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT)"
+    return f"list_reduce({values}, lambda a, b: a * 16 + b)"
+
+
+def _decoded(reference: str) -> str:
+    """One character reference of HTML5 decoded; ``names`` and ``c1`` are columns."""
+    digits = f"regexp_extract({reference}, '^&#[xX]?0*([0-9a-fA-F]*)', 1)"
+    number = f"(CASE WHEN lower(substr({reference}, 3, 1)) = 'x' THEN {_hex(digits)} ELSE {digits}::BIGINT END)"
+    name = f"substr({reference}, 2)"
+    begins = ", ".join(f"names[substr({name}, 1, {n})] || substr({name}, {n + 1})" for n in warc.SHORT)
+    lost = "chr(65533)"
+    return f"""CASE WHEN substr({reference}, 1, 2) <> '&#' THEN coalesce(names[{name}], {begins}, {reference})
+      WHEN {digits} = '' OR length({digits}) > 7 THEN {lost}
+      WHEN {number} BETWEEN 55296 AND 57343 OR {number} > 1114111 THEN {lost}
+      WHEN {number} BETWEEN 128 AND 159 THEN c1[{number} - 127]
+      WHEN {number} = 160 THEN ' ' ELSE chr({number}::INT) END"""
+
+
+def _decode(text: str) -> str:
+    between = f"string_split_regex({text}, '{warc.REFERENCE}')"
+    found = f"list_transform(regexp_extract_all({text}, '{warc.REFERENCE}'), lambda r: {_decoded('r')})"
+    places = f"range(1, len({between}) + 1)"
+    return f"array_to_string(list_transform({places}, lambda i: {between}[i] || coalesce({found}[i], '')), '')"
+
+
+_NAMES = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(warc.NAMES.items()))
+_C1 = ", ".join(f"chr({ord(c)})" for c in warc.C1)
 
 
 def _literal(text: str) -> str:
@@ -132,7 +162,11 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
        sha256(coalesce(rest, '')) AS kept_sha256
 FROM documents LEFT JOIN counted USING (doc_id)""",
     "op5_warc": f"""
-WITH base AS (
+WITH listed(k, v) AS (
+  VALUES {_NAMES}
+), known AS (
+  SELECT map(list(k), list(v)) AS names, [{_C1}] AS c1 FROM listed
+), base AS (
   SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
 ), response AS (
   SELECT page_id, html, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS target_uri,
@@ -140,12 +174,18 @@ WITH base AS (
          'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF}
            || 'Content-Length: ' || strlen(html) AS headers
   FROM base
+), stripped AS (
+  SELECT *, {_replaced("html", warc.STRIP)} AS bare, regexp_extract(html, '{warc.TITLE}', 1) AS heading FROM response
+), decoded AS (
+  SELECT *, CASE WHEN contains(bare, '&') THEN {_decode("bare")} ELSE bare END AS plain,
+         CASE WHEN contains(heading, '&') THEN {_decode("heading")} ELSE heading END AS head
+  FROM stripped, known
 ), derived AS (
-  SELECT *, {_text_of("html")} AS txt, 'sha256:' || sha256(html) AS payload_digest,
+  SELECT *, {_replaced("plain", warc.TIDY)} AS txt, 'sha256:' || sha256(html) AS payload_digest,
          {_uuid("conversion", "rid")} AS cid, {_uuid("metadata", "rid")} AS mid,
-         trim(regexp_replace(regexp_extract(html, '{warc.TITLE}', 1), '{warc.BREAKS}', ' ', 'g')) AS title,
+         trim(regexp_replace(head, '{warc.BREAKS}', ' ', 'g')) AS title,
          regexp_extract(html, '{warc.LANGUAGE}', 1) AS language
-  FROM response
+  FROM decoded
 ), records AS (
   SELECT page_id, cid AS record_id, 'conversion' AS warc_type, rid AS refers_to, mid AS concurrent_to,
          target_uri, 'text/plain; charset=utf-8' AS content_type, payload_digest, txt AS block

@@ -17,17 +17,6 @@ from haulage.llm.common import whole
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"  # two line breaks end every record
 SOFTWARE = "haulage derivative builder"
-# What the SQL counterpart does, each pattern read alike by Java and RE2. It breaks lines at some
-# block tags and knows six references only; `plain_text` and the title differ where others occur.
-TO_TEXT = (
-    ("(?is)<!--.*?-->", " "),
-    ("(?is)<script[^>]*>.*?</script>", " "),
-    ("(?is)<style[^>]*>.*?</style>", " "),
-    ("(?is)<head[^>]*>.*?</head>", " "),
-    ("(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|nav|section|blockquote|pre)(?:[ \\t\\r\\n][^>]*)?/?>", "\n"),
-    ("<[^>]*>", ""),
-)
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 # Elements that stand on lines of their own, table cells among them.
 BLOCKS = (
     "address|article|aside|blockquote|body|br|caption|center|dd|details|dialog|dir|div|dl|dt|fieldset|"
@@ -36,11 +25,14 @@ BLOCKS = (
     "thead|title|tr|ul|xmp"
 )
 STRIP = (
-    *TO_TEXT[:3],
+    ("(?is)<!--.*?-->", " "),
+    ("(?is)<script[^>]*>.*?</script>", " "),
+    ("(?is)<style[^>]*>.*?</style>", " "),
     ("(?is)<head(?:[ \\t\\r\\n][^>]*)?>.*?</head>", " "),  # not a header
     (f"(?i)</?(?:{BLOCKS})(?:[ \\t\\r\\n][^>]*)?/?>", "\n"),
     ("<[^>]*>", ""),
 )
+# Patterns are read alike by Java and RE2, so the SQL counterpart uses them too.
 REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)"
 # The public HTML5 names; those without a semicolon are also read in front of other letters.
 NAMES = {**html5, "nbsp": " ", "nbsp;": " ", "NonBreakingSpace;": " "}
