@@ -113,5 +113,26 @@ def exact(df: DataFrame, **wanted: str) -> DataFrame:
             return folded.index(name.lower())
         raise ValueError(f"no column {name} among {names}")
 
-    numbered = df.toDF(*[f"c{i}" for i in range(len(names))])
-    return numbered.select(*[F.col(f"c{place(old)}").alias(new) for new, old in wanted.items()])
+    return _numbered(df).select(*[F.col(f"c{place(old)}").alias(new) for new, old in wanted.items()])
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def packed(df: DataFrame, **wanted: str) -> DataFrame:
+    """All columns as one, ``row``, and those ``wanted`` beside it as in :func:`exact`: inner
+    names of an operator then cannot meet names of the caller."""
+    whole_row = _numbered(df).select(F.struct("*").alias("row"))
+    own = exact(df.limit(0), **wanted).columns  # names are checked here
+    place = {new: df.columns.index(old) if old in df.columns else
+             [n.lower() for n in df.columns].index(old.lower()) for new, old in wanted.items()}
+    return whole_row.select("row", *[F.col("row").getField(f"c{place[n]}").alias(n) for n in own])
+
+
+def unpacked(df: DataFrame, names: list[str], **results: Column) -> DataFrame:
+    """The caller's columns back out of ``row``, and ``results`` after them. A column of the
+    caller that has a result's name, in any case, gives way to it."""
+    gone = {n.lower() for n in results}
+    kept = [F.col("row").getField(f"c{i}").alias(n) for i, n in enumerate(names) if n.lower() not in gone]
+    return df.select(*kept, *[c.alias(n) for n, c in results.items()])

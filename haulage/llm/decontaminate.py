@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulage.llm.common import bounded_batches, whole
+from haulage.llm.common import exact, packed, unpacked, whole
 
 CHARS_PER_ERROR = 15  # one edit is allowed per so many characters of an item
-MIN_CHARS = 24  # shorter items are no evidence of contamination
+MIN_CHARS = 24  # shorter items must be held word by word, without an edit
 BLOCK_CHARS = 1 << 20  # items that one scan looks for, so what is broadcast stays bounded
 # ASCII punctuation counts as a blank.
 _BLANKED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -65,12 +65,12 @@ def distance(mask: dict[str, int], length: int, text: str) -> int:
 class Finder:
     """All items of a block."""
 
-    def __init__(self, items: list[tuple[int | None, str]], chars_per_error: int):
+    def __init__(self, items: list[tuple[int | None, str]], chars_per_error: int, min_chars: int):
         import ahocorasick
 
         self.items, at = [], {}
         for identifier, text in items:
-            budget = len(text) // chars_per_error
+            budget = len(text) // chars_per_error if len(text) - 2 >= min_chars else 0
             for place, piece in pieces(text, budget):
                 at.setdefault(piece, []).append((len(self.items), place))
             self.items.append((identifier, len(text), budget, masks(text)))
@@ -101,19 +101,19 @@ class Finder:
         return found
 
 
-def _finding(block, chars_per_error: int):
+def _finding(block, chars_per_error: int, min_chars: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        finder = Finder(block.value, chars_per_error)
+        finder = Finder(block.value, chars_per_error, min_chars)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64())]))
         for batch in batches:
-            at, known = (batch.schema.get_field_index(n) for n in ("_t", "_hits"))
+            at, known = (batch.schema.get_field_index(n) for n in ("text", "hits"))
             hits = [
                 [*(old or ()), *({"item_id": i, "distance": d} for i, d in finder.find(plain(text)))]
                 for text, old in zip(batch.column(at).to_pylist(), batch.column(known).to_pylist())
             ]
-            yield batch.set_column(known, "_hits", pa.array(hits, kind))
+            yield batch.set_column(known, "hits", pa.array(hits, kind))
 
     return run
 
@@ -126,27 +126,27 @@ def find_items(
     """``docs`` plus ``hits``: ``item_id`` and ``distance`` of each item that the text holds.
 
     Letters are compared in lower case, ASCII punctuation and blanks as one blank, and an
-    item must begin and end with whole words but for its edits. Items are looked for in
-    blocks of bounded size, one scan of the documents for each, and no row moves. Null and
-    empty texts hold nothing; null, empty and very short items are held by nothing; items
-    given twice are reported twice.
+    item must begin and end with whole words but for its edits. Items of fewer than
+    ``min_chars`` characters must be held as they are, whole words in a row. Items are looked
+    for in blocks of bounded size, one scan of the documents for each, and no row moves. Null
+    and empty texts hold nothing; null items and those without a word are held by nothing;
+    items given twice are reported twice. Texts are read whole, repeated rows are judged alike;
+    a column named ``hits`` is replaced.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
-    known = items.select(F.col(item_key).cast("long").alias("i"), whole(item_text).alias("t"))
+    known = exact(items, i=item_key, t=item_text).select(F.col("i").cast("long"), whole("t").alias("t"))
     total = known.agg(F.sum(F.char_length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
-    names = [c for c in docs.columns if c != "hits"]
     hit = T.ArrayType(T.StructType().add("item_id", "long").add("distance", "long"))
-    found = docs.select(*names, F.col(text).cast("string").alias("_t"), F.lit(None).cast(hit).alias("_hits"))
+    found = packed(docs, text=text).select("row", F.col("text").cast("string"), F.lit(None).cast(hit).alias("hits"))
     for b in range(blocks):
         mine = F.pmod(F.xxhash64("t"), F.lit(blocks)) == b
         rows = [(r["i"], plain(r["t"])) for r in known.where(mine).collect()]  # one block
-        rows = [(i, t) for i, t in rows if len(t) - 2 >= min_chars]
+        rows = [(i, t) for i, t in rows if t.strip()]
         if rows:
             block = spark.sparkContext.broadcast(rows)
-            found = found.mapInArrow(_finding(block, chars_per_error), found.schema)
-    return found.select(*names, F.coalesce("_hits", F.array().cast(hit)).alias("hits"))
+            found = found.mapInArrow(_finding(block, chars_per_error, min_chars), found.schema)
+    return unpacked(found, docs.columns, hits=F.coalesce("hits", F.array().cast(hit)))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from haulage.llm.common import whole, word_count
+from haulage.llm.common import exact, packed, ranks, unpacked, whole, word_count
 from haulage.operators.positions import placed
 from haulage.session import written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
+_BLOCK = 100_000  # copies of a row that one task numbers at a time
 _DIGITS = 3  # hex digits that one level of the search for the cut looks at
 
 
@@ -91,6 +92,18 @@ def _cuts(rows: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def _copies(counted: DataFrame) -> DataFrame:
+    """``_source, _first, _u, size``: a number of its own for each of the equal rows. The first
+    keeps the number of the row. Blocks of copies are spread over tasks before they are made."""
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(1).cast("long"), "_n", F.lit(_BLOCK))))
+    last = F.least(F.col("_block") + _BLOCK - 1, F.col("_n"))
+    copies = blocks.repartition("_u", "_block").withColumn("_copy", F.explode(F.sequence("_block", last)))
+    own = F.md5(F.concat_ws("|", "_u", "_copy"))
+    return copies.select(
+        "_source", F.col("_u").alias("_first"), F.when(F.col("_copy") == 1, F.col("_u")).otherwise(own).alias("_u"), "size"
+    )
+
+
 def mix(
     docs: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS, seed: str = SEED,
     key: str = "doc_id", text: str = "text", source: str = "source",
@@ -99,18 +112,28 @@ def mix(
 
     Sources are weighted in turn by code point, null last. Each document gives the whole
     repetitions of its source; the fraction is drawn in the order of a seeded hash of
-    identifier and text, so reruns agree and copies draw alike. Null and empty texts have
-    size 0. The table of sources is written, so that the planner knows its size and decides
-    whether it is small enough to be broadcast; identifiers and sizes alone are searched.
+    identifier and text, so reruns agree. Rows that agree in both are numbered and each copy
+    is drawn by itself; which of the equal rows it is does not matter. Null and empty texts
+    have size 0. The tables of sources and of repeated rows are written, so that the planner
+    knows their size and decides whether they are small enough to be broadcast; identifiers
+    and sizes alone are searched. An empty table gives an empty result; columns named like a
+    result are replaced.
     """
     number = F.md5(
-        F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(whole(text)))
+        F.concat_ws("|", F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("")), F.md5(whole("text")))
     )
-    rows = written(
-        docs.select(F.col(source).cast("string").alias("_source"), number.alias("_u"),
-                    word_count(text).alias("size")),
+    sized = [F.col("source").cast("string").alias("_source"), number.alias("_u"), word_count("text").alias("size")]
+    counted = written(
+        exact(docs, key=key, text=text, source=source).select(*sized)
+        .groupBy("_source", "_u", "size").agg(F.count(F.lit(1)).alias("_n")),
         "mix-rows",
     )
+    again = counted.where("_n > 1")
+    rows, repeated = counted.select("_source", "_u", "size"), bool(again.limit(1).count())
+    if repeated:
+        copies = written(_copies(again), "mix-copies")
+        rows = rows.join(again.select("_source", "_u"), ["_u"], "left_anti").unionByName(copies.drop("_first"))
+        rows = written(rows, "mix-numbers")
     sums = written(rows.groupBy("_source").agg(F.sum("size").alias("size")), "mix-sources")
     turn = placed(sums.withColumn("_null", F.col("_source").isNull()), ["_null", "_source"], "_turn")
     weight = F.element_at(
@@ -127,15 +150,42 @@ def mix(
     cuts = _cuts(rows, filled.where("size > 0"))
     plan = written(
         filled.join(cuts, filled["_source"].eqNullSafe(cuts["_source"]), "left").select(
-            filled["_source"], F.col("size").alias("source_size"), "target", "_whole", "_cut"
+            filled["_source"].alias("_s"), F.col("size").alias("_total"), "target", "_whole", "_cut"
         ),
         "mix-plan",
     )
-    drawn = F.coalesce((number <= F.col("_cut")).cast("long"), F.lit(0))
-    kept = docs.drop("source_size", "target", "_whole", "_cut", "mix_size", "repeats")
-    return (
-        kept.join(plan, kept[source].cast("string").eqNullSafe(plan["_source"]))
-        .withColumn("mix_size", word_count(text))
-        .withColumn("repeats", F.col("_whole") + drawn)
-        .drop("_source", "_whole", "_cut")
+    of_source = F.col("_source").eqNullSafe(F.col("_s"))
+    whole_rows = packed(docs, key=key, text=text, source=source).select("row", *sized)
+    drawn = whole_rows.withColumn("_part", F.spark_partition_id()).join(plan, of_source)
+    one = F.coalesce((F.col("_u") <= F.col("_cut")).cast("long"), F.lit(0))
+    if repeated:
+        drawn = _drawn_copies(drawn, copies.join(plan, of_source), one)
+    else:
+        drawn = drawn.withColumn("_one", one)
+    return unpacked(
+        drawn, docs.columns, mix_size=F.col("size"), source_size=F.col("_total"), target=F.col("target"),
+        repeats=F.col("_whole") + F.col("_one"),
+    )
+
+
+def _drawn_copies(drawn: DataFrame, copies: DataFrame, one: Column) -> DataFrame:
+    """``drawn`` plus ``_one``: of equal rows as many are drawn as of their numbered copies.
+
+    Where some but not all are, rows are numbered by the partition that they were read from
+    and within it, so that no task meets all copies of a row.
+    """
+    groups = written(
+        copies.groupBy("_source", "_first").agg(F.sum(one).alias("_k"), F.count(F.lit(1)).alias("_all"))
+        .select(F.col("_source").alias("_gs"), F.col("_first").alias("_gu"), "_k", "_all"),
+        "mix-groups",
+    )
+    same = F.col("_source").eqNullSafe(F.col("_gs")) & (F.col("_u") == F.col("_gu"))
+    joined = drawn.join(groups, same, "left")
+    some = F.coalesce((F.col("_k") > 0) & (F.col("_k") < F.col("_all")), F.lit(False))
+    settled = joined.where(~some).withColumn("_one", F.when(F.col("_all").isNull(), one).otherwise((F.col("_k") > 0).cast("long")))
+    keyed = joined.where(some).withColumn("_key", F.coalesce("_source", F.lit("")))
+    keyed = keyed.withColumn("_null", F.col("_source").isNull())
+    counted = ranks(keyed, ["_key", "_null", "_u"], ["_part"], ["_u"], "_place")
+    return settled.unionByName(
+        counted.withColumn("_one", (F.col("_place") < F.col("_k")).cast("long")).select(*settled.columns)
     )

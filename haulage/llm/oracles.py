@@ -204,10 +204,15 @@ SELECT page_id, record_id, warc_type, refers_to, concurrent_to, target_uri, '{wa
        strlen(block)::BIGINT AS content_length, block
 FROM records""",
     "op7_mixing": f"""
-WITH sized AS (
+WITH hashed AS (
   SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
-         md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))) AS u
+         md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))) AS first
   FROM documents
+), copied AS (
+  SELECT *, row_number() OVER (PARTITION BY source, first) AS copy FROM hashed
+), sized AS (
+  SELECT doc_id, source, size, CASE WHEN copy = 1 THEN first ELSE md5(concat_ws('|', first, copy::VARCHAR)) END AS u
+  FROM copied
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          {list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS w

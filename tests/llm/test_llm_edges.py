@@ -65,9 +65,10 @@ def test_decontaminate(spark, docs, empty):
     )
     rows = decontaminate.find_items(docs, items).collect()
     found = {(r["doc_id"], h["item_id"]): h["distance"] for r in rows for h in r["hits"]}
+    # The short item, of two words, is held where they stand side by side.
     assert found == {
         (d, i): i - 1 for d in (6, 7, None) for i in (1, 2)
-    } | {(5, 5): 0}
+    } | {(5, 5): 0} | {(d, None): 0 for d in (6, 7, None)}
     assert len(decontaminate.decontaminate(docs, items).collect()) == len(ROWS) - 5
     assert decontaminate.find_items(empty, items).count() == 0
     assert decontaminate.find_items(docs, items.limit(0)).where("size(hits) > 0").count() == 0
@@ -76,6 +77,18 @@ def test_decontaminate(spark, docs, empty):
     assert {(r["doc_id"], h["item_id"]): h["distance"] for r in blocks for h in r["hits"]} == found
 
 
+def test_short_items_are_whole_words(spark):
+    items = spark.createDataFrame([(1, "ab"), (2, "c de"), (3, "Ω"), (4, " !? ")], "item_id long, text string")
+    texts = ["xab abx", "so ab.", "c, DE f", "c d e", "ω here", "cc de", "!?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr(
+        "*", "1 AS row", "2 AS HITS", "3 AS Text", "4 AS _t", "5 AS c0"
+    )
+    rows = decontaminate.find_items(docs, items).collect()
+    assert {(r["doc_id"], h["item_id"]) for r in rows for h in r["hits"]} == {(1, 1), (2, 2), (4, 3)}
+    assert rows[0].asDict().keys() == {"doc_id", "text", "row", "Text", "_t", "c0", "hits"}
+    assert all((r["row"], r["Text"], r["_t"], r["c0"]) == (1, 3, 4, 5) for r in rows)
+
+
 def test_edit_distance():
     for item, text in [("abcdef", "xxabxdefyy"), ("kitten", "sitting"), ("aaaa", "bbbb"), ("abc", "")]:
         got = decontaminate.distance(decontaminate.masks(item), len(item), text)
@@ -199,6 +212,29 @@ def test_mixing(docs, empty):
     assert sorted(map(key, rows)) == sorted(map(key, again))
 
 
+@pytest.mark.parametrize("block", [100_000, 7])
+def test_mixing_draws_repeated_rows_one_by_one(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "_BLOCK", block)
+    ten = " ".join("w" * 10)
+    rows = [(1, ten, "a")] * 300 + [(i, ten, "a") for i in range(2, 102)] + [(i, ten, "b") for i in range(500, 900)]
+    rows += [(None, ten, None)] * 200 + [(i, ten, "c") for i in range(1000, 3000)] + [(7000, "once", "c")] * 2
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr(
+        "*", "1 AS _whole", "2 AS _cut", "3 AS _source", "4 AS _one", "5 AS row", "6 AS REPEATS", "7 AS c1", "8 AS _r", "9 AS _place"
+    ).repartition(9)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() >= {"_whole", "_cut", "_source", "_one", "row", "c1", "_r"}
+    assert all((r["_whole"], r["_cut"], r["_source"], r["_one"], r["row"], r["_r"], r["_place"]) == (1, 2, 3, 4, 5, 8, 9) for r in got)
+    taken, target = {}, {}
+    for r in got:
+        assert r["repeats"] in range(4)
+        taken[r["source"]] = taken.get(r["source"], 0) + r["mix_size"] * r["repeats"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target)
+    key = lambda r: (str(r["doc_id"]), str(r["source"]), r["repeats"])
+    again = mixing.mix(docs.repartition(2)).collect()
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
 def test_water_filling_clamps_and_shares(spark):
     sources = spark.createDataFrame(
         [("a", 10, 5), ("b", 100, 2), ("c", 1000, 1), ("d", 0, 5)], "_source string, size long, weight int"

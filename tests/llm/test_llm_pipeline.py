@@ -36,6 +36,40 @@ def test_near_duplicates_by_brute_force(stages):
     assert {r["doc_id"] for r in after} == expected
 
 
+def odd_docs(spark):
+    """Copies with and without identifiers, nulls, empty and long texts."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "en", "s", 1)] * 4 + [(None, a, "en", "s", 1)] * 6 + [(None, b, None, None, None)] * 3
+    rows += [(2, b + " x", "en", "s", 1), (3, None, None, None, None), (None, None, None, None, None), (4, "", "en", "s", 0)]
+    rows += [(5, "word " * 50_000, "en", "t", 1), (6, "own text of few words", "en", "t", 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr(
+        "*", "1 AS shard", "2 AS NAME", "3 AS hits", "4 AS score", "5 AS r"
+    )
+
+
+def test_one_of_each_group_stays(spark):
+    docs = odd_docs(spark)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert got[0].asDict().keys() == set(corpus_pipeline.COLUMNS)
+    assert sum((r["text"] or "").startswith("a0 ") for r in got) == 1
+    assert sum((r["text"] or "").startswith("b0 ") for r in got) == 1
+    others = sorted(str(r["doc_id"]) for r in got if not (r["text"] or "").startswith(("a0 ", "b0 ")))
+    assert others == ["3", "4", "5", "6", "None"]
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "near_dedup", "decontamination", "mixing", "sharding"])
+def test_stages_take_odd_and_empty_tables(spark, stage):
+    function = dict(corpus_pipeline.STAGES)[stage]
+    docs = odd_docs(spark)
+    rows = function(spark, docs, SF).collect()
+    assert len(rows) >= 5
+    if stage != "sharding":
+        assert set(rows[0].asDict()) == set(corpus_pipeline.COLUMNS)
+    if stage in ("toxicity", "decontamination", "sharding"):
+        assert len(rows) == docs.count()  # nothing here is toxic or of the benchmark
+    assert function(spark, docs.limit(0), SF).count() == 0
+
+
 def test_contaminated_documents_go(spark, stages):
     from haulage.llm.decontaminate import plain
 
