@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.llm import decontaminate, mixing, near_dedup, sharding, toxicity
-from haulage.session import new_dir, shuffles_removed
+from haulage.session import new_dir, remove, scratch, shuffles_removed, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,11 +19,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays. Rows without an identifier stay too:
-    no component is named after them, so they cannot be told to be the kept one."""
+    """One document of each group of near copies stays.
+
+    Rows with an identifier of their own keep it; the others, among them all rows without
+    one, are named after a hash of identifier and text, and rows that agree in both become
+    one row before the search. So exactly one row of each group is the kept one.
+    """
     docs = docs.select(*COLUMNS)
-    dropped = near_dedup.near_duplicates(docs, size=5).where("NOT kept AND doc_id IS NOT NULL")
-    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    own = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(1 << 61))
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    shared = written(ids.where("n > 1 OR doc_id IS NULL").select("doc_id"), "shared-ids")
+    if not shared.limit(1).count():
+        named = docs.withColumn("name", F.col("doc_id"))
+    else:
+        same = docs["doc_id"].eqNullSafe(shared["doc_id"])
+        hashed = docs.join(shared, same, "left_semi").withColumn("name", -own - 1)
+        # Copies are combined before they are shuffled.
+        once = hashed.groupBy("name").agg(F.first(F.struct(*COLUMNS)).alias("r")).select("r.*", "name")
+        rest = docs.join(shared, same, "left_anti").withColumn("name", F.col("doc_id"))
+        named = written(rest.unionByName(once), "named")
+    found = near_dedup.near_duplicates(named.select(F.col("name").alias("doc_id"), "text"), size=5)
+    dropped = found.where("NOT kept").select(F.col("doc_id").alias("name"))
+    return named.join(dropped, "name", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +75,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; every stage's result is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_dir(spark, f"stage-{name}")
-        result = stage(spark, docs, sf_dir)
-        with shuffles_removed(spark):
-            result.write.parquet(path)
+        with scratch(spark):  # what the stage has written on its way goes
+            result = stage(spark, docs, sf_dir)
+            with shuffles_removed(spark):
+                result.write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
