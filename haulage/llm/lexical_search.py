@@ -33,6 +33,7 @@ BEST = 10
 BLOCK_TERMS = 1 << 18  # terms of items that are searched for in one pass, or one item's
 TREE_ROWS = 4096  # documents of a tree
 TREE_ENTRIES = 1 << 20  # and their terms, unless one document has more
+TASK_ROWS, MOST_TASKS = 2 * TREE_ROWS, 20_000  # documents of a search task, unless there are more tasks
 LEAF_ROWS = 64  # subtrees of up to so many documents are scored one by one
 _SALTS = 64
 
@@ -290,8 +291,10 @@ def _block(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     known = spark.sparkContext.broadcast(
         (rank, weights, [np.sort(np.array(asked[k], np.int64)) for k in keys], counted["total"], counted["docs"])
     )
-    # Documents without an asked term have no score.
-    found = vectors.where("size(terms) > 0").mapInArrow(
+    # Documents without an asked term have no score. Vectors are small for the work they make, so
+    # files of them are dealt out to more tasks.
+    tasks = max(1, min(counted["docs"] // TASK_ROWS, MOST_TASKS))
+    found = vectors.where("size(terms) > 0").repartition(tasks).mapInArrow(
         _searching(known, size), f"item int, doc_id {key_type}, score long"
     )
     schema = f"item int, item_id {pairs.schema['item_id'].dataType.simpleString()}"
