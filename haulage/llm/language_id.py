@@ -25,13 +25,13 @@ from haulage.session import written
 
 MARK = "▁"
 UNKNOWN = "und"
-ROUNDS = 3  # expectation steps
+ROUNDS = 2  # expectation steps
 PRIOR = 5_000.0  # pieces that each language is lent from the mean of all languages
 MAX_LANGUAGES = 128  # so that the model can be broadcast; checked
 _WORD = re.compile(r"[^\W\d_]{1,64}")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FLUSH = 300_000  # distinct words that a counting task holds
-_CACHE = 200_000  # words whose likelihoods a scoring task remembers
+_CACHE = 400_000  # words whose likelihoods a scoring task remembers
 _CELLS = 1 << 20  # numbers in one lattice
 _ROWS = 512  # texts that are split into words at a time
 
