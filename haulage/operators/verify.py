@@ -231,6 +231,40 @@ def verify_readable(files: DataFrame) -> DataFrame:
     return found
 
 
+AUDIT_SCHEMA = (
+    "file_path string, row_count bigint, row_groups bigint, largest_group_bytes bigint, "
+    "stored_bytes bigint, plain_bytes bigint, codecs string, encodings string"
+)
+
+
+def _audit_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        rows = []
+        for path in batch["file_path"]:
+            with _open_input(path) as source:
+                footer = pq.ParquetFile(source).metadata
+                groups = [footer.row_group(i) for i in range(footer.num_row_groups)]
+                chunks = [g.column(i) for g in groups for i in range(g.num_columns)]
+                rows.append((
+                    path, footer.num_rows, len(groups), max((g.total_byte_size for g in groups), default=0),
+                    sum(c.total_compressed_size for c in chunks), sum(c.total_uncompressed_size for c in chunks),
+                    ",".join(sorted({c.compression for c in chunks})),
+                    ",".join(sorted({e for c in chunks for e in c.encodings})),
+                ))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in AUDIT_SCHEMA.split(", ")])
+
+
+def footer_audit(files: DataFrame) -> DataFrame:
+    """How files were written, from the column chunks that their footers describe: row groups
+    and the bytes of the largest, stored and plain bytes, codecs and encodings.
+
+    A file that cannot be read ends the query; :func:`verify_readable` names such files.
+    """
+    return spread(files.select("file_path")).mapInPandas(_audit_footers, AUDIT_SCHEMA)
+
+
 def _stream_checksums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import hashlib
 
@@ -340,7 +374,7 @@ def _same_path(path: Column) -> Column:
 def verify_export(spark: SparkSession, path: str) -> DataFrame:
     """One row per file that an export lists or that lies there: ``file_path, outcome``.
 
-    Outcomes: ok, missing, unlisted, size_changed, unreadable, not_opened (by a reader that
+    Outcomes: ok, empty (not listed, but without rows), missing, unlisted, size_changed, unreadable, not_opened (by a reader that
     does not know the file system), rows_changed. Footers are read, not the data. An empty
     file counts as missing, since Spark does not list it.
     """
@@ -352,6 +386,7 @@ def verify_export(spark: SparkSession, path: str) -> DataFrame:
     verdicts = verify_readable(there).select(_same_path(F.col("file_path")).alias("file_path"), "readable", "row_count")
     outcome = (
         F.when(F.col("file_size").isNull(), "missing")
+        .when(F.col("_size").isNull() & F.coalesce(F.col("row_count") == 0, F.lit(False)), "empty")
         .when(F.col("_size").isNull(), "unlisted")
         .when(F.col("_size") != F.col("file_size"), "size_changed")
         .when(F.col("readable").isNull(), "not_opened")

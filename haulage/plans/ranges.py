@@ -46,6 +46,14 @@ def chunk_count(rows: str, target_rows: int, tiers, strict_floor: bool) -> Colum
     return F.expr(f"cast(CASE WHEN {rows} <= 0 THEN 0 ELSE {count} END AS int)")
 
 
+def _wanted_chunks(policy: Policy, tiers, strict_floor: bool) -> Column:
+    """Chunks of the stated size, however many that makes; else what the tiers give."""
+    most = policy.rows_in_chunk()
+    if most is None:
+        return chunk_count("total_count", policy.target_chunk_rows, tiers, strict_floor)
+    return F.expr(f"cast(CASE WHEN total_count <= 0 THEN 0 ELSE (total_count + {most - 1}) div {most} END AS int)")
+
+
 def _explode_chunks(planned: DataFrame, count: str) -> DataFrame:
     """One row per chunk; tables without chunks yield none."""
     return planned.where(f"{count} > 0").selectExpr(
@@ -81,7 +89,7 @@ def numeric_ranges(
     ``chunks`` gives it.
     """
     if chunks is None:
-        chunks = chunk_count("total_count", policy.target_chunk_rows, policy.numeric_tiers, True)
+        chunks = _wanted_chunks(policy, policy.numeric_tiers, True)
     planned = (
         _of_types(profile, WHOLE_TYPES)
         .withColumn("_n", chunks)
@@ -111,7 +119,7 @@ def time_ranges(
 ) -> DataFrame:
     """Half-open ranges ``[lo, hi)`` in microseconds; the last one is closed."""
     if chunks is None:
-        chunks = chunk_count("total_count", policy.target_chunk_rows, policy.time_tiers, False)
+        chunks = _wanted_chunks(policy, policy.time_tiers, False)
     planned = (
         _of_types(profile, TIME_TYPES)
         .withColumn("_n", chunks)
@@ -132,7 +140,7 @@ def real_ranges(
 ) -> DataFrame:
     """Half-open ranges for fractional columns; the last one is closed."""
     if chunks is None:
-        chunks = chunk_count("total_count", policy.target_chunk_rows, policy.numeric_tiers, True)
+        chunks = _wanted_chunks(policy, policy.numeric_tiers, True)
     not_real = ", ".join(repr(t) for t in (*WHOLE_TYPES, *TIME_TYPES))
     planned = (
         profile.where(f"data_type NOT IN ({not_real}) AND total_count > 0")
@@ -269,7 +277,8 @@ class RangePlan:
         if not self.starts:
             return "0"
         if self.step is None:
-            return f"CASE WHEN {self._name} IS NULL THEN 0 ELSE {self._search(0, len(self.starts))} END"
+            found = self._search(0, len(self.starts)) if len(self.starts) < 256 else self._search_list()
+            return f"CASE WHEN {self._name} IS NULL THEN 0 ELSE {found} END"
         # Rows beyond the profiled bounds stay in the outer chunks, so the difference
         # below never overflows.
         if self.starts[-1] - self.low < 2**63:
@@ -292,6 +301,14 @@ class RangePlan:
             f"THEN {self._search(first, middle)} ELSE {self._search(middle + 1, last)} END"
         )
 
+    def _search_list(self) -> str:
+        """SQL: binary search over one literal list, whatever its length. Starts of a chunk plan
+        stand in the list as texts that are cast once."""
+        values = ", ".join(self._literal_sql(s) for s in self.starts)
+        halves = ", ".join(str(1 << b) for b in range(len(self.starts).bit_length() - 1, -1, -1))
+        step = f"CASE WHEN get(array({values}), p + h - 1) <= {self._name} THEN p + h ELSE p END"
+        return f"aggregate(array({halves}), 0, (p, h) -> {step})"
+
     @staticmethod
     def _number(key: int) -> str:
         # The smallest 64-bit number has no literal of its own.
@@ -366,7 +383,7 @@ def range_plan(
 ) -> RangePlan | None:
     """Plan for ``df`` from its best range column, or None when it has none.
 
-    Collects one profile row and the plan itself (at most a few hundred chunks).
+    Collects one profile row and the plan itself: a number per chunk.
     """
     row = best.first()
     if row is None:

@@ -71,6 +71,10 @@ class Policy:
     target_chunk_rows: int = 1_000_000
     numeric_tiers: tuple[Tier, ...] = NUMERIC_TIERS
     time_tiers: tuple[Tier, ...] = TIME_TIERS
+    # Most rows and megabytes of a chunk. Where one is given, it decides, and a large table gets as
+    # many chunks as that takes; the tiers with their caps are the compatible default.
+    chunk_rows: int | None = None
+    chunk_mb: int | None = None
 
     # Chunk sizing (rows)
     size_tiers: tuple[SizeTier, ...] = SIZE_TIERS
@@ -107,6 +111,14 @@ class Policy:
     slow_chunk_seconds: int = 30
     throughput_window_seconds: int = 60
 
+    def rows_in_chunk(self, bytes_per_row: float | None = None) -> int | None:
+        """Most rows of a chunk by the stated limits; None if the tiers decide."""
+        limits = []
+        if self.chunk_rows:
+            limits.append(self.chunk_rows)
+        if self.chunk_mb:
+            limits.append(int(self.chunk_mb * 1024 * 1024 / max(bytes_per_row or self.bytes_per_row, 1.0)))
+        return max(1, min(limits)) if limits else None
 
     def scaled(self, factor: int) -> "Policy":
         """The same policy for tables ``factor`` times smaller."""
@@ -126,6 +138,9 @@ class Policy:
         )
 
 
+CODECS = ("snappy", "zstd", "gzip", "lz4", "lz4_raw", "brotli", "none", "uncompressed")
+
+
 @dataclass(frozen=True)
 class ExportOptions:
     """Parquet writer settings. Row groups are sized in bytes, as Parquet does."""
@@ -136,6 +151,16 @@ class ExportOptions:
     max_records_per_file: int | None = None
     extra: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        if self.codec not in CODECS:
+            raise ValueError(f"unknown codec {self.codec!r}; one of {', '.join(CODECS)}")
+        if self.codec == "zstd" and self.level is not None and not 1 <= self.level <= 22:
+            raise ValueError(f"zstd has levels 1 to 22, not {self.level}")
+        for name in ("row_group_mb", "max_records_per_file"):
+            value = getattr(self, name)
+            if value is not None and value < 1:
+                raise ValueError(f"{name} must be at least 1, not {value}")
+
     def as_writer_options(self) -> dict[str, str]:
         opts = {"compression": self.codec}
         if self.level is not None and self.codec == "zstd":

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.operators.ledger import fold_jobs, fold_tables
 from haulage.operators.profile import best_range_column, profile_columns
-from haulage.operators.verify import verify_readable
+from haulage.operators.verify import footer_audit
 from haulage.plans.ranges import range_plan
-from haulage.policy import EXPORT_PROFILES
+from haulage.policy import EXPORT_PROFILES, ExportOptions
 from haulage.queries.derived import INVENTORY_SQL, SMALL, cents, inventory, with_ctes
 from haulage.queries.planning import METHOD_SQL
 from haulage.queries.registry import query
 from haulage.queries.scans import LINE_ORDER
-from haulage.session import filesystem, new_dir
+from haulage.session import filesystem, new_dir, written
 from haulage.sinks import export, resumable
-from haulage.sinks.job import Ledger, export_job
+from haulage.sinks.job import Ledger, export_job, export_table
 from haulage.sinks.manifest import list_data_files, read_export, read_files, read_metadata
 from haulage.sinks.publish import archive_summary, publish
 from haulage.sources.tables import load
@@ -111,21 +113,38 @@ def resume_export(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("export_options", """
-SELECT profile, codec, (SELECT count(*) FROM orders) AS row_count
+SELECT profile, codec, (SELECT count(*) FROM orders) AS row_count, true AS packs_better,
+  true AS groups_fit
 FROM (VALUES ('default', 'SNAPPY'), ('speed_optimized', 'SNAPPY'), ('balanced', 'ZSTD'),
-  ('space_optimized', 'ZSTD'), ('resumable', 'ZSTD'), ('throughput', 'ZSTD')) t(profile, codec)""")
+  ('space_optimized', 'ZSTD'), ('resumable', 'ZSTD'), ('throughput', 'ZSTD'), ('small_groups', 'ZSTD'))
+  t(profile, codec)""")
 def export_options(spark: SparkSession, sf: str) -> DataFrame:
-    """Each writer profile once; the codec is read from the files' footers."""
+    """Each writer profile once, and one of small row groups; read from the files' footers.
+
+    ``packs_better``: zstd stores fewer bytes than the default, and its level 9 not more than
+    its level 1. ``groups_fit``: no row group is larger than its limit allows.
+    """
     orders, out = load(spark, sf, "orders"), None
-    for name, options in EXPORT_PROFILES.items():
+    profiles = {**EXPORT_PROFILES, "small_groups": ExportOptions("zstd", 3, row_group_mb=1)}
+    for name, options in profiles.items():
         path = new_dir(spark, "options")
-        export.export_capped(orders, path, "orders", 1_000_000, options)
-        found = verify_readable(list_data_files(spark, path)).groupBy("codec").agg(
-            F.sum("row_count").alias("row_count")
+        export.export_capped(orders.coalesce(1), path, "orders", 1_000_000_000, options)
+        limit = (options.row_group_mb or 128) * 1024 * 1024
+        found = footer_audit(list_data_files(spark, path)).groupBy(F.col("codecs").alias("codec")).agg(
+            F.sum("row_count").alias("row_count"), F.sum("stored_bytes").alias("stored"),
+            # Sizes are checked while rows are buffered, so a group may end somewhat late.
+            F.every(F.col("largest_group_bytes") <= 1.5 * limit).alias("groups_fit"),
         )
         found = found.withColumn("profile", F.lit(name))
         out = found if out is None else out.unionByName(found)
-    return out
+    out = written(out, "options-found")
+    stored = {r["profile"]: r["stored"] for r in out.collect()}  # a row per profile
+    better = F.lit(stored["space_optimized"] <= stored["throughput"])
+    zstd = better & (F.col("stored") < stored["default"])
+    return out.select(
+        "profile", "codec", "row_count", F.when(F.col("codec") == "ZSTD", zstd).otherwise(better).alias("packs_better"),
+        "groups_fit",
+    )
 
 
 @query("export_sized", """
@@ -238,3 +257,70 @@ def run_export_job(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("(job)").alias("table_name"), F.col("overall_status").alias("status"), "rows_processed"
     )
     return tables.unionByName(job)
+
+
+# Range exports whatever the size of the table.
+_RANGED = replace(SMALL, small_table_rows=0, range_preferred_rows=0)
+_PLANNED_ROWS = """CAST(greatest(4000, least(40000, (greatest(CASE WHEN r > 2000000 THEN 10000
+    WHEN r > 200000 THEN 4000 ELSE 2000 END, r // CASE WHEN r > 2000000 THEN 64 WHEN r > 200000 THEN 48
+    ELSE 32 END) + 199) // 200 * 200)) AS BIGINT)"""
+
+
+@query("export_planned", f"""
+WITH sized AS (
+  SELECT lo, hi, (r + s - 1) // s AS n FROM (
+    SELECT *, {_PLANNED_ROWS} AS s FROM (SELECT min(l_orderkey) AS lo, max(l_orderkey) AS hi, count(*) AS r FROM lineitem))),
+planned AS (
+  SELECT l.*, CAST(least(n - 1, (l_orderkey - lo) // (greatest(1, (hi - lo) // n) + 1)) AS INTEGER) AS chunk_id
+  FROM lineitem l, sized)
+SELECT chunk_id, count(*) AS row_count, min(l_orderkey) AS first_key, max(l_orderkey) AS last_key,
+  {_CENTS.format(c='l_extendedprice')} FROM planned GROUP BY 1""")
+def export_planned(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per chunk come from the method choice and decide how many chunks there are."""
+    lines, path = load(spark, sf, "lineitem"), new_dir(spark, "planned")
+    export_table(lines, "lineitem", path, policy=_RANGED, steered=True)
+    return read_export(spark, path).groupBy("chunk_id").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.min("l_orderkey").alias("first_key"),
+        F.max("l_orderkey").alias("last_key"),
+        F.sum(cents("l_extendedprice")).alias("total_cents"),
+    )
+
+
+class _Interrupted(Exception):
+    pass
+
+
+@query("rerun_job", with_ctes(ranges_sql("orders", "o_orderkey")) + """
+SELECT 'public.orders' AS table_name, 'failed' AS first_status, 'completed' AS status,
+  count(*) AS rows_processed, CAST(max(chunk_id) + 1 AS INTEGER) AS chunk_count,
+  count(DISTINCT chunk_id) FILTER (WHERE chunk_id < (last + 2) // 2) AS chunks_kept
+FROM ranged, (SELECT max(chunk_id) AS last FROM ranged)
+UNION ALL
+SELECT 'public.part', 'completed', 'completed', count(*), NULL, NULL FROM part""")
+def rerun_job(spark: SparkSession, sf: str) -> DataFrame:
+    """A job that is cut inside the range export of one table, after the first of two waves,
+    and run again. ``chunks_kept``: chunks whose files the second run has left as they were."""
+    base = new_dir(spark, "rerun")
+    ledger = Ledger(spark, f"{base}/ledger")
+    opened = {f"public.{n}": (lambda n=n: load(spark, sf, n)) for n in ("orders", "part")}
+
+    def cut(table: str, fields: dict) -> None:
+        if table == "public.orders" and "rows_processed" in fields:
+            raise _Interrupted("cut after the first wave")
+
+    options = dict(job_id="job-2", policy=_RANGED, waves=2, final=f"{base}/final")
+    export_job(spark, opened, f"{base}/out", ledger, on_event=cut, **options)
+    first = written(fold_tables(ledger.events()).select("table_name", F.col("status").alias("first_status")), "first-run")
+    before = written(
+        list_data_files(spark, f"{base}/out/job-2/public.orders").select("chunk_id", F.element_at(F.split("file_path", "/"), -1).alias("file_name")),
+        "first-files",
+    )
+    export_job(spark, opened, f"{base}/out", ledger, **options)
+    kept = read_files(spark, f"{base}/final/public_orders").join(before, ["chunk_id", "file_name"], "left_semi")
+    kept = kept.agg(F.countDistinct("chunk_id").alias("chunks_kept")).withColumn("table_name", F.lit("public.orders"))
+    tables = fold_tables(ledger.events()).select("table_name", "status", "rows_processed", "chunk_count")
+    ranged = F.when(F.col("table_name") == "public.orders", F.col("chunk_count"))
+    return tables.join(first, "table_name").join(kept, "table_name", "left").select(
+        "table_name", "first_status", "status", "rows_processed", ranged.alias("chunk_count"), "chunks_kept"
+    )

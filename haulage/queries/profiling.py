@@ -148,12 +148,21 @@ def partition_column(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.select("table_schema", "table_name", "column_name", "is_key")
 
 
-@query("size_estimate", with_ctes(INVENTORY_SQL) + """
-SELECT table_name, row_count, row_count * 500 / 1024.0::DOUBLE / 1024.0::DOUBLE AS estimated_size_mb,
-  least(row_count * 500 / 1024.0::DOUBLE / 1024.0::DOUBLE * 0.1::DOUBLE, 2048.0::DOUBLE)
-    AS memory_requirements_mb FROM inventory""")
+@query("size_estimate", with_ctes(INVENTORY_SQL, """
+known AS (
+  SELECT *, CASE WHEN row_count % 3 = 0 THEN row_count * 120 WHEN row_count % 3 = 1 THEN 0 END AS relation_bytes
+  FROM inventory),
+sized AS (
+  SELECT *, coalesce(nullif(relation_bytes, 0), row_count * 500) / 1024.0::DOUBLE / 1024.0::DOUBLE AS mb FROM known)""") + """
+SELECT table_name, row_count, relation_bytes, mb AS estimated_size_mb,
+  least(mb * 0.1::DOUBLE, 2048.0::DOUBLE) AS memory_requirements_mb FROM sized""")
 def size_estimate(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.size_estimate(inventory(spark, sf).select("table_name", "row_count"))
+    """A third of the tables has a known size, a third one of zero, a third none."""
+    tables = inventory(spark, sf).selectExpr(
+        "table_name", "row_count",
+        "CASE WHEN row_count % 3 = 0 THEN row_count * 120 WHEN row_count % 3 = 1 THEN 0L END AS relation_bytes",
+    )
+    return profile.size_estimate(tables)
 
 
 @query("table_profile", with_ctes(PROFILE_SQL, DENSITY_SQL, BEST_SQL) + """

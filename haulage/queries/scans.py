@@ -162,10 +162,22 @@ def user_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("catalog_schemas", with_ctes(CATALOG_TABLES_SQL, _USER_TABLES) + """
-SELECT table_schema, count(*) AS table_count, min(table_name) AS first_table,
-  max(table_name) AS last_table FROM user_tables GROUP BY 1""")
+SELECT table_schema, coalesce(table_count, 0) AS table_count, first_table, last_table,
+  coalesce(table_names, '') AS table_names
+FROM (
+  SELECT replace(lower(n_name), ' ', '_') AS table_schema FROM nation WHERE n_nationkey > 2
+  UNION SELECT lower(r_name) FROM region)
+FULL JOIN (
+  SELECT table_schema, count(*) AS table_count, min(table_name) AS first_table,
+    max(table_name) AS last_table, string_agg(table_name, ',' ORDER BY table_name) AS table_names
+  FROM user_tables GROUP BY 1) USING (table_schema)""")
 def user_schemas(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.catalog_schemas(catalog_tables(spark, sf))
+    """Nations are schemas with tables, regions are schemas without."""
+    schemas = load(spark, sf, "nation").where("n_nationkey > 2").selectExpr(
+        "replace(lower(n_name), ' ', '_') AS table_schema"
+    ).unionByName(load(spark, sf, "region").selectExpr("lower(r_name) AS table_schema"))
+    found = catalog.catalog_schemas(catalog_tables(spark, sf), schemas=schemas)
+    return found.withColumn("table_names", F.array_join("table_names", ","))
 
 
 @query("catalog_columns", with_ctes(COLUMNS_SQL) + """

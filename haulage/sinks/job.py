@@ -12,6 +12,7 @@ import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from datetime import datetime, timezone
 from urllib.parse import quote
 
@@ -27,7 +28,7 @@ from haulage.plans.layout import FIRST_VERSION, export_layout
 from haulage.plans.methods import CURSOR, DIRECT, RANGES, plan_methods
 from haulage.plans.ranges import range_plan
 from haulage.policy import ExportOptions, Policy
-from haulage.session import path_exists, remove, write_text
+from haulage.session import path_exists, remove, write_text, written
 from haulage.sinks.export import export_paged, export_ranges, export_single, export_sized
 from haulage.sinks.manifest import load_metadata
 from haulage.sinks.publish import archive_summary, publish
@@ -64,20 +65,23 @@ def export_table(
     df: DataFrame, table: str, path: str, *, db_type: str = "postgresql",
     policy: Policy = Policy(), options: ExportOptions = ExportOptions(),
     order: list[str] | None = None, job_id: str | None = None, waves: int | None = None,
-    told: Callable[..., None] | None = None,
+    told: Callable[..., None] | None = None, steered: bool = False,
 ) -> dict:
     """Choose the method from the table's profile and export it. Returns the metadata.
 
+    ``steered`` builds range plans from the parameters that the method choice gives, rows per
+    chunk above all; limits that the policy states itself come first. Without it the
+    policy's tiers decide.
+
     With ``waves`` a range export keeps a chunk ledger, and one that was cut short under the
     same plan is taken up; anything else that lies at ``path`` unsealed is removed first.
     ``told(**fields)`` hears of the plan and of finished waves.
     """
     spark = df.sparkSession
+    best = None
     if rangeable_columns(df):
-        best = best_range_column(profile_columns(df, table), policy)
-        plan = range_plan(df, best, policy, table)
-    else:
-        plan = None
+        best = written(best_range_column(profile_columns(df, table), policy), "best-column")  # one row
+    plan = range_plan(df, best, policy, table) if best is not None else None
     rows = plan.rows if plan else df.count()
     decision = plan_methods(
         spark.createDataFrame(
@@ -88,6 +92,8 @@ def export_table(
         policy,
     ).first()
     method = decision["method"]
+    if steered and method == RANGES and policy.rows_in_chunk() is None:
+        plan = range_plan(df, best, replace(policy, chunk_rows=decision["chunk_rows"]), table)
     if waves:
         ranged = method == RANGES
         if not (ranged and stored_plan(spark, path) == json.loads(json.dumps(plan.as_dict()))):
@@ -120,7 +126,7 @@ class Damaged(Exception):
 
 def _checked(spark: SparkSession, path: str, metadata: dict) -> None:
     """Every listed file must be there, readable, and hold the listed rows."""
-    bad = verify_export(spark, path).where("outcome <> 'ok'")
+    bad = verify_export(spark, path).where("outcome NOT IN ('ok', 'empty')")
     found = bad.select("file_path", "outcome").limit(5).collect()
     if found:
         named = ", ".join(f"{r['file_path']} ({r['outcome']})" for r in found)
@@ -157,6 +163,7 @@ def export_job(
     exporter: Callable[[str, str, str], dict] | None = None, waves: int = 4,
     final: str | None = None, strategy: str = "clean_with_archive", conflict: str = "version",
     skip_existing: bool = False, on_event: Callable[[str, dict], None] | None = None,
+    steered: bool = False,
 ) -> str:
     """Export many tables; one that fails is recorded and the others go on.
 
@@ -193,7 +200,7 @@ def export_job(
         elif metadata is None:
             metadata = export_table(
                 tables[name](), name, path, db_type=db_type, policy=policy, options=options,
-                job_id=job_id, waves=waves, told=lambda **fields: told(name, **fields),
+                job_id=job_id, waves=waves, steered=steered, told=lambda **fields: told(name, **fields),
             )
         told(name, status="staged", rows_processed=metadata["total_rows"], file_path=path)
         return metadata

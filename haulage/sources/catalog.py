@@ -1,14 +1,17 @@
 """Catalog questions as joins over catalog DataFrames.
 
 The inputs have the columns of ``information_schema`` (or ``pg_catalog``), whether they
-come from a database through JDBC or from Parquet schemas.
+come from a database through JDBC, from Spark's own catalog or from Parquet schemas.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulage.functions.rows import quoted
 from haulage.operators.profile import database_type
 from haulage.sources.jdbc import SYSTEM_SCHEMAS
 
@@ -36,17 +39,93 @@ def catalog_tables(tables: DataFrame, db_type: str = "postgresql") -> DataFrame:
     )
 
 
-def catalog_schemas(tables: DataFrame, db_type: str = "postgresql") -> DataFrame:
-    """User schemas with their number of base tables, first and last name."""
-    return (
+def catalog_schemas(
+    tables: DataFrame, db_type: str = "postgresql", schemas: DataFrame | None = None
+) -> DataFrame:
+    """User schemas with their base tables: number, first, last, and the sorted list of names.
+
+    ``schemas(table_schema)`` adds schemas that have no table. The list holds the names of
+    one schema, as a page that shows it does.
+    """
+    found = (
         catalog_tables(tables, db_type)
         .groupBy("table_schema")
         .agg(
             F.count(F.lit(1)).alias("table_count"),
             F.min("table_name").alias("first_table"),
             F.max("table_name").alias("last_table"),
+            F.sort_array(F.collect_list("table_name")).alias("table_names"),
         )
     )
+    if schemas is None:
+        return found
+    named = schemas.where(is_user_schema(F.col("table_schema"), db_type)).select("table_schema").distinct()
+    return named.join(found, "table_schema", "full_outer").withColumns(
+        {
+            "table_count": F.coalesce("table_count", F.lit(0)),
+            "table_names": F.coalesce("table_names", F.array().cast("array<string>")),
+        }
+    )
+
+
+# --- Spark's own catalog, in the columns of the functions above --------------------------
+
+
+def spark_schemas(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(d.name,) for d in spark.catalog.listDatabases()], "table_schema string")
+
+
+def spark_tables(spark: SparkSession) -> DataFrame:
+    """Tables and views of all schemas of the current catalog, temporary views aside."""
+    rows = [
+        (d.name, t.name, "VIEW" if t.tableType == "VIEW" else "BASE TABLE")
+        for d in spark.catalog.listDatabases()
+        for t in spark.catalog.listTables(d.name)
+        if not t.isTemporary
+    ]
+    return spark.createDataFrame(rows, "table_schema string, table_name string, table_type string")
+
+
+def spark_columns(spark: SparkSession, wanted: list[tuple[str, str]]) -> DataFrame:
+    """Columns of some tables ``(schema, name)`` under database type names, with ``is_partition``."""
+    rows = []
+    for schema, table in wanted:
+        for place, c in enumerate(spark.catalog.listColumns(f"{quoted(schema)}.{quoted(table)}"), 1):
+            kind = database_type(c.dataType) or _other_type(c.dataType)
+            rows.append((schema, table, c.name, kind, None, "YES" if c.nullable else "NO", place, c.isPartition))
+    return spark.createDataFrame(
+        rows,
+        "table_schema string, table_name string, column_name string, data_type string, "
+        "character_maximum_length int, is_nullable string, ordinal_position int, is_partition boolean",
+    )
+
+
+def spark_partitions(spark: SparkSession, wanted: list[tuple[str, str]]) -> DataFrame:
+    """Partitions of some tables: ``table_schema, table_name, partition``; none for a table that
+    has no partition columns. The rows come from Spark, table by table."""
+    divided = [
+        (s, t) for s, t in wanted
+        if any(c.isPartition for c in spark.catalog.listColumns(f"{quoted(s)}.{quoted(t)}"))
+    ]
+    out = spark.createDataFrame([], "table_schema string, table_name string, partition string")
+    for s, t in divided:
+        listed = spark.sql(f"SHOW PARTITIONS {quoted(s)}.{quoted(t)}")
+        out = out.unionByName(listed.select(F.lit(s).alias("table_schema"), F.lit(t).alias("table_name"), "partition"))
+    return out
+
+
+def spark_sizes(spark: SparkSession, wanted: list[tuple[str, str]]) -> DataFrame:
+    """Analyzed size and rows of some tables: ``table_schema, table_name, relation_bytes,
+    row_count``; null where ANALYZE TABLE was never run."""
+    rows = []
+    for s, t in wanted:
+        described = spark.sql(f"DESCRIBE EXTENDED {quoted(s)}.{quoted(t)}").where("col_name = 'Statistics'").first()
+        text = described["data_type"] if described else ""
+        size, count = re.search(r"(\d+) bytes", text), re.search(r"(\d+) rows", text)
+        rows.append((s, t, int(size[1]) if size else None, int(count[1]) if count else None))
+    return spark.createDataFrame(
+        rows, "table_schema string, table_name string, relation_bytes bigint, row_count bigint"
+    )
 
 
 def _lower_keys(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from haulage.functions.rows import quoted
 from haulage.operators.profile import extremes, profile_from_extremes, rangeable_columns
 from haulage.plans.ranges import RangePlan
 
@@ -125,6 +126,28 @@ def read_plan(spark: SparkSession, db: Database, table: str, plan: RangePlan) ->
     return spark.read.jdbc(db.url, table, predicates=plan.sql_predicates(), properties=properties)
 
 
+def chunk_counts_query(table: str, plan: RangePlan) -> str:
+    """Rows of each planned chunk, counted by the database."""
+    cases = " ".join(f"WHEN {p} THEN {i}" for i, p in enumerate(plan.sql_predicates()))
+    return (
+        f"SELECT chunk_id, count(*) AS row_count FROM (SELECT CASE {cases} END AS chunk_id FROM {table}) c "
+        "GROUP BY chunk_id"
+    )
+
+
+def bounds_query(table: str, column: str, predicate: str) -> str:
+    """Extremes of a column among the rows of a chunk."""
+    name = quoted(column, '"')
+    return (
+        f"SELECT min({name}) AS low, max({name}) AS high, count({name}) AS filled FROM {table} WHERE {predicate}"
+    )
+
+
+def read_unit(spark: SparkSession, db: Database, table: str, predicate: str, rows: int | None = None) -> DataFrame:
+    """The rows of one condition, read by one task over one connection."""
+    return read_table(spark, db, f"(SELECT * FROM {table} WHERE {predicate}) unit", rows)
+
+
 # Catalog queries, passed on to the database. System schemas.
 SYSTEM_SCHEMAS = {
     "postgresql": ["information_schema", "pg_catalog", "pg_toast_temp_1", "pg_temp_1"],
@@ -138,13 +161,24 @@ def catalog_query(db_type: str, what: str) -> str:
     schema = "v_catalog" if vertica else "information_schema"
     named = "schema_name AS table_schema" if vertica else "table_schema"
     kind = "'BASE TABLE' AS table_type" if vertica else "table_type"
+    constraints, keys = "information_schema.table_constraints", "information_schema.key_column_usage"
+    if vertica:
+        constraints = (
+            "(SELECT table_schema AS constraint_schema, constraint_name, table_schema, table_name, "
+            "CASE constraint_type WHEN 'p' THEN 'PRIMARY KEY' WHEN 'u' THEN 'UNIQUE' ELSE constraint_type END "
+            "AS constraint_type FROM v_catalog.table_constraints JOIN v_catalog.tables USING (table_id)) c"
+        )
+        keys = (
+            "(SELECT table_schema AS constraint_schema, constraint_name, table_schema, table_name, column_name, "
+            "ordinal_position FROM v_catalog.constraint_columns) k"
+        )
     queries = {
         "tables": f"SELECT {named}, table_name, {kind} FROM {schema}.tables",
         "columns": f"SELECT {named}, table_name, column_name, data_type, "
         f"character_maximum_length, is_nullable, ordinal_position FROM {schema}.columns",
         "constraints": "SELECT constraint_schema, constraint_name, table_schema, table_name, "
-        "constraint_type FROM information_schema.table_constraints",
+        f"constraint_type FROM {constraints}",
         "key_columns": "SELECT constraint_schema, constraint_name, table_schema, table_name, "
-        "column_name, ordinal_position AS key_position FROM information_schema.key_column_usage",
+        f"column_name, ordinal_position AS key_position FROM {keys}",
     }
     return queries[what]

@@ -144,6 +144,13 @@ def test_a_job_goes_on_after_each_state(spark, source, tmp_path):  # noqa: F811
         assert manifest.read_export(spark, str(base / "final" / "t")).count() == 300
 
 
+def test_empty_tables_pass_the_check(spark, source, tmp_path):  # noqa: F811
+    ledger, empty = Ledger(spark, str(tmp_path / "ledger")), source.limit(0)
+    export_job(spark, {"t": lambda: empty}, str(tmp_path / "out"), ledger, job_id="j", final=str(tmp_path / "final"))
+    assert states(ledger) == {"t": "completed"}
+    assert manifest.read_export(spark, str(tmp_path / "final" / "t")).count() == 0
+
+
 def test_damaged_staging_is_made_anew_and_existing_is_skipped(spark, source, tmp_path):  # noqa: F811
     ledger = Ledger(spark, str(tmp_path / "ledger"))
 
