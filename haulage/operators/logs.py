@@ -82,6 +82,13 @@ def filter_logs(lines: DataFrame, category: str, value: str = "value") -> DataFr
     return lines.where(content_matches(F.col(value), category))
 
 
+def categorized_logs(lines: DataFrame, value: str = "value") -> DataFrame:
+    """``category`` and line for every category that a line falls into, in one pass."""
+    hits = [F.when(content_matches(F.col(value), name), name) for name in CONTENT_FILTERS]
+    found = F.array_compact(F.array(*hits))
+    return lines.select(F.explode(found).alias("category"), *lines.columns)
+
+
 def log_severity(line: Column) -> Column:
     chain = F
     for name, pattern in SEVERITY:

@@ -129,9 +129,10 @@ key_constraints AS (
       ELSE 'FOREIGN KEY' END AS constraint_type
   FROM orders),
 key_columns AS (
-  SELECT 'Sales' AS constraint_schema, 'key_' || l_orderkey AS constraint_name,
+  SELECT 'Sales' AS constraint_schema,
+    CASE WHEN l_discount >= 0.05 THEN 'key_' ELSE 'check_' END || l_orderkey AS constraint_name,
     'c' || l_linenumber || '_' || l_partkey AS column_name, l_linenumber AS key_position
-  FROM lineitem WHERE l_discount >= 0.05)"""
+  FROM lineitem)"""
 
 
 def key_constraints(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,10 +147,10 @@ def key_constraints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def key_columns(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns of the keys: those of discounted lines."""
-    return load(spark, sf, "lineitem").where("l_discount >= 0.05D").selectExpr(
+    """Columns of constraints: those of discounted lines are of keys."""
+    return load(spark, sf, "lineitem").selectExpr(
         "'Sales' AS constraint_schema",
-        "concat('key_', l_orderkey) AS constraint_name",
+        "concat(CASE WHEN l_discount >= 0.05D THEN 'key_' ELSE 'check_' END, l_orderkey) AS constraint_name",
         "concat('c', l_linenumber, '_', l_partkey) AS column_name",
         "l_linenumber AS key_position",
     )

@@ -74,13 +74,7 @@ _PATTERNS = {
     f"SELECT '{name}' AS category, line_no, value FROM log_lines "
     f"WHERE regexp_matches(value, '{pattern}', 'i')" for name, pattern in _PATTERNS.items()))
 def filter_logs(spark: SparkSession, sf: str) -> DataFrame:
-    lines, out = log_lines(spark, sf), None
-    for category in logs.CONTENT_FILTERS:
-        part = logs.filter_logs(lines, category).select(
-            F.lit(category).alias("category"), "line_no", "value"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    return logs.categorized_logs(log_lines(spark, sf)).select("category", "line_no", "value")
 
 
 @query("log_severity", with_ctes(LOG_SQL) + """

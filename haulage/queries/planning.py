@@ -295,11 +295,10 @@ def export_layout(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("publish_version", """
 WITH existing AS (
-  SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN '/out/s_' || l_suppkey
-    ELSE '/out/s_' || l_suppkey || '_v' || l_linenumber END AS path
-  FROM lineitem WHERE l_quantity < 8),
+  SELECT DISTINCT base || CASE WHEN l_linenumber = 1 THEN '' ELSE '_v' || l_linenumber END AS path
+  FROM (SELECT *, CASE WHEN l_quantity < 8 THEN '/out/s_' ELSE '/out/t_' END || l_suppkey AS base FROM lineitem)),
 wanted AS (SELECT '/out/s_' || s_suppkey AS final_path FROM supplier
-  UNION ALL SELECT '/out/p_' || p_partkey FROM part),
+  UNION ALL SELECT '/out/t_' || s_suppkey FROM supplier UNION ALL SELECT '/out/p_' || p_partkey FROM part),
 free AS (
   SELECT final_path, min(v) AS version FROM wanted, range(2, 9) t(v)
   WHERE final_path || '_v' || v NOT IN (SELECT path FROM existing) GROUP BY 1)
@@ -309,13 +308,15 @@ SELECT final_path,
   final_path IN (SELECT path FROM existing) AS was_renamed
 FROM wanted JOIN free USING (final_path)""")
 def publish_version(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line stands for a published export: few of the `s_` tables, many of the `t_` tables."""
     number = F.col("l_linenumber")
-    plain = F.concat(F.lit("/out/s_"), "l_suppkey")
-    existing = load(spark, sf, "lineitem").where(F.col("l_quantity") < 8).select(
+    plain = F.concat(F.when(F.col("l_quantity") < 8, "/out/s_").otherwise("/out/t_"), "l_suppkey")
+    existing = load(spark, sf, "lineitem").select(
         F.when(number == 1, plain).otherwise(F.concat(plain, F.lit("_v"), number)).alias("path")
     )
-    wanted = load(spark, sf, "supplier").select(
-        F.concat(F.lit("/out/s_"), "s_suppkey").alias("final_path")
+    kinds = F.explode(F.array(F.lit("/out/s_"), F.lit("/out/t_"))).alias("kind")
+    wanted = load(spark, sf, "supplier").select("s_suppkey", kinds).select(
+        F.concat("kind", "s_suppkey").alias("final_path")
     ).unionByName(
         load(spark, sf, "part").select(F.concat(F.lit("/out/p_"), "p_partkey").alias("final_path"))
     )

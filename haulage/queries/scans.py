@@ -262,16 +262,16 @@ def with_primary_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("catalog_partitioned", """
 SELECT 'Sales' AS table_schema, 'Order_' || o_orderkey AS table_name FROM orders
-WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 48)""")
+WHERE 'Order_' || o_orderkey IN (
+  SELECT CASE WHEN l_quantity >= 48 THEN 'Order_' ELSE 'Draft_' END || l_orderkey FROM lineitem)""")
 def partitioned(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables with at least one partition; here an order line of 48 or more."""
-    def named(key: str):
-        return F.lit("Sales").alias("table_schema"), F.concat(F.lit("Order_"), key).alias("table_name")
+    """Every line is a partition, of its order's table if it is of 48 or more, else of a draft."""
+    def named(kind, key: str):
+        return F.lit("Sales").alias("table_schema"), F.concat(kind, key).alias("table_name")
 
-    parts = load(spark, sf, "lineitem").where(F.col("l_quantity") >= 48)
-    return catalog.partitioned_tables(
-        load(spark, sf, "orders").select(*named("o_orderkey")), parts.select(*named("l_orderkey"))
-    )
+    large = F.when(F.col("l_quantity") >= 48, "Order_").otherwise("Draft_")
+    parts = load(spark, sf, "lineitem").select(*named(large, "l_orderkey"))
+    return catalog.partitioned_tables(load(spark, sf, "orders").select(*named(F.lit("Order_"), "o_orderkey")), parts)
 
 
 @query("table_info", "\nUNION ALL\n".join(

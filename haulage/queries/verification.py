@@ -88,20 +88,21 @@ def verify_tolerance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("verify_gaps", """
 WITH files AS (
-  SELECT 's_' || l_suppkey AS table_name, CAST(l_quantity AS INTEGER) AS chunk_number
-  FROM lineitem WHERE l_returnflag = 'A'),
-planned AS (SELECT 's_' || s_suppkey AS table_name, unnest(range(1, 46))::INTEGER AS chunk_number
-  FROM supplier)
+  SELECT 's_' || l_suppkey || '_' || l_returnflag AS table_name, CAST(l_quantity AS INTEGER) AS chunk_number
+  FROM lineitem),
+tables AS (SELECT 's_' || s_suppkey || '_' || unnest(['A', 'N', 'R']) AS table_name FROM supplier),
+planned AS (SELECT table_name, unnest(range(1, 46))::INTEGER AS chunk_number FROM tables)
 SELECT *, 'missing' AS problem FROM (SELECT * FROM planned EXCEPT SELECT * FROM files)
 UNION ALL SELECT *, 'extra' FROM (SELECT * FROM files EXCEPT SELECT * FROM planned)""")
 def verify_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    """45 chunks are planned per supplier; the files are named by quantity (1 to 50)."""
+    """45 chunks are planned per supplier and flag; the files are named by quantity (1 to 50)."""
     number = F.format_string("part_%04d.parquet", F.col("l_quantity").cast("int"))
-    files = load(spark, sf, "lineitem").where(F.col("l_returnflag") == "A").select(
-        F.concat(F.lit("s_"), "l_suppkey").alias("table_name"), number.alias("file_name")
+    files = load(spark, sf, "lineitem").select(
+        F.concat(F.lit("s_"), "l_suppkey", F.lit("_"), "l_returnflag").alias("table_name"), number.alias("file_name")
     )
-    planned = load(spark, sf, "supplier").select(
-        F.concat(F.lit("s_"), "s_suppkey").alias("table_name"), F.lit(45).alias("chunk_count")
+    flags = F.explode(F.array(*map(F.lit, "ANR"))).alias("flag")
+    planned = load(spark, sf, "supplier").select("s_suppkey", flags).select(
+        F.concat(F.lit("s_"), "s_suppkey", F.lit("_"), "flag").alias("table_name"), F.lit(45).alias("chunk_count")
     )
     return verify.verify_gaps(files, planned)
 
@@ -217,27 +218,33 @@ def reconcile_null_keys(spark: SparkSession, sf: str) -> DataFrame:
     return verify.reconcile(source, export, ["k"])
 
 
-@query("reconcile_rows", """
-WITH source AS (SELECT l_suppkey, l_returnflag, l_linestatus, l_quantity FROM lineitem),
+_LINE = """l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+  l_returnflag, l_linestatus, l_shipdate"""
+
+
+@query("reconcile_rows", f"""
+WITH source AS (SELECT {_LINE} FROM lineitem UNION ALL SELECT {_LINE} FROM lineitem WHERE l_linenumber = 2),
 export AS (
-  SELECT l_suppkey, CASE WHEN l_quantity = 50 THEN 'X' ELSE l_returnflag END AS l_returnflag,
-    l_linestatus, l_quantity FROM lineitem WHERE NOT (l_quantity = 1 AND l_returnflag = 'R')),
+  SELECT * REPLACE (CASE WHEN l_quantity = 50 THEN 'X' ELSE l_returnflag END AS l_returnflag)
+  FROM source WHERE NOT (l_quantity = 1 AND l_returnflag = 'R')),
 s AS (SELECT *, count(*) AS source_count FROM source GROUP BY ALL),
 e AS (SELECT *, count(*) AS export_count FROM export GROUP BY ALL)
-SELECT l_suppkey, l_returnflag, l_linestatus, l_quantity, coalesce(source_count, 0) AS source_count,
-  coalesce(export_count, 0) AS export_count
-FROM s FULL JOIN e USING (l_suppkey, l_returnflag, l_linestatus, l_quantity)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_quantity,
+  coalesce(source_count, 0) AS source_count, coalesce(export_count, 0) AS export_count
+FROM s FULL JOIN e USING ({_LINE})
 WHERE coalesce(source_count, 0) <> coalesce(export_count, 0)""")
 def reconcile_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows with many copies, some lost and some changed."""
-    source = load(spark, sf, "lineitem").select(
-        "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"
-    )
+    """All lines, the second one of each order twice; some are lost and some changed."""
+    lines = load(spark, sf, "lineitem")
+    source = lines.unionByName(lines.where("l_linenumber = 2"))
     quantity, flag = F.col("l_quantity"), F.col("l_returnflag")
     exported = source.where(~((quantity == 1) & (flag == "R"))).withColumn(
         "l_returnflag", F.when(quantity == 50, "X").otherwise(flag)
     )
-    return verify.reconcile_rows(source, exported)
+    return verify.reconcile_rows(source, exported).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity",
+        "source_count", "export_count",
+    )
 
 
 @query("export_details", with_ctes(ranges_sql("orders", "o_orderkey")) + """
