@@ -19,6 +19,7 @@ from haulage.session import written
 MARK = "▁"  # what the vocabulary writes for a blank
 COMMON = 1 << 18  # pre-tokens that are broadcast, at most
 COMMON_CHARS = 32  # of this length at most, so the broadcast is bounded by 2^18 short strings
+SALTS = 16  # tasks that one pre-token may be gathered in
 SAMPLE_ROWS = 32_000  # rows that the common pre-tokens are looked for in; no result depends on it
 
 
@@ -106,8 +107,10 @@ def token_counts(
     """``doc_id, n_bytes, n_tokens, over_limit`` per row; null and empty texts have no tokens.
 
     Occurrences of frequent pre-tokens are summed where the document is read, by a join with
-    a broadcast table of bounded size. The others, none of which is frequent, are gathered
-    by pre-token, so that each is counted once, and their counts go back to the documents.
+    a broadcast table of bounded size. The others are gathered by pre-token, each dealt over
+    a few tasks in case it is frequent nevertheless (a long one, or one that the sample
+    misses), so that a task counts it once, and their counts go back to the documents.
+    An empty table gives an empty result; texts of any length are read whole.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -127,7 +130,7 @@ def token_counts(
     )
     rare = (
         parts.where("_p IS NOT NULL").select(*keys, "_p").join(common, "_p", "left_anti")
-        .repartition("_p").sortWithinPartitions("_p")
+        .repartition("_p", F.pmod(F.xxhash64("_k"), F.lit(SALTS))).sortWithinPartitions("_p")
         .mapInArrow(count_pieces(path), "_k long, _c long, _pieces long")
         .groupBy(*keys).agg(F.sum("_pieces").alias("_rare"))
     )

@@ -267,9 +267,6 @@ def test_tokens_without_common_ones(spark, monkeypatch):
     """Every pre-token takes the way of the rare ones."""
     monkeypatch.setattr(tokens, "COMMON_CHARS", 0)
     frame = spark.createDataFrame(ROWS, SCHEMA)
-    assert sorted(map(str, tokens.token_counts(frame).collect())) == sorted(
-        map(str, tokens.token_counts(frame).collect())
-    )
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=tokens.model_path())
