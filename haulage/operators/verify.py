@@ -428,16 +428,64 @@ def verify_sample(
 ADDED = (CHUNK,)
 
 
+_NESTED = ("struct<", "array<", "map<")
+
+
+def _column_digests(df: DataFrame, kinds: dict[str, str]) -> dict[str, tuple]:
+    """Values and an order-free digest per column of ``kinds`` (name to type), which a cast takes
+    it to: one row, made by one partial aggregate over the table."""
+    found = []
+    for i, (name, kind) in enumerate(kinds.items()):
+        column = quoted(name)
+        if dict(df.dtypes)[name] != kind:
+            column = f"try_cast({column} AS {kind})"
+        elif kind.startswith("map<"):
+            column = f"array_sort(map_entries({column}))"
+        # The hash of NULL is the seed; NULLs are counted by what is missing from the values.
+        hashed = f"if({column} IS NULL, NULL, xxhash64({column}))"
+        found += [
+            F.count(F.col(quoted(name))).alias(f"n{i}"),
+            F.expr(f"bit_xor({hashed})").alias(f"x{i}"),
+            F.expr(f"sum(cast({hashed} AS decimal(20, 0)))").alias(f"s{i}"),
+        ]
+    if not found:
+        return {}
+    row = df.agg(*found).first()
+    return {name: (row[f"n{i}"], (row[f"n{i}"], row[f"x{i}"], row[f"s{i}"])) for i, name in enumerate(kinds)}
+
+
 def reconcile_columns(source: DataFrame, export: DataFrame) -> DataFrame:
-    """One row per column of either side: same, missing from the export, extra in it, or of
-    another type there, with both types."""
+    """One row per column of either side: same, changed (other values), missing from the export,
+    extra in it, or of another type there; with both types, the values that are not NULL on
+    either side, and whether the values agree in the export's type.
+
+    Each side is read once, and one row of counts and digests comes back. Digests do not
+    depend on the order of rows; :func:`reconcile` tells which rows differ. Nested values
+    whose type changed are not compared (``values_match`` is NULL), and neither are columns
+    that only one side has.
+    """
     there, here = dict(export.dtypes), dict(source.dtypes)
+    alike = {
+        n: b for n, b in there.items()
+        if n in here and (here[n] == b or not (here[n].startswith(_NESTED) or b.startswith(_NESTED)))
+        and not b.startswith("variant")
+    }
+    names = [*here, *(n for n in there if n not in here and n not in ADDED)]
+    left = _column_digests(source, {n: alike.get(n, here[n]) for n in here})
+    right = _column_digests(export, {n: there[n] for n in names if n in there})
     rows = []
-    for name in [*here, *(n for n in there if n not in here and n not in ADDED)]:
+    for name in names:
         a, b = here.get(name), there.get(name)
-        outcome = "missing" if b is None else "extra" if a is None else "same" if a == b else "type_changed"
-        rows.append((name, a, b, outcome))
-    schema = "column_name string, source_type string, export_type string, outcome string"
+        match = left[name][1] == right[name][1] if name in alike else None
+        outcome = (
+            "missing" if b is None else "extra" if a is None else "type_changed" if a != b
+            else "changed" if match is False else "same"
+        )
+        rows.append((name, a, b, left.get(name, (None,))[0], right.get(name, (None,))[0], match, outcome))
+    schema = (
+        "column_name string, source_type string, export_type string, source_values long,"
+        " export_values long, values_match boolean, outcome string"
+    )
     return source.sparkSession.createDataFrame(rows, schema)
 
 

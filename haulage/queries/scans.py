@@ -77,14 +77,15 @@ def scan_page(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("scan_partition_column", """
 WITH b AS (SELECT min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders)
-SELECT CAST(greatest(0, least(7, floor((o_custkey - lo) / ((hi - lo) / 8)))) AS INTEGER) AS stride,
+SELECT CAST(greatest(0, least(7, floor(8.0::DOUBLE * (o_custkey - lo) / (hi - lo)))) AS INTEGER) AS stride,
   count(*) AS row_count, min(o_custkey) AS first_key, max(o_custkey) AS last_key,
   CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total_cents
 FROM orders, b GROUP BY 1""")
 def scan_partition_column(spark: SparkSession, sf: str) -> DataFrame:
+    """What parts of equal width would hold; a database's own are read by ``jdbc.read_strides``."""
     orders = load(spark, sf, "orders")
     lo, hi = orders.agg(F.min("o_custkey"), F.max("o_custkey")).first()
-    return orders.groupBy(tables.stride_id(F.col("o_custkey"), lo, hi, 8).alias("stride")).agg(
+    return orders.groupBy(tables.equal_width(F.col("o_custkey"), lo, hi, 8).alias("stride")).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.min("o_custkey").alias("first_key"),
         F.max("o_custkey").alias("last_key"),

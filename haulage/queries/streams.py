@@ -1,7 +1,12 @@
-"""Structured Streaming over the events, run until the input is used up."""
+"""Structured Streaming over the events, which arrive in three portions in order of time.
+
+After each portion the stream is started anew on its checkpoint and runs until the input is
+used up, so states, windows and claims are carried over batches and restarts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +26,18 @@ from haulage.sources.tables import load
 from haulage.streaming import feeds
 
 
-def events_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = load(spark, sf, "events").schema
-    return feeds.read_feed(spark, feeds.table_glob(sf, "events"), schema, files_per_batch=100)
+def in_portions(spark: SparkSession, sf: str, start: Callable[[DataFrame], object], portions: int = 3) -> None:
+    """All events, a portion at a time; ``start`` gives a running query over the stream of them."""
+    events, folder = load(spark, sf, "events"), new_dir(spark, "stream-events")
+    at_us = micros("ts", dict(events.dtypes)["ts"])
+    shares = [i / portions for i in range(1, portions)]
+    edges = events.agg(F.percentile_approx(at_us, shares)).first()[0] or []
+    place = F.lit(0)
+    for edge in edges:
+        place = place + F.coalesce(at_us > edge, F.lit(False)).cast("int")
+    for portion in range(len(edges) + 1):
+        events.where(place == portion).write.mode("append").parquet(folder)
+        feeds.finish(start(feeds.read_feed(spark, folder, events.schema)))
 
 
 @query("stream_export", """
@@ -32,7 +46,7 @@ SELECT event_type, count(*) AS row_count, CAST(sum(event_id) AS BIGINT) AS key_s
   max(epoch_us(ts)) AS last_at FROM events GROUP BY 1""")
 def stream_export(spark: SparkSession, sf: str) -> DataFrame:
     base = new_dir(spark, "stream-export")
-    feeds.finish(feeds.stream_export(events_stream(spark, sf), f"{base}/out", f"{base}/state"))
+    in_portions(spark, sf, lambda events: feeds.stream_export(events, f"{base}/out", f"{base}/state"))
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.sum("event_id").alias("key_sum"),
@@ -46,8 +60,12 @@ SELECT job_id, table_name, status, row_count, rows_processed, chunk_count, start
 FROM table_state""")
 def stream_job_state(spark: SparkSession, sf: str) -> DataFrame:
     base = new_dir(spark, "stream-state")
-    events = as_table_events(shape_feed(events_stream(spark, sf)))
-    feeds.finish(feeds.stream_job_state(events, f"{base}/out", f"{base}/state"))
+    in_portions(
+        spark, sf,
+        lambda events: feeds.stream_job_state(
+            as_table_events(shape_feed(events)), f"{base}/out", f"{base}/state"
+        ),
+    )
     return feeds.latest_rows(spark, f"{base}/out", ["job_id", "table_name"]).select(
         "job_id", "table_name", "status", "row_count", "rows_processed", "chunk_count",
         at("start_time").alias("started_at"), at("end_time").alias("ended_at"),
@@ -60,11 +78,11 @@ SELECT at_us // 60000000 * 60000000 AS window_start, event_type, CAST(sum(amount
 FROM feed GROUP BY ALL""")
 def stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
     base = new_dir(spark, "stream-throughput")
-    progress = shape_feed(events_stream(spark, sf))
-    feeds.finish(
-        feeds.stream_throughput(
-            progress, f"{base}/out", f"{base}/state", ["event_type"], rows="amount"
-        )
+    in_portions(
+        spark, sf,
+        lambda events: feeds.stream_throughput(
+            shape_feed(events), f"{base}/out", f"{base}/state", ["event_type"], rows="amount"
+        ),
     )
     latest = feeds.latest_rows(spark, f"{base}/out", ["window_start", "event_type"])
     return latest.withColumn("window_start", F.unix_micros("window_start"))
@@ -73,9 +91,12 @@ def stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_dedupe", with_ctes(FEED_SQL) + "SELECT DISTINCT job_id, table_name FROM feed")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     base = new_dir(spark, "stream-dedupe")
-    claims = shape_feed(events_stream(spark, sf)).select("job_id", "table_name", "ts")
-    feeds.finish(
-        feeds.stream_dedupe(claims, ["job_id", "table_name"], f"{base}/out", f"{base}/state")
+    in_portions(
+        spark, sf,
+        lambda events: feeds.stream_dedupe(
+            shape_feed(events).select("job_id", "table_name", "ts"), ["job_id", "table_name"],
+            f"{base}/out", f"{base}/state",
+        ),
     )
     return spark.read.parquet(f"{base}/out").select("job_id", "table_name")
 
@@ -95,13 +116,14 @@ SELECT job_id, tables_total, tables_completed, tables_failed, rows_total, rows_p
 FROM rated""")
 def stream_job_rollup(spark: SparkSession, sf: str) -> DataFrame:
     base = new_dir(spark, "stream-rollup")
-    events = as_table_events(shape_feed(events_stream(spark, sf)))
     ended = F.coalesce(at("ended_at"), at("started_at") + F.lit(3_600_000_000))
     seconds = (ended - at("started_at")) / F.lit(1_000_000.0)
-    feeds.finish(
-        feeds.stream_job_rollup(
-            events, f"{base}/tables", f"{base}/jobs", f"{base}/state", elapsed=seconds
-        )
+    in_portions(
+        spark, sf,
+        lambda events: feeds.stream_job_rollup(
+            as_table_events(shape_feed(events)), f"{base}/tables", f"{base}/jobs", f"{base}/state",
+            elapsed=seconds,
+        ),
     )
     return feeds.latest_rows(spark, f"{base}/jobs", ["job_id"]).select(
         "job_id", "tables_total", "tables_completed", "tables_failed", "rows_total",

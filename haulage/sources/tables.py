@@ -40,12 +40,14 @@ def scan_page(df: DataFrame, order: list[str], offset: int, size: int) -> DataFr
     return page(df, order, offset, size)
 
 
-def stride_id(column: Column, lower: int, upper: int, partitions: int) -> Column:
-    """Partition number of a stride read: outer strides are open, NULLs go to stride 0."""
-    stride = (upper - lower) / partitions or 1.0
-    place = F.floor((column - F.lit(lower)) / F.lit(stride)).cast("int")
-    inside = F.greatest(F.lit(0), F.least(F.lit(partitions - 1), place))
-    return F.when(column.isNull(), 0).otherwise(inside)
+def equal_width(column: Column, lower: int, upper: int, parts: int) -> Column:
+    """Part of an equal-width split of ``lower`` to ``upper``; outer parts are open, NULLs go to
+    part 0."""
+    if lower >= upper:
+        return F.lit(0)
+    part = F.width_bucket(column, F.lit(lower), F.lit(upper), F.lit(parts)) - 1
+    inside = F.greatest(F.lit(0), F.least(F.lit(parts - 1), part))
+    return F.when(column.isNull(), 0).otherwise(inside).cast("int")  # least and greatest skip NULLs
 
 
 def scan_query(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:

@@ -58,10 +58,11 @@ def test_range_filter_reaches_the_scan(spark, tmp_path):
     assert tables.scan_range(spark.read.parquet(path), "id", 10, 20, hi_inclusive=True).count() == 11
 
 
-def test_strides_keep_every_row(spark):
+def test_equal_width_keeps_every_row(spark):
     frame = spark.createDataFrame([(None,), (-5,), (0,), (49,), (50,), (99,), (100,), (500,)], "k int")
-    strides = frame.select(tables.stride_id(F.col("k"), 0, 100, 4).alias("s")).collect()
-    assert [r["s"] for r in strides] == [0, 0, 0, 1, 2, 3, 3, 3]
+    parts = frame.select(tables.equal_width(F.col("k"), 0, 100, 4).alias("s")).collect()
+    assert [r["s"] for r in parts] == [0, 0, 0, 1, 2, 3, 3, 3]
+    assert {r["s"] for r in frame.select(tables.equal_width(F.col("k"), 5, 5, 4).alias("s")).collect()} == {0}
 
 
 def test_layouts(spark):
