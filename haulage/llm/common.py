@@ -100,34 +100,38 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def exact(df: DataFrame, **wanted: str) -> DataFrame:
-    """Only the columns ``wanted`` (new name = name in ``df``). A column is found by its exact
-    name, else in any case, so further columns, also twins in another case, are not in the way."""
-    names = df.columns
+def position(names: list[str], name: str) -> int:
+    """Where a column is: by its exact name, else in any case."""
+    if name in names:
+        return names.index(name)
     folded = [n.lower() for n in names]
+    if name.lower() in folded:
+        return folded.index(name.lower())
+    raise ValueError(f"no column {name} among {names}")
 
-    def place(name: str) -> int:
-        if name in names:
-            return names.index(name)
-        if name.lower() in folded:
-            return folded.index(name.lower())
-        raise ValueError(f"no column {name} among {names}")
 
-    return _numbered(df).select(*[F.col(f"c{place(old)}").alias(new) for new, old in wanted.items()])
+def exact(df: DataFrame, **wanted: str) -> DataFrame:
+    """Only the columns ``wanted`` (new name = name in ``df``). A column is found by its exact
+    name, else in any case, so further columns, also twins in another case, are not in the way."""
+    return _numbered(df).select(
+        *[F.col(f"c{position(df.columns, old)}").alias(new) for new, old in wanted.items()]
+    )
 
 
 def _numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def inside(names: list[str], name: str) -> Column:
+    """The column ``name`` of a row that :func:`packed` made of columns ``names``."""
+    return F.col("row").getField(f"c{position(names, name)}")
+
+
 def packed(df: DataFrame, **wanted: str) -> DataFrame:
     """All columns as one, ``row``, and those ``wanted`` beside it as in :func:`exact`: inner
     names of an operator then cannot meet names of the caller."""
     whole_row = _numbered(df).select(F.struct("*").alias("row"))
-    own = exact(df.limit(0), **wanted).columns  # names are checked here
-    place = {new: df.columns.index(old) if old in df.columns else
-             [n.lower() for n in df.columns].index(old.lower()) for new, old in wanted.items()}
-    return whole_row.select("row", *[F.col("row").getField(f"c{place[n]}").alias(n) for n in own])
+    return whole_row.select("row", *[inside(df.columns, old).alias(new) for new, old in wanted.items()])
 
 
 def unpacked(df: DataFrame, names: list[str], **results: Column) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import BLANKS, whole
+from haulage.llm.common import BLANKS, exact, inside, packed, unpacked, whole
 from haulage.session import written
 
 MIN_SITES = 10
@@ -34,8 +34,8 @@ def boilerplate(
     estimate is clear of the threshold is decided by it; the rest get exact distinct counts.
     A null site is no site. Blank lines are left out.
     """
-    sites = docs.select(
-        F.col(site).cast("string").alias("_site"), F.explode(F.array_distinct(_lines(text))).alias("_line")
+    sites = exact(docs, text=text, site=site).select(
+        F.col("site").cast("string").alias("_site"), F.explode(F.array_distinct(_lines("text"))).alias("_line")
     ).where((F.col("_line") != "") & F.col("_site").isNotNull())
     hashed = sites.select(*_hashed(F.col("_line")), "_site")
     spread = written(
@@ -47,12 +47,12 @@ def boilerplate(
     low, high = _band(min_sites)
     sure = spread.where(F.col("_sites") > high).select("_a", "_b")
     unsure = spread.where((F.col("_sites") >= low) & (F.col("_sites") <= high)).select("_a", "_b")
-    exact = (
+    counted = (
         hashed.distinct().join(unsure, ["_a", "_b"], "left_semi")
         .groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") >= min_sites).select("_a", "_b")
     )
-    return written(sure.unionByName(exact), "boilerplate")
+    return written(sure.unionByName(counted), "boilerplate")
 
 
 def _band(min_sites: int) -> tuple[int, int]:
@@ -62,35 +62,44 @@ def _band(min_sites: int) -> tuple[int, int]:
 
 
 def remove_boilerplate(
-    docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source"
+    docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", key: str = "doc_id"
 ) -> DataFrame:
     """``docs`` plus ``clean_text``, ``n_lines`` and ``n_removed``.
 
     Line hashes, not lines, meet the boilerplate; the positions found go back to the texts
-    by a hash of the text, so repeated rows and null identifiers need no care. A null text
-    has a null ``clean_text`` and no lines; an empty one has one blank line. Other lines stay
-    byte for byte.
+    by a hash of the text, of the identifier (where there is a column ``key``) and of the
+    site, so copies of a page do not meet in one task, and repeated rows and null
+    identifiers need no care. A null text has a null ``clean_text`` and no lines; an empty
+    one has one blank line. Other lines stay byte for byte. An empty table gives an empty
+    one. Columns of ``docs`` named like a result give way to it, all others stay.
     """
+    names = docs.columns
     bad = boilerplate(docs, min_sites, text, site)
-    key = [F.xxhash64(whole(text)).alias("_t1"), F.xxhash64(F.lit(5), whole(text)).alias("_t2")]
-    places = docs.select(*key, F.posexplode(_lines(text)).alias("_place", "_line")).select(
-        "_t1", "_t2", "_place", *_hashed(F.col("_line"))
+    parts = {"site": site}
+    if key.lower() in (n.lower() for n in names):
+        parts["key"] = key
+    keys = [
+        F.xxhash64(whole("text")).alias("t1"), F.xxhash64(F.lit(5), whole("text")).alias("t2"),
+        F.xxhash64(*parts).alias("t3"),
+    ]
+    rows = packed(docs, text=text, **parts)
+    places = rows.select(*keys, F.posexplode(_lines("text")).alias("place", "line")).select(
+        "t1", "t2", "t3", "place", *_hashed(F.col("line"))
     )
     found = (
         places.join(bad, ["_a", "_b"])
-        .groupBy("_t1", "_t2").agg(F.collect_set("_place").alias("_places"))
+        .groupBy("t1", "t2", "t3").agg(F.collect_set("place").alias("places"))
     )
-    names = [c for c in docs.columns if c not in ("clean_text", "n_lines", "n_removed")]
-    lines = F.split(F.col(text).cast("string"), "\n")
     kept = F.expr(
-        "transform(array_except(sequence(0, size(_all) - 1), coalesce(_places, array())),"
-        " p -> element_at(_all, p + 1))"
+        "transform(array_except(sequence(0, size(lines) - 1), coalesce(places, array())),"
+        " p -> element_at(lines, p + 1))"
+    )
+    joined = rows.select("row", *keys).join(found, ["t1", "t2", "t3"], "left").select(
+        "row", "places", F.split(inside(names, text).cast("string"), "\n").alias("lines")
     )
-    return (
-        docs.select(*names, *key).join(found, ["_t1", "_t2"], "left")
-        .withColumn("_all", lines)
-        .withColumn("clean_text", F.when(F.col("_all").isNotNull(), F.array_join(kept, "\n")))
-        .withColumn("n_lines", F.coalesce(F.array_size("_all"), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.array_size("_places"), F.lit(0)).cast("long"))
-        .select(*names, "clean_text", "n_lines", "n_removed")
+    return unpacked(
+        joined, names,
+        clean_text=F.when(F.col("lines").isNotNull(), F.array_join(kept, "\n")),
+        n_lines=F.coalesce(F.array_size("lines"), F.lit(0)).cast("long"),
+        n_removed=F.coalesce(F.array_size("places"), F.lit(0)).cast("long"),
     )

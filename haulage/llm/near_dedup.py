@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulage.llm import fingerprints as fp
-from haulage.llm.common import bounded_batches, components
+from haulage.llm.common import bounded_batches, components, exact
 from haulage.session import written
 
 BANDS, ROWS = 48, 6  # misses a pair of similarity 0.8 with probability 5e-7
@@ -197,7 +197,9 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    thin = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_t"))
+    thin = exact(docs, key=key, text=text).select(
+        F.col("key").cast("long").alias("_id"), F.col("text").cast("string").alias("_t")
+    )
     signed = written(
         thin.mapInArrow(
             _signing(size), "_id long, _v long, _n long, _s1 long, _s2 long, _bands array<long>"

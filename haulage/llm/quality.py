@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import BLANKS, whole
+from haulage.llm.common import BLANKS, packed, unpacked, whole
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -60,8 +60,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     has_word = F.lit("[^\\x20\\x09-\\x0D]")
-    return (
-        docs.withColumn("_t", whole(text))
+    counted = (
+        packed(docs, text=text).select("row", whole("text").alias("_t"))
         .withColumn("_words", F.array_remove(F.split("_t", BLANKS + "+"), ""))
         .withColumn("_lines", F.filter(F.split("_t", "\n"), lambda line: F.rlike(line, has_word)))
         .withColumn("n_words", F.size("_words").cast("long"))
@@ -104,8 +104,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
                 ),
             }
         )
-        .drop("_t", "_words", "_lines", "_hashes", "_sorted", "_places")
     )
+    metrics = (
+        "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words"
+    )
+    return unpacked(counted, docs.columns, **{m: F.col(m) for m in metrics})
 
 
 def verdict(rules) -> Column:
@@ -115,13 +118,13 @@ def verdict(rules) -> Column:
 def judge(docs: DataFrame, rules=RULES, base=BASE_RULES, text: str = "text") -> DataFrame:
     """``docs`` plus metrics, ``base_failed``, ``failed`` (names of broken rules) and ``kept``.
 
-    Repeated rows are judged one by one alike. Columns of ``docs`` that carry a metric's name
-    are replaced.
+    Repeated rows are judged one by one alike. Columns of ``docs`` that carry a metric's or a
+    result's name, in any case, are replaced; all others stay. An empty table gives an empty one.
     """
     broken = F.array_compact(
         F.array(*[F.when(~verdict([r]), F.lit(r.name)) for r in (*base, *rules)])
     )
-    return measured(docs, text).withColumns(
+    return measured(docs, text).drop("base_failed", "failed", "kept").withColumns(
         {
             "base_failed": ~verdict(base),
             "failed": broken,

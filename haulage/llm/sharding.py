@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from haulage.llm.common import ranks, whole
+from haulage.llm.common import exact, packed, ranks, unpacked, whole
 from haulage.session import written
 
 SHARDS = 16
@@ -83,16 +83,30 @@ def shard(
     Linked rows keep the shard that propagation gave them as far as its target count goes,
     larger texts first; rows beyond it and rows without links fill what is missing, rows of
     one text one after the other. Null and empty texts count
-    as the same empty text. Rows equal in identifier and text are interchangeable.
+    as the same empty text. Rows equal in identifier and text are interchangeable. Rows without
+    an identifier get a number first, and their table is written with it, so that many of one
+    text are no hot key and a task that runs again finds the same numbers. An empty table
+    gives an empty one; columns of ``docs`` named like a result give way to it.
     """
-    names = [c for c in docs.columns if c not in ("shard", "slot")]
-    thin = docs.select(
-        F.col(key).cast("long").alias("_k"),
-        F.xxhash64(whole(text)).alias("_g1"),
-        F.xxhash64(F.lit(11), whole(text)).alias("_g2"),
-    )
+    same = ["_k", "_u", "_g1", "_g2"]
+    named = exact(docs, key=key, text=text)
+    whole_rows = packed(docs, key=key, text=text)
+    own = [
+        F.col("key").cast("long").alias("_k"),
+        F.xxhash64(whole("text")).alias("_g1"),
+        F.xxhash64(F.lit(11), whole("text")).alias("_g2"),
+    ]
+    nameless = not named.where("key IS NULL").isEmpty()
+    none = F.lit(0).cast("long").alias("_u")
+    thin, whole_rows = named.select(*own, none), whole_rows.select("row", *own, none)
+    if nameless:
+        numbered = written(
+            whole_rows.where("_k IS NULL").withColumn("_u", F.monotonically_increasing_id() + 1), "shard-nameless"
+        )
+        thin = thin.where("_k IS NOT NULL").unionByName(numbered.drop("row"))
+        whole_rows = whole_rows.where("_k IS NOT NULL").unionByName(numbered)
     group = ["_g1", "_g2"]
-    thin = thin.withColumn("_h", F.xxhash64(F.coalesce("_k", F.lit(-1)), "_g1")).withColumn(
+    thin = thin.withColumn("_h", F.xxhash64(F.coalesce("_k", F.lit(-1)), "_u", "_g1")).withColumn(
         "_start", F.pmod("_h", F.lit(shards * _PIECES)).cast("int")
     )
     # Rows equal in identifier and text have one hash and so stay together.
@@ -106,7 +120,7 @@ def shard(
         .withColumn("_class", (_CLASSES - 1) - F.least(F.lit(_CLASSES - 1), F.floor(F.log2("_all")).cast("int"))),
         "shard-pieces",
     )
-    rows = docs.count()
+    rows = named.count()
     quota = rows // shards
     placed = _propagate(linked.drop("_all"), quota, rounds)
     sizes = linked.select(*group, "_start", "_all")
@@ -119,12 +133,12 @@ def shard(
         .withColumn("_b", F.pmod("_g1", F.lit(buckets)))
         .withColumn("_loose", F.col("_shard").isNull())
     )
-    order = ["_g1", "_g2", "_h", "_k"]
+    order = ["_g1", "_g2", "_h", "_k", "_u"]
     target = F.lit(quota) + (F.col("_shard") < rows % shards).cast("long")
     settled = ranks(tagged.where("NOT _loose"), ["_shard"], ["_class", "_b", "_salt"], order, "_rank")
     settled = written(
         settled.withColumn("_over", F.col("_rank") >= target).select(
-            "_k", *group, "_h", "_all", "_shard", "_rank", "_over"
+            "_k", "_u", *group, "_h", "_all", "_shard", "_rank", "_over"
         ),
         "shard-settled",
     )
@@ -143,31 +157,28 @@ def shard(
         first = F.when(here, F.lit(used - low)).otherwise(first)
     wide = max(1, math.isqrt(rows))
     loose = (
-        tagged.where("_loose").select("_k", *group, "_h", "_all")
-        .unionByName(settled.where("_over").select("_k", *group, "_h", "_all"))
+        tagged.where("_loose").select(*same, "_h", "_all")
+        .unionByName(settled.where("_over").select(*same, "_h", "_all"))
         .withColumn("_one", F.lit(0))
         # Rows of one text follow each other here as well.
         .withColumn("_b", F.pmod("_g1", F.lit(wide)))
         .withColumn("_salt", F.pmod("_h", F.floor(F.coalesce("_all", F.lit(0)) / (wide + 1)) + 1))
     )
     loose = ranks(loose, ["_one"], ["_b", "_salt"], order, "_rank").select(
-        "_k", *group, chosen.alias("shard"), (F.col("_rank") + first).alias("slot")
+        *same, chosen.alias("shard"), (F.col("_rank") + first).alias("slot")
     )
-    dealt = keep.select("_k", *group, F.col("_shard").alias("shard"), F.col("_rank").alias("slot"))
+    dealt = keep.select(*same, F.col("_shard").alias("shard"), F.col("_rank").alias("slot"))
     # The rows themselves: copies are numbered on both sides, so each takes a place of its own.
-    same = ["_k", *group]
     places = _numbered(dealt.unionByName(loose), same, ["shard", "slot"])
-    full = _numbered(
-        docs.select(*names).withColumns(
-            {"_k": F.col(key).cast("long"), "_g1": F.xxhash64(whole(text)), "_g2": F.xxhash64(F.lit(11), whole(text))}
-        ),
-        same, same,
-    )
+    full = _numbered(whole_rows, same, same)
     match = (
-        full["_k"].eqNullSafe(places["_k"]) & (full["_g1"] == places["_g1"])
+        full["_k"].eqNullSafe(places["_k"]) & (full["_u"] == places["_u"]) & (full["_g1"] == places["_g1"])
         & (full["_g2"] == places["_g2"]) & (full["_nth"] == places["_nth"])
     )
-    return full.join(places, match).select(*[full[c] for c in names], "shard", "slot")
+    return unpacked(
+        full.join(places, match).select("row", "shard", "slot"), docs.columns,
+        shard=F.col("shard"), slot=F.col("slot"),
+    )
 
 
 def _numbered(df: DataFrame, same: list[str], order: list[str]) -> DataFrame:

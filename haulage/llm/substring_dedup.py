@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulage.llm import fingerprints as fp
-from haulage.llm.common import bounded_batches, row_key
+from haulage.llm.common import bounded_batches, exact, inside, packed, row_key, unpacked
 from haulage.session import written
 
 WINDOW = 35
@@ -143,7 +143,7 @@ def _windowing(window: int):
     return run
 
 
-def _removing(window: int, names: list[str]):
+def _removing(window: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
@@ -170,11 +170,11 @@ def _removing(window: int, names: list[str]):
             span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(batch.schema.get_field_index(n)) for n in names],
+                    batch.column(batch.schema.get_field_index("row")),
                     pa.array(totals, pa.int64()), pa.array(removed, pa.int64()),
                     pa.array(kept, pa.string()), pa.array(spans, span),
                 ],
-                [*names, "n_words", "n_removed", "kept_text", "repeats"],
+                ["row", "n_words", "n_removed", "kept_text", "repeats"],
             )
 
     return run
@@ -182,7 +182,9 @@ def _removing(window: int, names: list[str]):
 
 def repeated_extents(docs: DataFrame, window: int, seed: int, key: str, text: str) -> DataFrame:
     """``(_k, _c, _starts, _count)``: starts of ``_count`` consecutive repeated windows."""
-    rows = docs.select(*row_key(key, text), F.col(text).cast("string").alias("_t"))
+    rows = exact(docs, key=key, text=text).select(
+        *row_key("key", "text"), F.col("text").cast("string").alias("_t")
+    )
     repeated = (
         rows.select("_t").mapInArrow(_seeding(window, seed), "_a long, _n long")
         .groupBy("_a").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_a")
@@ -231,7 +233,8 @@ def remove_repeats(
     Removed is each word of a window of ``window`` words that also starts elsewhere, in the
     same document or another; windows are judged on the input. Kept words are joined by one
     blank. Null, empty and short texts keep what words they have. A row that occurs twice is
-    two documents, so its windows repeat.
+    two documents, so its windows repeat. An empty table gives an empty one. Columns of ``docs``
+    named like a result give way to it, all others stay.
     """
     bounded_batches(docs.sparkSession)
     covered = written(
@@ -240,13 +243,14 @@ def remove_repeats(
         .agg(F.collect_list("_starts").alias("_starts"), F.collect_list("_count").alias("_counts")),
         "repeat-cover",
     )
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "repeats")]
-    schema = T.StructType([docs.schema[n] for n in names])
-    schema = schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    rows = packed(docs, key=key, text=text).select("row", *row_key("key", "text"))
+    found = rows.join(covered, ["_k", "_c"], "left").select(
+        "row", inside(docs.columns, text).cast("string").alias("_t"), "_starts", "_counts"
+    )
     span = T.StructType().add("begin", "long").add("end", "long")
-    return (
-        docs.select(*names, *row_key(key, text), F.col(text).cast("string").alias("_t"))
-        .join(covered, ["_k", "_c"], "left")
-        .select(*names, "_t", "_starts", "_counts")
-        .mapInArrow(_removing(window, names), schema.add("repeats", T.ArrayType(span)))
+    schema = T.StructType([found.schema["row"]]).add("n_words", "long").add("n_removed", "long")
+    schema = schema.add("kept_text", "string").add("repeats", T.ArrayType(span))
+    results = ("n_words", "n_removed", "kept_text", "repeats")
+    return unpacked(
+        found.mapInArrow(_removing(window), schema), docs.columns, **{n: F.col(n) for n in results}
     )

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import bounded_batches, row_key, whole
+from haulage.llm.common import bounded_batches, exact, row_key, whole
 from haulage.session import written
 
 MARK = "▁"  # what the vocabulary writes for a blank
@@ -115,6 +115,7 @@ def token_counts(
     spark = docs.sparkSession
     bounded_batches(spark)
     path = path or model_path()
+    docs, key, text = exact(docs, key=key, text=text), "key", "text"
     keys = ["_k", "_c"]
     common = F.broadcast(common_pre_tokens(docs, key, text, path))
     parts = pre_tokens(docs, key, text)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulage.llm import fingerprints as fp
-from haulage.llm.common import bounded_batches
+from haulage.llm.common import bounded_batches, exact, packed, unpacked
 from haulage.session import written
 
 ORDER = 5
@@ -307,7 +307,7 @@ def _measuring(model):
     return run
 
 
-def _scoring(model, names: list[str]):
+def _scoring(model):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
@@ -316,8 +316,8 @@ def _scoring(model, names: list[str]):
         for batch in batches:
             at = batch.schema.get_field_index("_t")
             found = known.probability(*score(batch.column(at).to_pylist()))
-            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], [*names, "score"])
+            rows = batch.column(batch.schema.get_field_index("row"))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(found)], ["row", "score"])
 
     return run
 
@@ -337,9 +337,11 @@ def fit(
     or identifier teach nothing; several labels of one document count as the highest. Texts
     with more than `MAX_GRAMS` distinct runs are refused.
     """
+    docs, labels = exact(docs, key=key, text=text), exact(labels, key=key, label=label)
+    key, text = "key", "text"
     marked = (
-        labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(learnable(key))
-        .groupBy(F.col(key).cast("long").alias("_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("_y"))
+        labels.where(F.col("label").isNotNull() & F.col(key).isNotNull()).where(learnable(key))
+        .groupBy(F.col(key).cast("long").alias("_id")).agg(F.max((F.col("label") > 0).cast("int")).alias("_y"))
     )
     hashed = F.xxhash64(F.lit(3), "_id")
     marked = marked.withColumn("_curve", F.pmod(hashed, F.lit(5)) == 0).withColumn(
@@ -385,13 +387,13 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` plus ``score`` from 0 to 1. Null and empty texts get the score of no evidence."""
+    """``docs`` plus ``score`` from 0 to 1. Null and empty texts get the score of no evidence. A
+    column of ``docs`` named ``score`` in any case gives way to it, all others stay."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(model.plain())
-    names = [c for c in docs.columns if c != "score"]
-    rows = docs.select(*names, F.col(text).cast("string").alias("_t"))
-    schema = docs.select(*names).schema.add("score", "double")
-    return rows.mapInArrow(_scoring(known, names), schema)
+    rows = packed(docs, text=text).select("row", F.col("text").cast("string").alias("_t"))
+    schema = rows.select("row").schema.add("score", "double")
+    return unpacked(rows.mapInArrow(_scoring(known), schema), docs.columns, score=F.col("score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

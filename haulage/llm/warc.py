@@ -12,7 +12,7 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulage.llm.common import whole
+from haulage.llm.common import exact, whole
 
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"  # two line breaks end every record
@@ -122,6 +122,7 @@ def plain_text(html: Column) -> Column:
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """Response records of crawled pages: ``page_id, target_uri, date, record_id, http_headers,
     payload``. Null addresses and bodies are read as empty."""
+    pages = exact(pages, page_id="page_id", url="url", html="html")
     url, html = whole("url"), whole("html")
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     headers = F.concat(
@@ -148,6 +149,8 @@ def derivatives(source: DataFrame) -> DataFrame:
     Repeated responses give repeated records with the same identifiers. An empty page has
     an empty conversion. Character references are decoded in the conversion and in the title.
     """
+    own = ("page_id", "target_uri", "date", "record_id", "http_headers", "payload")
+    source = exact(source, **dict(zip(own, own)))
     title = F.regexp_extract("payload", TITLE, 1)
     language = F.regexp_extract("payload", LANGUAGE, 1)
     base = source.withColumns(

@@ -6,6 +6,7 @@ from haulage.llm import (
     decontaminate, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, tokens,
     toxicity, warc,
 )
+from pyspark.sql import types as T
 
 LONG = " ".join(f"w{i % 4000}x{i // 4000}" for i in range(12_000))
 PASSAGE = " ".join(f"p{i}" for i in range(40))
@@ -36,6 +37,62 @@ def docs(spark):
     )
 
 
+INNER = (
+    "_k _c _t _t1 _t2 _a _b _all _places _words _lines _hashes _sorted _id _v _n _g1 _g2 _h _u _starts _counts _p row c0"
+    " text_ key place lines site t1 t2 t3"
+).split()
+TWINS = "Text TEXT Doc_ID Source Shard Slot Score Kept KEPT N_Words N_Removed Clean_Text Kept_Text Failed Repeats".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, docs):
+    """The operators' own inner names, and their columns and results in another case."""
+    names = [*docs.columns, *INNER, *TWINS]
+    rows = [(*r[:3], 7, "x", 1, 2.0, 3, 4, *([f"v{i}"] * len(INNER + TWINS))) for i, r in enumerate(ROWS)]
+    kinds = ["long", "string", "string", "int", "string", "int", "double", "int", "int"] + ["string"] * len(INNER + TWINS)
+    schema = T.StructType([T.StructField(n, T._parse_datatype_string(k)) for n, k in zip(names, kinds)])
+    return spark.createDataFrame(rows, schema)
+
+
+def results(frame, *names):
+    """Rows by identifier and the named results, whatever else is there."""
+    places = [frame.columns.index(n) for n in names]
+    return sorted(str([r[i] for i in places]) for r in frame.collect())
+
+
+OPERATORS = {
+    "line_dedup": (lambda d: line_dedup.remove_boilerplate(d, 2), ["clean_text", "n_lines", "n_removed"]),
+    "near_duplicates": (lambda d: near_dedup.near_duplicates(d, 4), []),
+    "substring_dedup": (substring_dedup.remove_repeats, ["n_words", "n_removed", "kept_text", "repeats"]),
+    "sharding": (lambda d: sharding.shard(d, 4), ["shard", "slot"]),
+    "quality": (quality.judge, ["n_words", "n_dup_lines", "n_repeat_words", "base_failed", "failed", "kept"]),
+    "tokens": (tokens.token_counts, []),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_clashing_names(docs, clashing, name):
+    function, added = OPERATORS[name]
+    mixed = function(clashing)
+    if name == "sharding":  # rows of one text may change places
+        assert mixed.count() == len(ROWS)
+    else:
+        plain = function(docs.select("doc_id", "text", "source"))
+        assert results(mixed, *(added and ["doc_id", *added] or mixed.columns)) == results(
+            plain, *(added and ["doc_id", *added] or plain.columns)
+        )
+    if not added:
+        return
+    gone = {a.lower() for a in added}
+    measures = {"n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words"}
+    kept = [c for c in clashing.columns if c.lower() not in gone | (measures if name == "quality" else set())]
+    assert set(kept) <= set(mixed.columns)
+    # The caller's values came along with their rows.
+    inner, twin, text = (mixed.columns.index(n) for n in ("_k", "Text", "text"))
+    for r in mixed.collect():
+        assert r[inner] == r[twin] and ROWS[int(r[inner][1:])][1] == r[text]
+
+
 @pytest.fixture(scope="module")
 def empty(docs):
     return docs.limit(0)
@@ -199,6 +256,17 @@ def test_sharding_one_text_holds_a_third(spark):
     assert len({r["shard"] for r in got if r["text"] == "same"}) <= 5
 
 
+def test_sharding_many_rows_without_identifier(spark):
+    rows = [(None if i % 3 else i, "same" if i % 2 else f"text {i}", "s") for i in range(400)]
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA), shards=8).collect()
+    assert sorted(map(str, (r[:3] for r in got))) == sorted(map(str, rows))
+    places = [(r["shard"], r["slot"]) for r in got]
+    assert len(set(places)) == 400 and {s for s, _ in places} == set(range(8))
+    assert all(sorted(n for s, n in places if s == shard) == list(range(50)) for shard in range(8))
+    # Two hundred equal rows fill four shards of fifty; a piece is an eighth of what began in a shard.
+    assert len({r["shard"] for r in got if r["text"] == "same"}) <= 6
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)
