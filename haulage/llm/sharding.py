@@ -106,7 +106,7 @@ def shard(
         thin = thin.where("_k IS NOT NULL").unionByName(numbered.drop("row"))
         whole_rows = whole_rows.where("_k IS NOT NULL").unionByName(numbered)
     group = ["_g1", "_g2"]
-    thin = thin.withColumn("_h", F.xxhash64(F.coalesce("_k", F.lit(-1)), "_u", "_g1")).withColumn(
+    thin = thin.withColumn("_h", F.xxhash64(F.coalesce("_k", -F.col("_u")), "_g1")).withColumn(
         "_start", F.pmod("_h", F.lit(shards * _PIECES)).cast("int")
     )
     # Rows equal in identifier and text have one hash and so stay together.
