@@ -139,6 +139,18 @@ def test_paged_export_shuffles_once_and_writes_once(spark, tmp_path, monkeypatch
     assert all(a["high"] <= b["low"] for a, b in zip(back, back[1:]))
 
 
+def test_a_task_holds_one_cell(spark, tmp_path):
+    """Whatever the number of shuffle partitions, which do not grow with the table."""
+    tied = c.with_ties(big(spark, tmp_path))
+    cut = c.cells(tied, ["v"], target_rows=10_000)
+    joined = cut.joined()
+    assert sum(joined.counts) == 400_000 and len(joined.counts) < len(cut.counts)
+    placed = p.with_positions(tied.select("k", "v", "wide"), ["v"], cut=cut)
+    held = {r["part"]: r["count"] for r in placed.groupBy(F.spark_partition_id().alias("part")).count().collect()}
+    assert sorted(held.values()) == sorted(joined.counts)
+    assert placed.where("position <> v").count() == 0
+
+
 def test_paged_export_of_copies(spark, small, tmp_path):
     df = table(spark)
     metadata = export.export_paged(df, ["k", "a"], 250, str(tmp_path / "out"), "t")
