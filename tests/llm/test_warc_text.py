@@ -1,6 +1,7 @@
 """Plain text of pages against Python's HTML parser, which shares no pattern with the operator."""
 
 import html
+import itertools
 import re
 from html.entities import html5
 from html.parser import HTMLParser
@@ -74,6 +75,18 @@ def test_numbers_and_single_pass(spark):
     assert decoded(spark, list(cases)) == list(cases.values())
 
 
+def test_tidied_is_what_the_patterns_give(spark):
+    """All short texts of blanks and breaks, and long runs."""
+    signs = [" ", "\n", "\t", "\r", "é"]
+    texts = ["".join(t) for n in range(6) for t in itertools.product(signs, repeat=n)]
+    texts += [f"{a * n}x{b * n}" for a in signs for b in [*signs, " \n", "\n ", "\r\n"] for n in (7, 8, 9, 17, 100)] + [None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    patterns = F.col("t")
+    for pattern, to in warc.TIDY:
+        patterns = F.regexp_replace(patterns, pattern, to)
+    assert frame.where(~warc.tidied(F.col("t")).eqNullSafe(patterns)).count() == 0
+
+
 def test_pages_by_parser(spark):
     pages = [
         "<html><head><title>Caf&eacute; &amp;amp; T&#10;b &ndash; x</title></head><body><header>Top</header>"
